@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillspark.llm import packing, sharding
+from quillspark.llm import langid, packing, pii, sharding, simhash, substring
 
-_MODULES = (sharding, packing)
+_MODULES = (langid, substring, pii, sharding, simhash, packing)
 
 
 def queries() -> dict:
