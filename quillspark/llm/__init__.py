@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillspark.llm import langid, packing, pii, sharding, simhash, substring
+from quillspark.llm import decontaminate, html, langid, packing, pii, quality, secrets, sharding, simhash, substring
 
-_MODULES = (langid, substring, pii, sharding, simhash, packing)
+_MODULES = (langid, secrets, html, decontaminate, substring, pii, sharding, simhash, quality, packing)
 
 
 def queries() -> dict:
