@@ -79,7 +79,8 @@ _i4 = lambda: F.col("doc_id") % 4
 _wrap = lambda: F.when(_i4() == 0, F.concat(F.lit("```markdown\n"), text(), F.lit("\n```"))).when(_i4() == 1, F.concat(F.lit("---\ntitle: a: b\n- item\nkind: doc\n---\n\n"), text())).when(_i4() == 2, F.concat(F.lit("Here is the body:\n---\n\n## Head\n"), text())).otherwise(text())
 _bare = f"CASE doc_id % 4 WHEN 2 THEN '## Head' || chr(10) || text ELSE text END"
 _documents("x_clean_body", f"SELECT doc_id, md5({D.strip(_bare)}) AS body FROM documents", body=lambda: F.md5(T.clean_body(_wrap())))
-_documents("x_sanitize", f"SELECT doc_id, md5({D.strip(f'left({_bare}, 8000)')}) AS body FROM documents", body=lambda: F.md5(T.sanitize_body(_wrap(), 8000)))
+_cut = "CASE WHEN strpos(x, '## ') > 1 THEN substr(x, strpos(x, '## ')) ELSE x END"
+_documents("x_sanitize", f"SELECT doc_id, md5({D.strip(f'left({_cut}, 8000)')}) AS body FROM (SELECT doc_id, {D.strip(_bare)} AS x FROM documents)", body=lambda: F.md5(T.sanitize_body(_wrap(), 8000)))
 
 @query("x_frontmatter", "SELECT doc_id, CASE doc_id % 4 WHEN 1 THEN 'a: b' END AS title, CASE doc_id % 4 WHEN 1 THEN 'doc' END AS kind, md5(CASE doc_id % 4 WHEN 0 THEN '```markdown' || chr(10) || text || chr(10) || '```' WHEN 2 THEN 'Here is the body:' || chr(10) || '---' || chr(10) || chr(10) || '## Head' || chr(10) || text ELSE text END) AS body FROM documents")
 def x_frontmatter(spark, d):
@@ -195,7 +196,7 @@ def f_newer(spark, d):
     return table(spark, d, "events").select("event_id", (F.col("ts").cast("timestamp") > F.lit(NOW).cast("timestamp") - F.make_interval(hours=(F.col("event_id") % 500).cast("int"))).alias("newer"))
 
 
-@query("d_age_hours", f"SELECT event_id, coalesce((epoch_ms(TIMESTAMP '{NOW}') - epoch_ms(CASE WHEN event_id % 5 = 0 THEN NULL ELSE ts END)) // 3600000, 0)::BIGINT AS hours FROM events")
+@query("d_age_hours", f"SELECT event_id, coalesce(floor((epoch_ms(TIMESTAMP '{NOW}') - epoch_ms(CASE WHEN event_id % 5 = 0 THEN NULL ELSE ts END)) / 3600000.0), 0)::BIGINT AS hours FROM events")
 def d_age_hours(spark, d):
     ms = F.unix_millis(F.lit(NOW).cast("timestamp")) - F.unix_millis(F.when(F.col("event_id") % 5 != 0, F.col("ts").cast("timestamp")))
     return table(spark, d, "events").select("event_id", F.coalesce(F.floor(ms / 3600000), F.lit(0)).cast("long").alias("hours"))
