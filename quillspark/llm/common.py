@@ -1,73 +1,19 @@
-"""Shared plumbing of the training-data operators: table access, durable intermediates, word rules.
-
-Durable intermediates are Parquet tables in the folder that ``spark.checkpoint.dir`` names (shared by the
-driver and all executors of a cluster), so a lost executor never loses one.  Where the session names none
-(tests), a folder of the local temp directory is set once.
-"""
+"""Shared plumbing of the training-data operators: word rules and batches (durable tables: quillspark.durable)."""
 
 from __future__ import annotations
 
-import atexit
-import os
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: The contracts' words are maximal runs of characters outside this class (ASCII white space).
-WORD_GAP = "[\\x20\\x09-\\x0D]+"
-#: A side of a join is broadcast only if its measured size is below this; else the join is shuffled.
-BROADCAST_BYTES = 32 << 20
-
-_tables: list[tuple[SparkSession, str]] = []
-
-
-def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder for durable intermediates; sets a local one only where the session has none."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    found = spark.sparkContext.getCheckpointDir()
-    if found:
-        return found.rstrip("/")
-    local = os.path.join(tempfile.gettempdir(), f"quillspark-{os.getuid()}")
-    spark.sparkContext.setCheckpointDir(f"file://{local}")
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
-
-
-def _sweep() -> None:
-    for spark, path in _tables:
-        try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # noqa: BLE001  the session may be gone; the folder is temporary anyway
-            pass
-
+from quillspark.durable import BROADCAST_BYTES, materialize, small, table
 
-atexit.register(_sweep)
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet below the checkpoint folder and return a scan of it (lineage is cut)."""
-    spark = df.sparkSession
-    path = f"{checkpoint_root(spark)}/quillspark/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _tables.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> bool:
-    """Whether a durable table is within the broadcast bound: counted rows times a stated row size."""
-    return df.count() * row_bytes <= limit
+__all__ = ["BROADCAST_BYTES", "WORD_GAP", "chunks", "materialize", "rows", "small", "table", "words_column", "words_of"]
 
+#: The contracts' words are maximal runs of characters outside this class (ASCII white space).
+WORD_GAP = "[\\x20\\x09-\\x0D]+"
 
 def chunks(texts: list, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of ``texts`` of about ``limit`` characters; a longer text is a range of its own."""
@@ -94,6 +40,6 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
-def words_column(text) -> "F.Column":
+def words_column(text: Column) -> Column:
     """The same words as a native array column (null text: empty array)."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), WORD_GAP), lambda w: w != "")

@@ -21,7 +21,7 @@ from dataclasses import dataclass, field
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import materialize, rows, small, table
@@ -184,9 +184,8 @@ def main_text(page: str | None, low: frozenset[int] = frozenset()) -> str:
     return "\n".join(out)
 
 
-def _host(url) -> "F.Column":
-    host = F.regexp_extract(F.lower(F.coalesce(url.cast("string"), F.lit(""))), r"^[a-z][a-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]*)", 1)
-    return host
+def _host(url: Column) -> Column:
+    return F.regexp_extract(F.lower(F.coalesce(url.cast("string"), F.lit(""))), r"^[a-z][a-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]*)", 1)
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
