@@ -135,7 +135,7 @@ def clean_text(c: Column, noise: bool = True) -> Column:
 def prose(body: Column) -> Column:
     """First paragraph that has prose lines, white space collapsed (empty if none)."""
     def lines(p: Column) -> Column:
-        kept = F.filter(F.transform(F.split(p, "\r?\n"), F.ltrim), lambda s: (s != "") & ~s.rlike(r"^(#|>|- |\* |\+ |[0-9]+[.)] )"))
+        kept = F.filter(F.transform(F.split(p, "\r?\n"), lambda s: F.ltrim(s)), lambda s: (s != "") & ~s.rlike(r"^(#|>|- |\* |\+ |[0-9]+[.)] )"))
         return F.array_join(kept, " ")
 
     found = F.filter(F.transform(F.split(some(body), "\n\n"), lines), lambda s: s != "")

@@ -75,5 +75,6 @@ def capture_stream(events: DataFrame, store: str, checkpoint: str, after: Callab
             after(batch, epoch)
 
     query = events.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
+    while not query.awaitTermination(10):
+        pass
     return query
