@@ -81,12 +81,13 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     uuid = F.concat_ws("-", F.substring(h("u"), 1, 8), F.substring(h("u"), 9, 4), F.substring(h("u"), 13, 4), F.substring(h("u"), 17, 4), F.substring(h("u"), 21, 12))
     size = (F.lit(20) + F.pmod(F.xxhash64(F.lit("size"), F.col("id")), F.lit(24))).cast("int")
     vendor = F.concat(pick("v", "AKIA", "ghp_", "sk-", "glpat-", "xoxb-", "AIza", "hf_", "sk_live_"), F.substring(F.regexp_replace(b64, "[+/]", "x"), F.lit(1), size))
+    prefix = pick("v2", "ghp_", "sk-", "glpat-", "hf_", "npm_", "xoxp-", "dapi")
+    low_vendor = F.concat(prefix, F.substring(F.translate(h("v2"), "0123456789abcdef", "ghijklmnopqrs014"), F.lit(1), size + 4))
     secret_value = pick("sv", "hex", "b64", "hex40")
     value = F.when(secret_value == "hex", F.substring(h("s"), F.lit(1), size + 8)).when(secret_value == "b64", F.substring(b64, F.lit(1), size)).otherwise(F.substring(h("s"), 1, 40))
     plain = pick("plain", "and", "with", "see", "the", "file", "from", "use", "then")
     quote = pick("q", '"', "'", "")
     shapes = [
-        (1, plain, F.concat(key, F.lit(" ")), None),
         (1, key, F.lit("="), F.concat(quote, value, quote)),
         (1, key, F.lit(":"), F.concat(quote, value, quote)),
         (1, plain, plain, F.concat(key, F.lit("="), quote, value, quote)),
@@ -94,6 +95,7 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
         (1, F.lit("Authorization:"), F.lit("Bearer"), value),
         (1, plain, plain, vendor),
         (1, plain, F.lit("="), F.concat(quote, vendor, quote)),
+        (1, plain, plain, low_vendor),
         (0, plain, public, F.substring(h("c"), 1, 40)),
         (0, public, F.lit("="), F.concat(quote, F.substring(h("c"), F.lit(1), size + 8), quote)),
         (0, plain, public, uuid),
@@ -107,7 +109,6 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
         (0, plain, plain, F.substring(digits, 1, 22)),
         (0, key, F.lit("="), F.repeat(pick("x", "x", "*", "0", "-"), 24)),
     ]
-    shapes = [s for s in shapes if s[3] is not None]
     kinds = F.array(*[F.struct(b.alias("before2"), a.alias("before1"), t.alias("token"), plain.alias("after1"), F.lit(y).cast("double").alias("label")) for y, b, a, t in shapes])
     return spark.range(n).select(F.element_at(kinds, (F.col("id") % len(shapes) + 1).cast("int")).alias("f")).select("f.*")
 
