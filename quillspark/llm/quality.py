@@ -88,5 +88,24 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("lost", 6).alias("lost"))
 
 
+def _oracle() -> str:
+    sql = lambda pattern: "'" + pattern.replace("'", "''") + "'"
+    gap = r"'[\x20\x09-\x0D]+'"
+    fails = f"""(len(list_filter(string_split_regex(trim(x), {gap}), lambda y: true)) < {SHORT_LINE} AND NOT regexp_matches(trim(x), {sql(CLOSING)}))
+      OR 10 * length(regexp_replace(trim(x), '[^#*$%&|<>]', '', 'g')) > length(trim(x)) OR regexp_matches(trim(x), {sql(NAVIGATION)}) OR regexp_matches(trim(x), {sql(BOILERPLATE)})
+      OR 2 * length(regexp_replace(trim(x), '[^\\p{{L}}\\p{{N}}\\s]', '', 'g')) < length(trim(x))"""
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS r FROM documents),
+w AS (SELECT r, doc_id, text, list_filter(string_split_regex(text, {gap}), lambda x: x <> '') AS ws, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM d),
+g AS (SELECT r, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS s FROM (SELECT r, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+again AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, s) AS c FROM g) WHERE c > 1),
+cov AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM again) GROUP BY r),
+b AS (SELECT w.r, doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
+  length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(cov.n, 0)::BIGINT AS n_repeat_words,
+  list_filter(list_filter(ls, lambda x, i: list_position(ls, x) = i), lambda x: NOT ({fails})) AS good FROM w LEFT JOIN cov ON cov.r = w.r),
+c AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  CASE WHEN word_chars > 0 THEN 1 - coalesce(list_sum(list_transform(good, lambda x: length(regexp_replace(x, {gap}, '', 'g')))), 0) / word_chars ELSE 1.0 END AS lost FROM b)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND lost <= {MAX_LOST} AS kept, round(lost::DOUBLE, 6) AS lost FROM c"""
+
+
 QUERIES = {"op9_quality": op9_quality}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op9_quality": _oracle()}
