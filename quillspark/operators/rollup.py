@@ -76,6 +76,7 @@ def module_digest(paths: DataFrame, listed: int = 80) -> DataFrame:
 
 def status(pages: DataFrame, n_raw: int, n_synthed: int) -> DataFrame:
     """(measure, value, n): page counts by kind and status, and the store's totals."""
-    counts = pages.groupBy(F.explode(F.array(F.struct(F.lit("kind").alias("m"), F.col("kind").alias("v")), F.struct(F.lit("status").alias("m"), F.col("status").alias("v")), F.struct(F.lit("pages").alias("m"), F.lit("").alias("v")))).alias("x")).agg(F.count(F.lit(1)).alias("n")).select(F.col("x.m").alias("measure"), F.col("x.v").alias("value"), "n")
+    each = F.array(*[F.struct(F.lit(m).alias("measure"), v.alias("value")) for m, v in (("kind", F.col("kind")), ("status", F.col("status")), ("pages", F.lit("")))])
+    counts = pages.select(F.explode(each).alias("x")).groupBy("x.measure", "x.value").agg(F.count(F.lit(1)).alias("n"))
     totals = pages.sparkSession.createDataFrame([("raw", "", n_raw), ("synthed", "", n_synthed), ("pending", "", max(0, n_raw - n_synthed))], "measure string, value string, n long")
     return counts.unionByName(totals)
