@@ -27,23 +27,25 @@ NUMBER = r"^[^\p{L}\p{N}]*[+-]?[0-9]+([.,:/][0-9]+)*(st|nd|rd|th)?[%°]?[^\p{L}\
 UNIT = r"^(?i)(mm|cm|m|km|g|kg|mg|t|l|ml|s|ms|sec|seconds?|min|minutes?|h|hours?|days?|weeks?|months?|years?|miles?|meters?|metres?|grams?|kilograms?|litres?|liters?|degrees?|percent|dollars?|euros?|pounds?|cents?|usd|eur|gbp|mph|kmh|feet|foot|inch|inches|v|w|kw|hz|mb|gb)[^\p{L}\p{N}]*$"
 
 
-def _typed(df: DataFrame, column: str) -> DataFrame:
-    """Replace ``column`` (words) by the arrays t (template tokens) and w (slot words)."""
-    bare = F.transform(F.col(column), lambda w: F.lower(F.regexp_replace(w, r"[^\p{L}\p{N}]+", "")))
-    df = df.withColumn("w", bare)
-    raw, low = F.col(column), F.col("w")
-
-    def token(w: Column, i: Column) -> Column:
-        before = F.when(i > 0, F.get(raw, i - 1))
-        name = w.rlike(r"^[^\p{L}\p{N}]*\p{Lu}\p{Ll}") & before.isNotNull() & ~before.rlike(r"[.!?:]['\")\]]*$")
-        return F.when(F.get(low, i).rlike("^[0-9]"), F.when(w.rlike(NUMBER), F.lit("<num>")).otherwise(F.get(low, i))).when(name, F.lit("<name>")).when(F.coalesce(before.rlike(NUMBER), F.lit(False)) & w.rlike(UNIT), F.lit("<unit>")).otherwise(F.get(low, i))
+def _templates(df: DataFrame, key: str) -> DataFrame:
+    """key, w and t of every row: the words without punctuation, lower-cased, and the template tokens.
 
-    return df.withColumn("t", F.transform(raw, token)).drop(column)
+    Words without letter or digit go first, in one pass over the text, so that the words as written and the bare
+    ones stand at the same places; per word, a pattern is tried only where a comparison of bytes leaves it possible.
+    """
+    text = F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), r"(?<!\S)[^\p{L}\p{N}\s]+(?!\S)", "")
+    split = lambda c: F.filter(F.split(c, WORD_GAP), lambda w: w != "")
+    words = df.select(F.col(key).cast("long").alias(key), text.alias("kept")).select(key, split(F.col("kept")).alias("raw"), split(F.lower(F.regexp_replace("kept", r"[^\p{L}\p{N}\s]+", ""))).alias("w"))
+    raw, low = F.col("raw"), F.col("w")
+    digit = lambda c: (c >= "0") & (c < ":")
 
+    def token(w: Column, i: Column) -> Column:
+        bare, before = F.get(low, i), F.when(i > 0, F.get(raw, i - 1))
+        name = (F.lower(w) != w) & w.rlike(r"^[^\p{L}\p{N}]*\p{Lu}\p{Ll}") & before.isNotNull() & ~before.rlike(r"[.!?:]['\")\]]*$")
+        unit = (i > 0) & digit(F.get(low, F.greatest(i - 1, F.lit(0)))) & before.rlike(NUMBER) & w.rlike(UNIT)
+        return F.when(digit(bare), F.when(w.rlike(NUMBER), F.lit("<num>")).otherwise(bare)).when(name, F.lit("<name>")).when(unit, F.lit("<unit>")).otherwise(bare)
 
-def _templates(df: DataFrame, key: str) -> DataFrame:
-    words = F.filter(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), WORD_GAP), lambda w: w.rlike(r"[\p{L}\p{N}]"))
-    return _typed(df.select(F.col(key).cast("long").alias(key), words.alias("raw")), "raw")
+    return words.withColumn("t", F.transform(raw, token)).drop("raw")
 
 
 def _windows(size: int) -> Column:
