@@ -91,9 +91,10 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: flo
 
 
 def remove(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item (rows without a doc_id are judged by their text's key)."""
-    found = find(docs, benchmark).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("_leak")), "left_anti")
+    """The rows of ``docs`` that hold no benchmark item; each row is judged by itself, whatever its doc_id."""
+    key = F.xxhash64("doc_id", "text")
+    found = find(docs.select(key.alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("_leak")).distinct()
+    return docs.join(found, key == F.col("_leak"), "left_anti")
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

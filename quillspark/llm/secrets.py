@@ -158,11 +158,11 @@ def scan(docs: DataFrame, model: RandomForestClassificationModel | None = None)
 def redact(docs: DataFrame, model: RandomForestClassificationModel | None = None) -> DataFrame:
     """``docs`` with every secret in ``text`` replaced by a mask and ``n_chars``, if there, recounted.
 
-    Secrets reach their rows as one array per doc_id (rows of one id share them: a value is replaced only where it
-    stands), by a left join of the few documents that have any.
+    Secrets reach their rows as one array for each key of doc_id and text, by a left join of the few that have any.
     """
-    secrets = scan(docs, model).filter(F.col("is_secret") & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.sort_array(F.collect_set("value"), asc=False).alias("_secrets"))
-    joined = docs.join(secrets.withColumnRenamed("doc_id", "_secret_doc"), docs["doc_id"] == F.col("_secret_doc"), "left")
+    key = F.xxhash64("doc_id", "text")
+    secrets = scan(docs.select(key.alias("doc_id"), "text"), model).filter("is_secret").groupBy(F.col("doc_id").alias("_secret_doc")).agg(F.sort_array(F.collect_set("value"), asc=False).alias("_secrets"))
+    joined = docs.join(secrets, key == F.col("_secret_doc"), "left")
     text = F.aggregate(F.coalesce("_secrets", F.array().cast("array<string>")), F.col("text"), lambda t, s: F.replace(t, s, F.lit(MASK)))
     out = joined.withColumn("text", F.when(F.col("_secrets").isNotNull(), text).otherwise(F.col("text")))
     if "n_chars" in docs.columns:

@@ -88,6 +88,16 @@ def test_secrets_redact_keeps_rows_and_columns(docs):
     assert list(changed) == [13] and changed[13]["n_chars"] == len(changed[13]["text"])
 
 
+def test_secrets_and_leaks_without_ids(spark):
+    secret = 'token = "269b1cea0846965f2d3ecb5cdb87c0edc7a7a587"'
+    item = "how many red and green apples does the old farmer carry home from the market today"
+    rows = [(None, secret), (None, f"{item} twice"), (None, "clean words"), (7, f"so {item}"), (7, "clean words of the same id"), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(str(r["text"]) for r in secrets.redact(df.limit(1)).collect()) == [f'token = "{secrets.MASK}"']
+    left = decontaminate.remove(df, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert sorted(str(r["text"]) for r in left.collect()) == sorted(["None", "clean words", "clean words of the same id", secret])
+
+
 def test_forest_beats_keywords_on_held_out_findings(spark):
     findings = secrets.labelled_findings(spark, 3000).withColumn("n", F.monotonically_increasing_id())
     model = secrets.train(findings.filter("n % 5 != 0"))
