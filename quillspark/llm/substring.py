@@ -252,11 +252,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     unique.write.bucketBy(parts, "digest").format("parquet").option("compression", "zstd").saveAsTable(name)
     texts = spark.table(name).select("digest", "text", "copies")
     grams = materialize(texts.mapInArrow(_minimizers(window, gram), "digest binary, h long, times int, copies long"), "minimizers")
-    again = grams.groupBy("h").agg(F.sum(F.col("times") * F.col("copies")).alias("n")).filter(F.col("n") > 1).select("h")
+    # written first: a join of two plain tables is one whose hot keys Spark can split
+    again = materialize(grams.groupBy("h").agg(F.sum(F.col("times") * F.col("copies")).alias("n")).filter(F.col("n") > 1).select("h"), "again")
     mine = grams.select("digest", "h").join(again, "h", "left_semi").groupBy("digest").agg(F.collect_list("h").alias("again"))
     found = texts.join(mine, "digest").select("digest", "text", "copies", "again")
     windows = materialize(found.mapInArrow(_windows(window, gram), "digest binary, one long, two long, start int, copies long"), "windows")
-    repeated = windows.groupBy("one", "two").agg(F.sum("copies").alias("n")).filter(F.col("n") > 1).select("one", "two")
+    repeated = materialize(windows.groupBy("one", "two").agg(F.sum("copies").alias("n")).filter(F.col("n") > 1).select("one", "two"), "repeated")
     starts = windows.filter(F.col("copies") == 1).select("digest", "one", "two", "start").join(repeated, ["one", "two"], "left_semi").groupBy("digest").agg(F.collect_list("start").alias("starts"))
     result = texts.join(starts, "digest", "left").select("digest", "text", "copies", "starts").mapInArrow(_finish(window), "digest binary, n_words long, n_removed long, kept_sha256 string")
     result = materialize(result, "kept")
