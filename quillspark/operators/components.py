@@ -1,7 +1,8 @@
 """Connected components of an edge table by alternating large and small stars.
 
 Every step only moves edges towards the smallest neighbour and is a grouped minimum (partial, so a hot node
-is combined before the shuffle) joined back by node; no links or components reach the driver, only two
+is combined before the shuffle), written and joined back by node (a join of two plain tables, in which Spark
+can split the rows of a hot node); no links or components reach the driver, only two
 numbers a round (row count and a digest) to see that nothing changed.
 """
 
@@ -19,14 +20,16 @@ def _digest(edges: DataFrame) -> tuple:
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    ends = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")
+    both = edges.select(ends).select("e.a", "e.b")
     least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    least = materialize(least, "star")
     return both.join(least, "a").filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
+    least = materialize(down.groupBy("a").agg(F.min("b").alias("m")), "star")
     moved = down.join(least, "a").filter(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionAll(least.select("a", F.col("m").alias("b")))
 
@@ -39,7 +42,7 @@ def components(edges: DataFrame) -> DataFrame:
     now = materialize(edges.select("a", "b").filter(F.col("a") != F.col("b")).distinct(), "edges")
     seen = _digest(now)
     while seen[0]:
-        after = materialize(_small_star(_large_star(now)).filter(F.col("a") != F.col("b")).distinct(), "edges")
+        after = materialize(_small_star(materialize(_large_star(now), "edges")).filter(F.col("a") != F.col("b")).distinct(), "edges")
         last, seen, now = seen, _digest(after), after
         if seen == last:
             break
