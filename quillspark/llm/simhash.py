@@ -113,7 +113,7 @@ def links(prints: DataFrame, leaf_size: int = LEAF, levels: int = LEVELS) -> Dat
     some_hot = not hot.isEmpty()
     cold = keyed
     if some_hot:
-        key = F.broadcast(hot) if small(hot, 32) else hot
+        key = F.broadcast(hot) if small(hot, 64) else hot
         cold = keyed.join(key, ["tree", "leaf"], "left_anti")
     cold = cold.groupBy("tree", "leaf").agg(F.collect_list("fp").alias("prints")).filter(F.size("prints") > 1).select("prints")
     found = cold.mapInArrow(_leaf_links, "a long, b long")
@@ -138,7 +138,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     by_print = materialize(classes(tagged), "classes")
     least = tagged.groupBy("fp").agg(F.min("doc_id").alias("least"))
     ids = by_print.join(least, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
-    named = by_print.join(ids, "root").select("fp", "component_id")
+    named = materialize(by_print.join(ids, "root").select("fp", "component_id"), "components")
     return tagged.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -150,7 +150,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     by_print = materialize(classes(tagged), "classes")
     least = tagged.groupBy("fp").agg(F.min("rank").alias("least"))
     first = materialize(by_print.join(least, "fp").groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.rid").alias(row)), "simhash-kept")
-    key = F.broadcast(first) if small(first, 16) else first
+    key = F.broadcast(first) if small(first, 64) else first
     return whole.join(key, row, "left_semi").drop(row, mark)
 
 
