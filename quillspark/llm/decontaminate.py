@@ -4,7 +4,8 @@ Native expressions only.  A text becomes template tokens: numbers, names (capita
 and units after numbers are typed placeholders, other words are lower-cased without punctuation.  Windows of
 template tokens are hash-joined with those of the benchmark items; a matching document keeps the words that
 fill its slots, and the filling must be a function of the item's: a re-parameterised question swaps values
-consistently, while an unrelated text that shares a frame does not.
+consistently, while an unrelated text that shares a frame does not.  Each occurrence of an item is judged by itself,
+so a document may hold any number of copies that are filled differently.
 
 Edge cases: null and empty texts match nothing; an item of fewer tokens than the window is one window of its own
 length; items without tokens are ignored; repeated rows count once per (doc_id, item_id); an empty table or
@@ -13,7 +14,7 @@ benchmark gives no rows; other columns are ignored by ``find`` and kept by ``rem
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import WORD_GAP, materialize, small, table
@@ -22,6 +23,8 @@ from quillspark.llm.common import WORD_GAP, materialize, small, table
 WINDOW, SHARE, LITERALS = 8, 0.5, 3
 #: Slots of a match that must be filled consistently.
 CONSISTENT = 0.8
+#: Offsets (place in the document less place in the item) of one occurrence are at most so far from the next.
+DRIFT = 4
 
 NUMBER = r"^[^\p{L}\p{N}]*[+-]?[0-9]+([.,:/][0-9]+)*(st|nd|rd|th)?[%°]?[^\p{L}\p{N}]*$"
 UNIT = r"^(?i)(mm|cm|m|km|g|kg|mg|t|l|ml|s|ms|sec|seconds?|min|minutes?|h|hours?|days?|weeks?|months?|years?|miles?|meters?|metres?|grams?|kilograms?|litres?|liters?|degrees?|percent|dollars?|euros?|pounds?|cents?|usd|eur|gbp|mph|kmh|feet|foot|inch|inches|v|w|kw|hz|mb|gb)[^\p{L}\p{N}]*$"
@@ -67,8 +70,29 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW, literals: int = LIT
     return materialize(out.select("item_id", "size", "x.*", "n_windows"), "benchmark-windows")
 
 
+def _occurrences(pairs: DataFrame) -> DataFrame:
+    """Every pair once for each level of grouping: level and part (the occurrence it belongs to).
+
+    Level 0 is the pairs of one offset (an unbroken copy), level 1 those of offsets at most DRIFT apart from the next
+    (a copy with words put in or left out), level 2 all of a document (an item in distant parts).
+    """
+    off = (F.col("at") - F.col("item_at"))
+    pairs = pairs.withColumn("off", off)
+    order = Window.partitionBy("doc_id", "item_id").orderBy("off")
+    starts = (F.col("off") - F.lag("off").over(order) > DRIFT).cast("int")
+    runs = pairs.select("doc_id", "item_id", "off").distinct().withColumn("new", F.coalesce(starts, F.lit(0)))
+    runs = runs.withColumn("run", F.sum("new").over(order).cast("int")).drop("new").withColumnsRenamed({"doc_id": "_d", "item_id": "_i", "off": "_o"})
+    met = pairs.join(runs, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("item_id") == F.col("_i")) & (F.col("off") == F.col("_o")))
+    level = lambda k, part: F.struct(F.lit(k).alias("level"), part.cast("int").alias("part"))
+    each = F.explode(F.array(level(0, F.col("off")), level(1, F.col("run")), level(2, F.lit(0))))
+    return met.drop("_d", "_i", "_o").withColumn("g", each).select("*", "g.level", "g.part").drop("g", "off", "run")
+
+
 def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE) -> DataFrame:
-    """doc_id, item_id, n_matched, n_windows, coverage, consistency of every contaminated (document, item)."""
+    """doc_id, item_id, n_matched, n_windows, coverage, consistency of every contaminated (document, item).
+
+    Coverage and consistency are those of one occurrence, the best; one that passes both thresholds suffices.
+    """
     bench = item_windows(benchmark, window)
     sizes = sorted(r["size"] for r in bench.select("size").distinct().collect())  # at most ``window`` values
     if not sizes:
@@ -81,13 +105,17 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: flo
     met = every.join(side, ["h", "size"], "left_semi").distinct()
     wide = F.broadcast(bench) if small(bench, 400) else bench
     pairs = met.join(wide, ["h", "size"]).select("doc_id", "item_id", "item_at", "at", "n_windows", F.filter(F.arrays_zip("slots", "filled", "typed"), lambda z: z["typed"]).alias("filling"))
-    matched = pairs.groupBy("doc_id", "item_id").agg(F.countDistinct("item_at").alias("n_matched"), F.max("n_windows").alias("n_windows"))
-    slots = pairs.select("doc_id", "item_id", "item_at", F.explode("filling").alias("z")).select("doc_id", "item_id", F.col("z.slots").alias("a"), F.col("z.filled").alias("b")).groupBy("doc_id", "item_id", "a", "b").agg(F.count(F.lit(1)).alias("n"))
-    best = slots.groupBy("doc_id", "item_id", "a").agg(F.max("n").alias("most"), F.sum("n").alias("all")).groupBy("doc_id", "item_id").agg((F.sum("most") / F.sum("all")).alias("consistency"))
+    pairs = _occurrences(pairs)
+    group = ["doc_id", "item_id", "level", "part"]
+    matched = pairs.groupBy(*group).agg(F.countDistinct("item_at").alias("n_matched"), F.max("n_windows").alias("n_windows"))
+    slots = pairs.select(*group, F.explode("filling").alias("z")).select(*group, F.col("z.slots").alias("a"), F.col("z.filled").alias("b")).groupBy(*group, "a", "b").agg(F.count(F.lit(1)).alias("n"))
+    best = slots.groupBy(*group, "a").agg(F.max("n").alias("most"), F.sum("n").alias("all")).groupBy(*group).agg((F.sum("most") / F.sum("all")).alias("consistency"))
     both = matched.withColumn("coverage", F.round(F.col("n_matched") / F.col("n_windows"), 6)).filter(F.col("coverage") >= share)
-    joined = both.join(best.withColumnsRenamed({"doc_id": "_d", "item_id": "_i"}), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("item_id") == F.col("_i")), "left")
+    mine = best.withColumnsRenamed({g: f"_{g}" for g in group})
+    joined = both.join(mine, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("item_id") == F.col("_item_id")) & (F.col("level") == F.col("_level")) & (F.col("part") == F.col("_part")), "left")
     out = joined.withColumn("consistency", F.round(F.coalesce("consistency", F.lit(1.0)), 6)).filter(F.col("consistency") >= CONSISTENT)
-    return out.select("doc_id", "item_id", "n_matched", "n_windows", "coverage", "consistency")
+    top = F.max(F.struct("coverage", "consistency", "n_matched", "n_windows")).alias("x")
+    return out.groupBy("doc_id", "item_id").agg(top).select("doc_id", "item_id", "x.n_matched", "x.n_windows", "x.coverage", "x.consistency")
 
 
 def remove(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
