@@ -1,8 +1,9 @@
 """Benchmark decontamination by template windows.
 
-Native expressions only.  A text becomes template tokens: numbers, names (capitalised words inside a sentence)
-and units after numbers are typed placeholders, other words are lower-cased without punctuation.  Windows of
-template tokens are hash-joined with those of the benchmark items; a matching document keeps the words that
+Native expressions only.  A text becomes template tokens: numbers, names (capitalised words but function
+words, wherever they stand) and units after numbers are typed placeholders, other words are lower-cased without
+punctuation.  Windows of template tokens, and those of the words themselves, are hash-joined with those of the
+benchmark items; a matching document keeps the words that
 fill its slots, and the filling must be a function of the item's: a re-parameterised question swaps values
 consistently, while an unrelated text that shares a frame does not.  Each occurrence of an item is judged by itself,
 so a document may hold any number of copies that are filled differently.
@@ -29,6 +30,25 @@ DRIFT = 4
 NUMBER = r"^[^\p{L}\p{N}]*[+-]?[0-9]+([.,:/][0-9]+)*(st|nd|rd|th)?[%°]?[^\p{L}\p{N}]*$"
 UNIT = r"^(?i)(mm|cm|m|km|g|kg|mg|t|l|ml|s|ms|sec|seconds?|min|minutes?|h|hours?|days?|weeks?|months?|years?|miles?|meters?|metres?|grams?|kilograms?|litres?|liters?|degrees?|percent|dollars?|euros?|pounds?|cents?|usd|eur|gbp|mph|kmh|feet|foot|inch|inches|v|w|kw|hz|mb|gb)[^\p{L}\p{N}]*$"
 
+#: Words that are never names, however they are written (English, French, German, Spanish).
+FUNCTION_WORDS = sorted(set(
+    """a an the this that these those it its he she they we you i his her their our your my him them us me who whom whose which what
+    when where why how if then else than as and or but nor so yet not no yes of in on at by for from with without to into onto over
+    under after before during between among about against through while because since until although though unless once is are was
+    were be been being am do does did done has have had having can could will would shall should may might must let there here all
+    any both each every either neither some many much more most few less several such only also just too very now again however
+    le la les un une des du de et ou mais donc or ni car que qui quoi dont où quand comment pourquoi quel quelle quels quelles ce
+    cet cette ces il elle ils elles on nous vous je tu son sa ses leur leurs notre nos votre vos mon ma mes dans sur sous par pour
+    avec sans chez vers entre après avant pendant si est sont était être a ont avait avoir ne pas plus
+    der die das den dem des ein eine einer eines einem einen und oder aber denn dass wenn weil als wie was wer wo wann warum welche
+    welcher welches er sie es wir ihr ich du sein seine ihre unser euer mein dein in im an am auf aus bei mit nach von vom zu zum zur
+    für über unter vor hinter zwischen durch gegen ohne um ist sind war waren hat haben hatte wird werden kann können nicht kein keine
+    el los las lo una unos unas y o u pero sino que quien cuando donde como cual cuales cuanto cuantos por para con sin sobre entre
+    desde hasta en del al se su sus mi tu nuestro nuestra este esta estos estas ese esa eso él ella ellos ellas es son era fue ser
+    estar está están hay ha han no sí más muy
+    qué quién cuándo dónde cómo cuál cuáles cuánto cuántos cuántas""".split()
+))
+
 
 def _templates(df: DataFrame, key: str) -> DataFrame:
     """key, w and t of every row: the words without punctuation, lower-cased, and the template tokens.
@@ -44,7 +64,7 @@ def _templates(df: DataFrame, key: str) -> DataFrame:
 
     def token(w: Column, i: Column) -> Column:
         bare, before = F.get(low, i), F.when(i > 0, F.get(raw, i - 1))
-        name = (F.lower(w) != w) & w.rlike(r"^[^\p{L}\p{N}]*\p{Lu}\p{Ll}") & before.isNotNull() & ~before.rlike(r"[.!?:]['\")\]]*$")
+        name = (F.lower(w) != w) & ~bare.isin(FUNCTION_WORDS) & w.rlike(r"^[^\p{L}\p{N}]*\p{Lu}\p{Ll}")
         unit = (i > 0) & digit(F.get(low, F.greatest(i - 1, F.lit(0)))) & before.rlike(NUMBER) & w.rlike(UNIT)
         return F.when(digit(bare), F.when(w.rlike(NUMBER), F.lit("<num>")).otherwise(bare)).when(name, F.lit("<name>")).when(unit, F.lit("<unit>")).otherwise(bare)
 
@@ -52,22 +72,28 @@ def _templates(df: DataFrame, key: str) -> DataFrame:
 
 
 def _windows(size: int) -> Column:
-    """Array of struct(h, at, size) of the windows of ``size`` tokens of column t."""
-    t = F.col("t")
-    return F.when(F.size(t) >= size, F.transform(F.sequence(F.lit(1), F.size(t) - (size - 1)), lambda i: F.struct(F.xxhash64(F.slice(t, i, size)).alias("h"), i.alias("at"), F.lit(size).alias("size"))))
+    """Array of struct(t, w, at, size) of the windows of ``size`` tokens: hashes of their template and their words."""
+    both = F.col("t"), F.col("w")
+    each = lambda i: F.struct(*[F.xxhash64(F.slice(c, i, size)).alias(n) for c, n in zip(both, "tw")], i.alias("at"), F.lit(size).alias("size"))
+    return F.when(F.size("t") >= size, F.transform(F.sequence(F.lit(1), F.size("t") - (size - 1)), each))
 
 
 def item_windows(benchmark: DataFrame, window: int = WINDOW, literals: int = LITERALS) -> DataFrame:
-    """item_id, h, size, item_at, slots (words), n_windows of every benchmark item, durable.
+    """item_id, way, h, size, item_at, slots (words), typed, n_windows of every benchmark item, durable.
 
-    A window must hold ``literals`` plain words, so that placeholders alone never match.
+    Way 0 is the windows of ``literals`` plain words at least (placeholders alone never match by template), found by
+    template or by words.
     """
     items = _templates(benchmark.dropDuplicates(["item_id", "text"]) if {"item_id", "text"} <= set(benchmark.columns) else benchmark, "item_id").filter(F.size("t") > 0)
-    t, size = F.col("t"), F.least(F.lit(window), F.size("t"))
+    t, w, size = F.col("t"), F.col("w"), F.least(F.lit(window), F.size("t"))
     plain = lambda i: F.size(F.filter(F.slice(t, i, size), lambda x: ~x.startswith("<"))) >= F.least(F.lit(literals), size)
-    each = F.transform(F.filter(F.sequence(F.lit(1), F.size(t) - size + 1), plain), lambda i: F.struct(F.xxhash64(F.slice(t, i, size)).alias("h"), i.alias("item_at"), F.slice(F.col("w"), i, size).alias("slots"), F.transform(F.slice(t, i, size), lambda x: x.startswith("<")).alias("typed")))
-    out = items.select("item_id", size.alias("size"), F.explode(each).alias("x"), F.size(each).alias("n_windows"))
-    return materialize(out.select("item_id", "size", "x.*", "n_windows"), "benchmark-windows")
+    places = F.sequence(F.lit(1), F.size(t) - size + 1)
+    items = items.withColumns({"_every": places, "_some": F.filter(places, plain)})
+    row = lambda i, way, c, at: F.struct(F.lit(way).alias("way"), F.xxhash64(F.slice(c, i, size)).alias("h"), i.alias("item_at"), F.slice(w, i, size).alias("slots"), F.transform(F.slice(t, i, size), lambda x: x.startswith("<")).alias("typed"), F.size(at).alias("n_windows"))
+    found = lambda way, c, at: F.transform(at, lambda i: row(i, way, F.col(c), F.col(at)))
+    each = F.array_distinct(F.concat(*[found(*x) for x in ((0, "t", "_some"), (0, "w", "_some"))]))
+    out = items.select("item_id", size.alias("size"), F.explode(each).alias("x"))
+    return materialize(out.select("item_id", "size", "x.*"), "benchmark-windows")
 
 
 def _occurrences(pairs: DataFrame) -> DataFrame:
@@ -98,21 +124,23 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: flo
     if not sizes:
         sizes = [window]
     texts = _templates(docs, "doc_id")
-    arrays = [F.coalesce(_windows(s), F.array().cast("array<struct<h:bigint,at:int,size:int>>")) for s in sizes]
+    arrays = [F.coalesce(_windows(s), F.array().cast("array<struct<t:bigint,w:bigint,at:int,size:int>>")) for s in sizes]
     key = bench.select("h", "size").distinct()
     side = F.broadcast(key) if small(bench, 400) else key
-    every = texts.withColumn("x", F.explode(F.concat(*arrays))).select("doc_id", "x.h", "x.at", "x.size", F.slice(F.col("w"), F.col("x.at"), F.col("x.size")).alias("filled"))
+    placed = texts.withColumn("x", F.explode(F.concat(*arrays)))
+    hashes = F.explode(F.when(F.col("x.t") == F.col("x.w"), F.array("x.t")).otherwise(F.array("x.t", "x.w")))
+    every = placed.withColumn("h", hashes).select("doc_id", "h", "x.at", "x.size", F.slice(F.col("w"), F.col("x.at"), F.col("x.size")).alias("filled"))
     met = every.join(side, ["h", "size"], "left_semi").distinct()
     wide = F.broadcast(bench) if small(bench, 400) else bench
-    pairs = met.join(wide, ["h", "size"]).select("doc_id", "item_id", "item_at", "at", "n_windows", F.filter(F.arrays_zip("slots", "filled", "typed"), lambda z: z["typed"]).alias("filling"))
-    pairs = _occurrences(pairs)
-    group = ["doc_id", "item_id", "level", "part"]
+    pairs = met.join(wide, ["h", "size"]).select("doc_id", "item_id", "way", "item_at", "at", "n_windows", F.filter(F.arrays_zip("slots", "filled", "typed"), lambda z: z["typed"]).alias("filling"))
+    pairs = _occurrences(pairs.distinct())
+    group = ["doc_id", "item_id", "way", "level", "part"]
     matched = pairs.groupBy(*group).agg(F.countDistinct("item_at").alias("n_matched"), F.max("n_windows").alias("n_windows"))
     slots = pairs.select(*group, F.explode("filling").alias("z")).select(*group, F.col("z.slots").alias("a"), F.col("z.filled").alias("b")).groupBy(*group, "a", "b").agg(F.count(F.lit(1)).alias("n"))
     best = slots.groupBy(*group, "a").agg(F.max("n").alias("most"), F.sum("n").alias("all")).groupBy(*group).agg((F.sum("most") / F.sum("all")).alias("consistency"))
     both = matched.withColumn("coverage", F.round(F.col("n_matched") / F.col("n_windows"), 6)).filter(F.col("coverage") >= share)
     mine = best.withColumnsRenamed({g: f"_{g}" for g in group})
-    joined = both.join(mine, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("item_id") == F.col("_item_id")) & (F.col("level") == F.col("_level")) & (F.col("part") == F.col("_part")), "left")
+    joined = both.join(mine, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("item_id") == F.col("_item_id")) & (F.col("way") == F.col("_way")) & (F.col("level") == F.col("_level")) & (F.col("part") == F.col("_part")), "left")
     out = joined.withColumn("consistency", F.round(F.coalesce("consistency", F.lit(1.0)), 6)).filter(F.col("consistency") >= CONSISTENT)
     top = F.max(F.struct("coverage", "consistency", "n_matched", "n_windows")).alias("x")
     return out.groupBy("doc_id", "item_id").agg(top).select("doc_id", "item_id", "x.n_matched", "x.n_windows", "x.coverage", "x.consistency")

@@ -17,3 +17,12 @@ def test_copies_filled_differently(spark):
     gap = " and so the long work sheet goes on to the next of its many tasks with some other words "
     texts = [gap.join([item, other]), gap.join([item, other, third]), f"{item} {other} {third}", gap.join([cut(other), cut(third)]), gap]
     assert found(spark, [item], texts) == {(0, 0), (1, 0), (2, 0), (3, 0)}
+
+
+def test_names_first_in_their_sentences_and_items_after_headings(spark):
+    short = "Tom has 3 red apples. Ann has 4 green pears. Bob has 5 blue plums. Eve has 6 ripe figs."
+    swapped = short.replace("Tom", "Kim").replace("Ann", "Lea").replace("Bob", "Max").replace("Eve", "Zoe").replace("3", "8")
+    question = "What is the capital of France"
+    verse = "Rivers run Slowly down to Seas of sand"
+    texts = [f"Some words. {swapped} The end.", f"Q1 {question}", f"Heading\n{question}? Paris", f"it says {verse.lower()} there", "What is the colour of"]
+    assert found(spark, [short, question, verse], texts) == {(0, 0), (1, 1), (2, 1), (3, 2)}
