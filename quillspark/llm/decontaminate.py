@@ -9,7 +9,8 @@ consistently, while an unrelated text that shares a frame does not.  Each occurr
 so a document may hold any number of copies that are filled differently.
 
 Edge cases: null and empty texts match nothing; an item of fewer tokens than the window is one window of its own
-length; items without tokens are ignored; repeated rows count once per (doc_id, item_id); an empty table or
+length; items without tokens are ignored, items of hardly more than numbers and names are found only
+word for word; repeated rows count once per (doc_id, item_id); an empty table or
 benchmark gives no rows; other columns are ignored by ``find`` and kept by ``remove``.
 """
 
@@ -82,7 +83,8 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW, literals: int = LIT
     """item_id, way, h, size, item_at, slots (words), typed, n_windows of every benchmark item, durable.
 
     Way 0 is the windows of ``literals`` plain words at least (placeholders alone never match by template), found by
-    template or by words.
+    template or by words.  Way 1 is all windows, found by words alone, so that an item of numbers and names is
+    found word for word.
     """
     items = _templates(benchmark.dropDuplicates(["item_id", "text"]) if {"item_id", "text"} <= set(benchmark.columns) else benchmark, "item_id").filter(F.size("t") > 0)
     t, w, size = F.col("t"), F.col("w"), F.least(F.lit(window), F.size("t"))
@@ -91,7 +93,7 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW, literals: int = LIT
     items = items.withColumns({"_every": places, "_some": F.filter(places, plain)})
     row = lambda i, way, c, at: F.struct(F.lit(way).alias("way"), F.xxhash64(F.slice(c, i, size)).alias("h"), i.alias("item_at"), F.slice(w, i, size).alias("slots"), F.transform(F.slice(t, i, size), lambda x: x.startswith("<")).alias("typed"), F.size(at).alias("n_windows"))
     found = lambda way, c, at: F.transform(at, lambda i: row(i, way, F.col(c), F.col(at)))
-    each = F.array_distinct(F.concat(*[found(*x) for x in ((0, "t", "_some"), (0, "w", "_some"))]))
+    each = F.array_distinct(F.concat(*[found(*x) for x in ((0, "t", "_some"), (0, "w", "_some"), (1, "w", "_every"))]))
     out = items.select("item_id", size.alias("size"), F.explode(each).alias("x"))
     return materialize(out.select("item_id", "size", "x.*"), "benchmark-windows")
 

@@ -26,3 +26,8 @@ def test_names_first_in_their_sentences_and_items_after_headings(spark):
     verse = "Rivers run Slowly down to Seas of sand"
     texts = [f"Some words. {swapped} The end.", f"Q1 {question}", f"Heading\n{question}? Paris", f"it says {verse.lower()} there", "What is the colour of"]
     assert found(spark, [short, question, verse], texts) == {(0, 0), (1, 1), (2, 1), (3, 2)}
+
+
+def test_items_of_hardly_more_than_placeholders(spark):
+    texts = ["Sums: What is 345 * 27 ? It is 9315", "What is 346 * 27 ?", "12 13 14 15 16 17 18 19 20 21", "list 12 13 14 15 16 17 18 19 20 22"]
+    assert found(spark, ["What is 345 * 27 ?", texts[2]], texts) == {(0, 0), (2, 1), (3, 1)}
