@@ -4,8 +4,8 @@ Base spans are e-mail addresses, IPs, card and phone numbers.  Their values are
 in an entity's neighbourhood is a candidate; over the whole corpus, the share of the word's occurrences that
 stand beside one entity estimates how strongly the word reveals it (pointwise information
 ``log2(P(entity|word) / P(entity))`` with P(entity|word) the disclosure).  Words above both thresholds are
-protected wherever they occur, as spans of kind ``term``.  Equal neighbourhoods count once, so copies of a
-document are no evidence.
+protected wherever they occur, as spans of kind ``term``.  Equal neighbourhoods count once, beside an
+entity and elsewhere, so copies of a document are no evidence for or against a word.
 
 Edge cases: null and empty texts have no spans; repeated rows give equal rows; an empty table gives none; a
 null doc_id is carried; other columns are ignored.
@@ -16,7 +16,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import xxhash
@@ -72,17 +72,41 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def contexts(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[str, int, int]]:
-    """(term, entity, neighbourhood) of every candidate word; entity and neighbourhood are hashes."""
+def beside(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[int, list[tuple[int, str]], int]]:
+    """(entity, candidate words with their places, neighbourhood) of every span; entity and neighbourhood are hashes."""
     for kind, a, b in spans:
-        left, right = text[max(0, a - 200) : a], text[b : b + 200]
-        near = [m[0].lower() for m in _word.finditer(left)][-CONTEXT_WORDS:] + [m[0].lower() for m in _word.finditer(right)][:CONTEXT_WORDS]
+        start = max(0, a - 200)
+        near = [(start + m.start(), m[0].lower()) for m in _word.finditer(text[start:a])][-CONTEXT_WORDS:] + [(b + m.start(), m[0].lower()) for m in _word.finditer(text[b : b + 200])][:CONTEXT_WORDS]
         entity = xxhash.xxh64_intdigest(f"{kind}:{text[a:b].lower()}") >> 1
-        around = xxhash.xxh64_intdigest(" ".join(near)) >> 1
-        for term in set(near):
+        yield entity, near, xxhash.xxh64_intdigest(" ".join(w for _, w in near)) >> 1
+
+
+def contexts(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[str, int, int]]:
+    """(term, entity, neighbourhood) of every candidate word; entity and neighbourhood are hashes."""
+    for entity, near, around in beside(text, spans):
+        for term in {w for _, w in near}:
             yield term, entity, around
 
 
+def occurrences(text: str, wanted: Callable[[str], bool]) -> Iterator[tuple[str, int]]:
+    """(term, neighbourhood) of every occurrence of a wanted word: those of the entities beside it, or else its own."""
+    words = [(m.start(), m[0].lower()) for m in _word.finditer(text)]
+    hits = [i for i, (_, w) in enumerate(words) if wanted(w)]
+    if not hits:
+        return
+    by_place: dict[int, list[int]] = {}
+    for _, near, around in beside(text, base_spans(text)):
+        for at, _ in near:
+            by_place.setdefault(at, []).append(around)
+    for i in hits:
+        at, term = words[i]
+        if at in by_place:
+            for around in by_place[at]:
+                yield term, around
+        else:
+            yield term, xxhash.xxh64_intdigest(" ".join(w for _, w in words[max(0, i - CONTEXT_WORDS) : i + CONTEXT_WORDS + 1])) >> 1
+
+
 def disclosing_terms(docs: DataFrame) -> DataFrame:
     """Durable table term, entity, contexts, occurrences, bits of all words above the thresholds."""
 
@@ -102,24 +126,32 @@ def disclosing_terms(docs: DataFrame) -> DataFrame:
     n = pairs.count()
     if n == 0:
         return pairs.withColumns({"occurrences": F.lit(0).cast("long"), "bits": F.lit(0.0)})
-    terms = pairs.select("term").distinct()
-    if n * TERM_BYTES <= BROADCAST_BYTES:
-        wanted = docs.sparkSession.sparkContext.broadcast(frozenset(r["term"] for r in terms.collect()))
-
-        def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            keep = wanted.value
-            for b in rows(batches):
-                c: Counter = Counter()
-                for t in b.column(0).to_pylist():
-                    c.update(w for w in _word.findall(t.lower()) if w in keep)
-                if c:
-                    yield pa.record_batch([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], names=["term", "n"])
-
-        counted = texts.mapInArrow(count, "term string, n long")
-    else:
-        words = texts.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([\\p{L}]{4,})"), F.lit(1))).alias("term"))
-        counted = words.join(terms, "term", "left_semi").withColumn("n", F.lit(1).cast("long"))
-    totals = counted.groupBy("term").agg(F.sum("n").alias("occurrences"))
+    # a term seen in more neighbourhoods than this is below the threshold, whatever else there is of it
+    most = pairs.groupBy("term").agg(F.floor(F.max("contexts") / MIN_DISCLOSURE).alias("most"))
+    limits = docs.sparkSession.sparkContext.broadcast({r["term"]: r["most"] for r in most.collect()}) if n * TERM_BYTES <= BROADCAST_BYTES else None
+
+    def units(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        most = limits.value if limits is not None else None
+        task: dict[str, set[int]] = {}
+        wanted = (lambda w: w in most and len(task.get(w, ())) <= most[w]) if most is not None else (lambda w: True)
+        for b in rows(batches):
+            found = []
+            for t in b.column(0).to_pylist():
+                for term, around in occurrences(t, wanted):
+                    if most is not None:
+                        seen = task.setdefault(term, set())
+                        if around in seen or len(seen) > most[term]:
+                            continue
+                        seen.add(around)
+                    found.append((term, around))
+            if found:
+                term, around = zip(*found)
+                yield pa.record_batch([pa.array(term, pa.string()), pa.array(around, pa.int64())], names=["term", "around"])
+
+    counted = texts.mapInArrow(units, "term string, around long")
+    if limits is None:
+        counted = counted.join(pairs.select("term").distinct(), "term", "left_semi")
+    totals = counted.distinct().groupBy("term").agg(F.count(F.lit(1)).alias("occurrences"))
     by_entity = pairs.groupBy("entity").agg(F.sum("contexts").alias("near"))
     near_any = pairs.agg(F.sum("contexts").alias("c")).first()["c"]
     scored = (
