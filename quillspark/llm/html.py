@@ -2,7 +2,7 @@
 
 Pages of one host are merged into a tree of style nodes (paths of tag and class).  A node's presentation
 importance is the entropy of its child sequences over the host's distinct pages, its content importance the
-entropy of its texts, both relative to their largest possible value: what every page shows alike is template.
+entropy of its texts (a page's set of them is one value, however many they are), both relative to their largest possible value: what every page shows alike is template.
 Both are grouped sums over (host, node, feature), so a hot host is combined before the shuffle and no task holds
 a host.  Roles that HTML states (nav, footer, forms, advert and comment classes, article, main, ...) are prior
 importances of 0 and 1; low nodes are pruned from each page with all below them, and what is left is its text.
@@ -197,10 +197,16 @@ def style_tree(pages: DataFrame) -> DataFrame:
             for h, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 blocks, inner = parse(text)
                 sig = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1
-                found = {(n, 0, f) for n, f in inner}
                 # neutral nodes only: priors decide the others without statistics
-                found = {x for x in found if x[0] in {n for k in blocks if k.prior is None for n in k.nodes}}
-                found |= {(k.nodes[-1], 1, xxhash.xxh64_intdigest(k.clean()) >> 1) for k in blocks if k.prior is None and k.nodes}
+                neutral = {n for k in blocks if k.prior is None for n in k.nodes}
+                sets: dict[tuple[int, int], set[int]] = {}
+                for n, f in inner:
+                    if n in neutral:
+                        sets.setdefault((n, 0), set()).add(f)
+                for k in blocks:
+                    if k.prior is None and k.nodes:
+                        sets.setdefault((k.nodes[-1], 1), set()).add(xxhash.xxh64_intdigest(k.clean()) >> 1)
+                found = [(n, k, xxhash.xxh64_intdigest(",".join(map(str, sorted(x)))) >> 1) for (n, k), x in sets.items()]
                 for n, k, f in found:
                     host.append(h)
                     node.append(n)
