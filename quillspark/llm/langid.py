@@ -26,10 +26,11 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.common import chunks, table
 
-#: Bound of the training sample (rows) and of the filter (slots of 8 bytes; 16 MB).
+#: Bound of the training sample (rows) and of the filter (slots of 8 bytes; 16 MB for each 64 languages).
 MAX_DOCS = 20_000
 SLOTS = 1 << 21
-MAX_LANGUAGES = 64
+#: Languages of one bit plane; more take more planes.
+PLANE = 64
 MIN_COUNT = 3
 #: An n-gram belongs to a language if its relative frequency there is at least this share of its highest one.
 TYPICAL = 0.2
@@ -87,11 +88,17 @@ def _slots(h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
 @dataclass
 class LanguageModel:
     languages: list[str]
+    #: Slots of language bits; with more than PLANE languages one row of slots for each PLANE of them.
     masks: np.ndarray
 
+    def planes(self) -> np.ndarray:
+        return self.masks if self.masks.ndim == 2 else self.masks[None]
+
     def fill(self) -> np.ndarray:
         """Expected false positive rate of each language: both slots set by chance."""
-        return np.array([np.mean((self.masks >> self.masks.dtype.type(i)) & self.masks.dtype.type(1)) ** 2 for i in range(len(self.languages))])
+        p = self.planes()
+        kind = p.dtype.type
+        return np.array([np.mean((p[i // PLANE] >> kind(i % PLANE)) & kind(1)) ** 2 for i in range(len(self.languages))])
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         n, k = len(texts), len(self.languages)
@@ -104,9 +111,12 @@ class LanguageModel:
             total[a:b] = count
             if not k:
                 continue
-            s1, s2 = _slots(h, len(self.masks))
-            hit = self.masks[s1] & self.masks[s2]
-            popcount = np.stack([np.bincount(owner, weights=((hit >> hit.dtype.type(i)) & hit.dtype.type(1)), minlength=b - a) for i in range(k)], axis=1)
+            s1, s2 = _slots(h, self.masks.shape[-1])
+            counts = []
+            for j, plane in enumerate(self.planes()):
+                hit = plane[s1] & plane[s2]
+                counts += [np.bincount(owner, weights=((hit >> hit.dtype.type(i)) & hit.dtype.type(1)), minlength=b - a) for i in range(min(PLANE, k - PLANE * j))]
+            popcount = np.stack(counts, axis=1)
             share = np.clip((popcount / np.maximum(count, 1)[:, None] - rate) / (1 - np.minimum(rate, 0.999)), 0, 1)
             best = share.argmax(axis=1)
             score[a:b] = share[np.arange(b - a), best]
@@ -138,9 +148,9 @@ def train(docs: DataFrame, max_docs: int = MAX_DOCS) -> LanguageModel:
 
     grams = rows.select("lang", "text").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     found = grams.filter(F.col("n") >= MIN_COUNT).toPandas()
-    languages = sorted(found["lang"].unique())[:MAX_LANGUAGES]
+    languages = sorted(found["lang"].unique())
     kind = np.uint8 if len(languages) <= 8 else np.uint64
-    masks = np.zeros(SLOTS, dtype=kind)
+    planes = np.zeros((max(1, -(-len(languages) // PLANE)), SLOTS), dtype=kind)
     if languages:
         wide = found[found["lang"].isin(languages)]
         rel = wide["n"] / wide.groupby("lang")["n"].transform("sum")
@@ -148,8 +158,8 @@ def train(docs: DataFrame, max_docs: int = MAX_DOCS) -> LanguageModel:
         for i, lang in enumerate(languages):
             h = wide.loc[wide["lang"] == lang, "gram"].to_numpy().astype(np.int64).view(np.uint64)
             for s in _slots(h, SLOTS):
-                masks[s] |= kind(1 << i)
-    return LanguageModel([str(x) for x in languages], masks)
+                planes[i // PLANE][s] |= kind(1 << i % PLANE)
+    return LanguageModel([str(x) for x in languages], planes if len(planes) > 1 else planes[0])
 
 
 def predictor(spark: SparkSession, model: LanguageModel):
