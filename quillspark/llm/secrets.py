@@ -28,6 +28,11 @@ FINDINGS, TREES, DEPTH, SECRET = 4000, 24, 7, 0.5
 #: A candidate: a run of key characters of at least this length inside a token, with a digit or a change of case.
 LEAST = 16
 CANDIDATE = f"[A-Za-z0-9+/_=.~-]{{{LEAST},}}"
+#: A shorter and wider value is a candidate where a secret word is assigned, or as the password of a URL.
+KEY_NAME = "(?:secret|token|passw|passphrase|pwd|api[_-]?key|access[_-]?key|private[_-]?key|[a-z0-9]_key|auth|bearer|credential|signing)[A-Za-z0-9_.-]*[\"'`\\]]*"
+ASSIGNED = "[^\\s\"'`<>]{6,}"
+IN_TOKEN = f"(?i)({KEY_NAME}[:=]>?[\"'`]?)({ASSIGNED})"
+IN_URL = "(?i)([a-z][a-z0-9+.-]*://[^\\s/:@]*:)([^\\s/]+)@"
 KEY_BLOCK = r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----"
 MASK = "[SECRET]"
 
@@ -87,6 +92,12 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     value = F.when(secret_value == "hex", F.substring(h("s"), F.lit(1), size + 8)).when(secret_value == "b64", F.substring(b64, F.lit(1), size)).otherwise(F.substring(h("s"), 1, 40))
     plain = pick("plain", "and", "with", "see", "the", "file", "from", "use", "then")
     quote = pick("q", '"', "'", "")
+    short = F.substring(F.regexp_replace(b64, "[+/]", "x"), F.lit(1), F.lit(6) + F.pmod(F.xxhash64(F.lit("short"), F.col("id")), F.lit(10)).cast("int"))
+    wide = F.concat(short, pick("mark", "!", "@", "$", "%", "^", "&", "*", "#"), F.substring(h("wide"), F.lit(1), F.lit(1) + F.pmod(F.col("id"), F.lit(8)).cast("int")))
+    brief = pick("brief", "short", "wide")
+    password = F.when(brief == "short", short).otherwise(wide)
+    spoken = F.substring(F.translate(h("spoken"), "0123456789abcdef", "etaoinshrdlucmfp"), F.lit(1), F.lit(6) + F.pmod(F.col("id"), F.lit(9)).cast("int"))
+    scheme = pick("scheme", "postgres", "mysql", "mongodb", "redis", "amqp", "https")
     shapes = [
         (1, key, F.lit("="), F.concat(quote, value, quote)),
         (1, key, F.lit(":"), F.concat(quote, value, quote)),
@@ -108,16 +119,42 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
         (0, plain, plain, F.concat_ws("-", *words)),
         (0, plain, plain, F.substring(digits, 1, 22)),
         (0, key, F.lit("="), F.repeat(pick("x", "x", "*", "0", "-"), 24)),
+        (1, key, F.lit("="), F.concat(quote, password, quote)),
+        (1, plain, F.concat(key, F.lit(":")), F.concat(quote, password, quote)),
+        (1, plain, plain, F.concat(key, F.lit("="), quote, password, quote)),
+        (1, plain, plain, F.concat(scheme, F.lit("://"), words[0], F.lit(":"), password, F.lit("@"), words[1], F.lit("/"), words[2])),
+        (0, plain, F.concat(key, F.lit(":")), spoken),
+        (0, plain, plain, F.concat(key, F.lit("="), quote, F.concat_ws("_", words[0], words[1]), quote)),
+        (0, key, F.lit("="), F.concat(F.lit("${"), F.upper(words[0]), F.lit("_"), F.upper(words[1]), F.lit("}"))),
+        (0, plain, F.concat(key, F.lit("=")), F.concat(quote, F.repeat(pick("x", "x", "*", "0", "-"), 8), quote)),
     ]
     kinds = F.array(*[F.struct(b.alias("before2"), a.alias("before1"), t.alias("token"), plain.alias("after1"), F.lit(y).cast("double").alias("label")) for y, b, a, t in shapes])
     return spark.range(n).select(F.element_at(kinds, (F.col("id") % len(shapes) + 1).cast("int")).alias("f")).select("f.*")
 
 
-def _cut(token: Column) -> Column:
-    """Array of struct(path, value) of a token's candidates: each value with all that stands before it in the token."""
+def _cut(token: Column, before2: Column | None = None, before1: Column | None = None) -> Column:
+    """Array of struct(path, value, given) of a token's candidates: each value with all that stands before it in the token.
+
+    ``given`` values are assigned to a secret word, in the token or by the words before it, or a URL's password.
+    """
     values = F.regexp_extract_all(token, F.lit(f"({CANDIDATE})"), F.lit(1))
     # a value that starts with its own assignment (key=value) is cut after it
-    return F.transform(values, lambda v: F.struct(F.concat(F.call_function("substring_index", token, v, F.lit(1)), F.regexp_extract(v, "^([A-Za-z_.-]{2,24}=(?=[^=]))", 1)).alias("path"), F.rtrim(F.regexp_replace(v, "^[A-Za-z_.-]{2,24}=(?=[^=])", ""), F.lit(".-~")).alias("value")))
+    long = F.transform(values, lambda v: F.struct(F.concat(F.call_function("substring_index", token, v, F.lit(1)), F.regexp_extract(v, "^([A-Za-z_.-]{2,24}=(?=[^=]))", 1)).alias("path"), F.rtrim(F.regexp_replace(v, "^[A-Za-z_.-]{2,24}=(?=[^=])", ""), F.lit(".-~")).alias("value"), F.lit(False).alias("given")))
+    none = F.array().cast("array<string>")
+    inside = F.when(token.rlike("[:=]"), F.concat(F.regexp_extract_all(token, F.lit(IN_TOKEN), F.lit(2)), F.regexp_extract_all(token, F.lit(IN_URL), F.lit(2)))).otherwise(none)
+    after = none
+    if before1 is not None:
+        after = F.when(_assigns(before2, before1), F.regexp_extract_all(token, F.lit(f"^[\"'`(]*({ASSIGNED})"), F.lit(1))).otherwise(none)
+    bare = F.transform(F.concat(inside, after), lambda v: F.rtrim(v, F.lit(",;)}]")))
+    fresh = F.filter(F.array_distinct(bare), lambda v: (F.length(v) > 0) & v.rlike("[A-Za-z0-9]") & ~F.exists(long, lambda x: x["value"] == v))
+    return F.concat(long, F.transform(fresh, lambda v: F.struct(F.call_function("substring_index", token, v, F.lit(1)).alias("path"), v.alias("value"), F.lit(True).alias("given"))))
+
+
+def _assigns(before2: Column, before1: Column) -> Column:
+    """Whether the two words before a token assign it to a secret word."""
+    one = before1.rlike("[:=]>?[\"'`]?$") & before1.rlike(f"(?i){KEY_NAME}[:=]>?[\"'`]?$")
+    two = before1.rlike("^(:|=|:=|=>)$") & before2.rlike(f"(?i){KEY_NAME}$")
+    return F.coalesce(one, F.lit(False)) | F.coalesce(two, F.lit(False))
 
 
 def _plausible(value: Column) -> Column:
@@ -126,7 +163,7 @@ def _plausible(value: Column) -> Column:
 
 def train(labelled: DataFrame) -> RandomForestClassificationModel:
     """Fit the forest on a table of labelled findings."""
-    one = labelled.select("label", "before2", "before1", "after1", F.explode(_cut(F.col("token"))).alias("c")).filter(_plausible(F.col("c.value")))
+    one = labelled.select("label", "before2", "before1", "after1", F.explode(_cut(F.col("token"), F.col("before2"), F.col("before1"))).alias("c")).filter(F.col("c.given") | _plausible(F.col("c.value")))
     x = one.select("label", *[c.alias(k) for k, c in features(F.col("before2"), F.col("before1"), F.col("c.path"), F.col("c.value"), F.col("after1")).items()])
     data = VectorAssembler(inputCols=FEATURES, outputCol="x").transform(x).select("label", "x").coalesce(1)
     return RandomForestClassifier(featuresCol="x", labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=7).fit(data)
@@ -134,12 +171,13 @@ def train(labelled: DataFrame) -> RandomForestClassificationModel:
 
 def candidates(docs: DataFrame) -> DataFrame:
     """doc_id, word (0-based), before2, before1, after1, path, value of every candidate of every text."""
-    words = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(F.col("text").rlike(CANDIDATE)).select("doc_id", F.split("text", WORD_GAP).alias("w"))
+    words = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(F.col("text").rlike(CANDIDATE) | F.col("text").rlike(f"(?i){KEY_NAME}\\s*[:=]") | F.col("text").rlike(IN_URL)).select("doc_id", F.split("text", WORD_GAP).alias("w"))
     w = F.col("w")
-    at = F.filter(F.transform(w, lambda t, i: F.when((F.length(t) >= LEAST) & t.rlike(CANDIDATE), i)), lambda i: i.isNotNull())
     get = lambda i: F.when(i >= 0, F.get(w, i))
+    one = lambda t, i: ((F.length(t) >= LEAST) & t.rlike(CANDIDATE)) | (t.rlike("[:=]") & (t.rlike(IN_TOKEN) | t.rlike(IN_URL))) | _assigns(get(i - 2), get(i - 1))
+    at = F.filter(F.transform(w, lambda t, i: F.when(one(t, i), i)), lambda i: i.isNotNull())
     found = words.select("doc_id", F.explode(F.transform(at, lambda i: F.struct(i.alias("word"), get(i - 2).alias("before2"), get(i - 1).alias("before1"), F.get(w, i).alias("token"), F.get(w, i + 1).alias("after1")))).alias("f"))
-    return found.select("doc_id", "f.*").withColumn("c", F.explode(_cut(F.col("token")))).select("doc_id", "word", "before2", "before1", "after1", "c.path", "c.value").filter(_plausible(F.col("value")))
+    return found.select("doc_id", "f.*").withColumn("c", F.explode(_cut(F.col("token"), F.col("before2"), F.col("before1")))).filter(F.col("c.given") | _plausible(F.col("c.value"))).select("doc_id", "word", "before2", "before1", "after1", "c.path", "c.value")
 
 
 def scan(docs: DataFrame, model: RandomForestClassificationModel | None = None) -> DataFrame:
@@ -161,7 +199,7 @@ def redact(docs: DataFrame, model: RandomForestClassificationModel | None = None
     Secrets reach their rows as one array for each key of doc_id and text, by a left join of the few that have any.
     """
     key = F.xxhash64("doc_id", "text")
-    secrets = scan(docs.select(key.alias("doc_id"), "text"), model).filter("is_secret").groupBy(F.col("doc_id").alias("_secret_doc")).agg(F.sort_array(F.collect_set("value"), asc=False).alias("_secrets"))
+    secrets = scan(docs.select(key.alias("doc_id"), "text"), model).filter("is_secret").groupBy(F.col("doc_id").alias("_secret_doc")).agg(F.transform(F.sort_array(F.collect_set(F.struct(F.length("value"), "value")), asc=False), lambda x: x["value"]).alias("_secrets"))
     joined = docs.join(secrets, key == F.col("_secret_doc"), "left")
     text = F.aggregate(F.coalesce("_secrets", F.array().cast("array<string>")), F.col("text"), lambda t, s: F.replace(t, s, F.lit(MASK)))
     out = joined.withColumn("text", F.when(F.col("_secrets").isNotNull(), text).otherwise(F.col("text")))
