@@ -11,7 +11,8 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only if its measured size is below this; else the join is shuffled.
 BROADCAST_BYTES = 32 << 20
@@ -50,9 +51,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> bool:
-    """Whether a durable table is within the broadcast bound: counted rows times a stated row size."""
-    return df.count() * row_bytes <= limit
+def small(df: DataFrame, row_bytes: int | Column, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether a durable table is within the broadcast bound: counted rows times a stated row size, or the sum of a
+    size that is measured in each row."""
+    if isinstance(row_bytes, int):
+        return df.count() * row_bytes <= limit
+    return (df.agg(F.sum(row_bytes).alias("n")).first()["n"] or 0) <= limit
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
