@@ -3,7 +3,8 @@
 Native expressions only.  A text becomes template tokens: numbers, names (capitalised words but function
 words, wherever they stand) and units after numbers are typed placeholders, other words are lower-cased without
 punctuation.  Both forms are made by a few passes over the whole text, word for word alike, and their windows are
-cut from it as strings, so a match is of the words themselves.  Windows of template tokens, and those of the words,
+cut from it as strings, so a match is of the words themselves.  Texts in which no three words of a benchmark window
+stand at their distances cannot match and are left out before (``candidates``).  Windows of template tokens, and those of the words,
 are hash-joined with those of the benchmark items; a matching document keeps the words that
 fill its slots, and the filling must be a function of the item's: a re-parameterised question swaps values
 consistently, while an unrelated text that shares a frame does not.  Each occurrence of an item is judged by itself,
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import materialize, small, table
+from quillspark.llm.common import WORD_GAP, materialize, small, table
 
 #: Template tokens of a window; least share of an item's windows in a contaminated document; literal words of a window.
 WINDOW, SHARE, LITERALS = 8, 0.5, 3
@@ -102,10 +103,33 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW, literals: int = LIT
     return materialize(out.select("item", "item_id", "size", "x.*"), "benchmark-windows")
 
 
+def candidates(docs: DataFrame, bench: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that can hold a window of the benchmark, by an exact necessary condition.
+
+    A matching window has its plain words at their places, so the three longest of them are in the text at their
+    distances.  Words are tested by one hash probe each; templates are made of the rows that pass alone.
+    A benchmark too large to broadcast leaves all rows.
+    """
+    free = F.filter(F.transform("slots", lambda x, i: F.struct((-F.length(x)).alias("n"), i.alias("i"), x.alias("x"))), lambda x: (F.col("way") == 1) | ~F.get("typed", x["i"]))
+    three = bench.select(F.slice(F.sort_array(free), 1, 3).alias("p")).select(*[F.get("p", F.least(F.lit(k), F.size("p") - 1)).alias(f"w{k}") for k in range(3)])
+    places = [(F.col(f"w{k}.i") - F.col("w0.i")).alias(f"apart{k}") for k in (1, 2)]
+    known = three.select(F.xxhash64("w0.x").alias("h"), *[F.col(f"w{k}.x").alias(f"word{k}") for k in range(3)], *places).distinct()
+    if not small(bench, F.octet_length("key") * 3 + 200):
+        return docs
+    key = F.xxhash64("text")
+    words = F.split(F.lower(F.regexp_replace(F.col("text").cast("string"), r"[^\p{L}\p{N}\s]++", "")), WORD_GAP)
+    each = docs.select("text", words.alias("words")).select("text", "words", F.posexplode("words").alias("at", "word"))
+    there = [F.get("words", F.col("at") + F.col(f"apart{k}")) == F.col(f"word{k}") for k in (1, 2)]
+    met = each.join(F.broadcast(known), (F.xxhash64("word") == F.col("h")) & (F.col("word") == F.col("word0")) & there[0] & there[1])
+    found = materialize(met.select(key.alias("_may")).distinct(), "benchmark-candidates")
+    side = F.broadcast(found) if small(found, 64) else found
+    return docs.join(side, key == F.col("_may"), "left_semi")
+
+
 def _hits(docs: DataFrame, bench: DataFrame, key: list[str]) -> DataFrame:
     """row, the columns of ``key``, item, item_id, way, item_at, at, n_windows, filling of all matching windows, durable."""
     sizes = sorted(r["size"] for r in bench.select("size").distinct().collect())  # at most ``window`` values
-    texts = _templates(docs.withColumn("row", F.monotonically_increasing_id()), F.col("text"))
+    texts = _templates(candidates(docs, bench).withColumn("row", F.monotonically_increasing_id()), F.col("text"))
     cut = F.array(*[F.struct(_windows(F.col("t"), s).alias("tw"), _windows(F.col("w"), s).alias("ww")) for s in sizes or [WINDOW]])
     sized = texts.select("row", *key, F.explode(cut).alias("z")).select("row", *key, F.col("z.tw").alias("tw"), F.col("z.ww").alias("ww"))
     placed = sized.select("row", *key, F.posexplode(F.arrays_zip("tw", "ww")).alias("at", "x")).select("row", *key, "at", "x.tw", "x.ww")
