@@ -387,7 +387,7 @@ def test_quality_agrees_with_labels(spark, sf_dir):
 
 
 def test_quality_lines(spark):
-    good = "A full sentence of proper length stands on this line.\n" * 1 + "\n".join(f"Sentence number {i} has quite a few words in it, all of them {i}." for i in range(12))
+    good = "A full sentence of proper length stands on this line.\n" * 1 + "\n".join(f"Sentence{i} number{i} has{i} quite{i} a few{i} words{i} in it, all{i} of{i} them." for i in range(12))
     nav = "\n".join(["Home | News | About | Contact | More | Login"] * 9 + [f"home{i} | news{i} | about{i} | more{i} | x{i}" for i in range(20)])
     df = spark.createDataFrame([(1, good), (2, nav), (3, good + "\nHome\nClick here to subscribe"), (4, None)], "doc_id long, text string")
     got = {r["doc_id"]: r for r in quality.clean(df).collect()}
