@@ -5,7 +5,8 @@ three-word windows (windows are hashed, sorted with their positions inside the r
 ones is summed, so nothing is shuffled).  Per line: closing punctuation, navigation, boilerplate, letters
 and symbols; a line that repeats an earlier one is lost as well.
 
-Edge cases: a null or empty text has no words and fails; repeated rows give equal rows; an empty table gives
+Edge cases: a null or empty text has no words and fails; a very long text costs in proportion to its words (and their
+sorting); repeated rows give equal rows; an empty table gives
 none; null doc_ids are carried; other columns are ignored.
 """
 
@@ -24,8 +25,9 @@ SYMBOLS = "#*$%&|<>"
 #: The characters of WORD_GAP.
 GAPS = " \t\n\x0b\x0c\r"
 CLOSING = r"[.!?;:…。！？]['\"”’»)\]]*$"
-NAVIGATION = r"(?i)^(home|menu|next|previous|prev|back|top|login|log in|sign in|sign up|register|search|share|print|read more|more|skip to content)\W*$|(\s[|»›>]\s.*){2,}"
-BOILERPLATE = r"(?i)all rights reserved|\bcookies?\b.{0,40}\b(policy|consent|accept|use)\b|terms of (use|service)|privacy policy|enable javascript|\blorem ipsum\b|click here|subscribe to our|licensed under|copyright (©|\(c\)|[0-9]{4})"
+#: Lines that are a menu's word (English, German, French, Spanish) or a chain of them, and phrases of boilerplate.
+NAVIGATION = r"(?i)^(home|menu|next|previous|prev|back|top|login|log in|sign in|sign up|register|search|share|print|read more|more|skip to content|startseite|weiter|zurück|nach oben|anmelden|registrieren|suche|suchen|teilen|drucken|weiterlesen|mehr|mehr lesen|accueil|suivant|précédent|retour|haut de page|connexion|se connecter|inscription|recherche|rechercher|partager|imprimer|lire la suite|plus|inicio|siguiente|anterior|volver|arriba|iniciar sesión|acceder|registrarse|buscar|compartir|imprimir|leer más|más)[^\p{L}\p{N}]*$|(\s[|»›>]\s.*){2,}"
+BOILERPLATE = r"(?i)all rights reserved|\bcookies?\b.{0,40}\b(policy|consent|accept|use)\b|terms of (use|service)|privacy policy|enable javascript|\blorem ipsum\b|click here|subscribe to our|licensed under|copyright (©|\(c\)|[0-9]{4})|alle rechte vorbehalten|datenschutzerklärung|nutzungsbedingungen|klicken sie hier|newsletter abonnieren|tous droits réservés|politique de confidentialité|conditions d'utilisation|cliquez ici|abonnez-vous|todos los derechos reservados|política de privacidad|condiciones de uso|haga clic aquí|suscríbase"
 
 
 def repeat_words(words: Column) -> Column:
@@ -81,7 +83,9 @@ def clean(docs: DataFrame, max_lost: float = MAX_LOST) -> DataFrame:
     ruled = document_rules(docs).withColumn("cleaned", F.array_join(good, "\n")).drop("lines")
     chars = F.length(F.translate("cleaned", GAPS, ""))
     lost = F.when(F.col("word_chars") > 0, 1 - chars / F.col("word_chars")).otherwise(1.0)
-    return ruled.withColumn("lost", lost).withColumn("kept", ~F.col("base_failed") & (F.col("lost") <= max_lost))
+    judged = ruled.withColumn("lost", lost).withColumn("kept", ~F.col("base_failed") & (F.col("lost") <= max_lost))
+    # a filter on the results stays above the generator: below it, it would compute all rules once more in itself
+    return judged.select(F.explode(F.array(F.struct(*judged.columns))).alias("x")).select("x.*")
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
