@@ -10,7 +10,8 @@ classifier); prediction reads every whole text.
 
 Edge cases: a null text or one without letters is ``und`` with score 0; a text with letters gets a learned
 language even if no n-gram is known (ties go to the first in alphabetical order); without labelled rows all
-is ``und``; a null doc_id is never trained on; repeated rows are predicted alike; other columns are ignored.
+is ``und``; a language of few labelled rows keeps all its n-grams; very long texts are read in pieces of CHUNK
+characters or the text, whichever is longer; a null doc_id is never trained on; repeated rows are predicted alike; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,13 +26,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import chunks, table
+from quillspark.llm.common import rows as cut
 
 #: Bound of the training sample (rows) and of the filter (slots of 8 bytes; 16 MB for each 64 languages).
 MAX_DOCS = 20_000
 SLOTS = 1 << 21
 #: Languages of one bit plane; more take more planes.
 PLANE = 64
-MIN_COUNT = 3
+#: Times an n-gram must be seen in a language to be kept, once the language has so many labelled rows.
+MIN_COUNT, ENOUGH = 3, 100
+#: Most n-grams of all languages (the oftenest) and characters hashed at a time, which bound the driver and a task.
+MOST_GRAMS, CHUNK = 1 << 20, 1 << 18
 #: An n-gram belongs to a language if its relative frequency there is at least this share of its highest one.
 TYPICAL = 0.2
 UND = "und"
@@ -104,7 +109,7 @@ class LanguageModel:
         n, k = len(texts), len(self.languages)
         pred, score, total = [UND] * n, np.zeros(n), np.zeros(n, dtype=np.int64)
         rate = self.fill() if k else np.zeros(0)
-        for a, b in chunks(texts):
+        for a, b in chunks(texts, CHUNK):
             part = [t or "" for t in texts[a:b]]
             h, owner = ngrams(part)
             count = np.bincount(owner, minlength=b - a)
@@ -139,16 +144,18 @@ def train(docs: DataFrame, max_docs: int = MAX_DOCS) -> LanguageModel:
     rows = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in cut(batches):
             langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in chunks(texts, 4 << 20):
+            for a, b in chunks(texts, CHUNK):
                 for lang in sorted(set(langs[a:b])):
                     h, n = np.unique(ngrams([t or "" for t, x in zip(texts[a:b], langs[a:b]) if x == lang])[0], return_counts=True)
                     yield pa.record_batch([pa.array([lang] * len(h), pa.string()), pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
 
+    counted = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("c"), F.max(F.coalesce("text", F.lit("")).rlike(r"\p{L}")).alias("any")).toPandas()
+    seldom = [r.lang for r in counted.itertuples() if r.c < ENOUGH]
     grams = rows.select("lang", "text").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    found = grams.filter(F.col("n") >= MIN_COUNT).toPandas()
-    languages = sorted(found["lang"].unique())
+    found = grams.filter((F.col("n") >= MIN_COUNT) | F.col("lang").isin(seldom)).orderBy(F.desc("n"), "lang", "gram").limit(MOST_GRAMS).toArrow().to_pandas()
+    languages = sorted(r.lang for r in counted.itertuples() if r.any)
     kind = np.uint8 if len(languages) <= 8 else np.uint64
     planes = np.zeros((max(1, -(-len(languages) // PLANE)), SLOTS), dtype=kind)
     if languages:
