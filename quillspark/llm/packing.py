@@ -5,7 +5,7 @@ remainder last) and keeps only lengths and digests, so no ids are shuffled.  ``p
 random groups of bounded size and packs each group on its own: pieces in decreasing length, each into the
 first open bin with room, which the tournament tree of remaining capacities finds in O(log bins).
 
-Edge cases: a null or empty text is the one end id; repeated rows are packed as often as they occur; an
+Edge cases: a null or empty text is the one end id; a very long text is many pieces, dealt into all groups; repeated rows are packed as often as they occur; an
 empty table gives no rows; other columns of the input are ignored.
 """
 
@@ -137,18 +137,22 @@ def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[list[int],
 def pack(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """Assign every piece of a durable PIECES table a sequence and an offset: see PACKED.
 
-    A group is the pieces of the documents whose row number hashes to it, so a hot key is spread like any
-    other.  Sequence ids are group * 2^24 + the bin's number: unique, not gapless.
+    A full piece is a sequence of its own, as first-fit decreasing would have it.  The others are dealt into groups by
+    a hash of their row number and start, so neither a hot key nor a very long document fills a group.  Sequence ids
+    are group * 2^24 + the bin's number, those of full pieces follow: unique, not gapless.
     """
-    groups = max(1, -(-pieces.count() // group_pieces))
+    rest = pieces.filter(F.col("length") < capacity)
+    groups = max(1, -(-rest.count() // group_pieces))
 
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "row_uid", "start"], ascending=[False, True, True], kind="stable")
         bins, offsets = first_fit_decreasing(pdf["length"].to_numpy(), capacity)
         return pdf.drop(columns=["row_uid", "grp"]).assign(sequence_id=(int(key[0]) << 24) + np.asarray(bins, dtype="int64"), offset=np.asarray(offsets, dtype="int64"))
 
-    grouped = pieces.withColumn("grp", F.pmod(F.xxhash64("row_uid"), F.lit(groups)))
-    return grouped.groupBy("grp").applyInPandas(one, PACKED)
+    grouped = rest.withColumn("grp", F.pmod(F.xxhash64("row_uid", "start"), F.lit(groups)))
+    packed = grouped.groupBy("grp").applyInPandas(one, PACKED)
+    full = pieces.filter(F.col("length") >= capacity).drop("row_uid").withColumns({"sequence_id": F.monotonically_increasing_id() + F.lit(groups << 24), "offset": F.lit(0).cast("long")})
+    return packed.unionByName(full)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import WORD_GAP, table
+from quillspark.llm.common import WORD_GAP, materialize, small, table
 
 #: Size of the default training table; trees and depth of the forest; probability from which a finding is a secret.
 FINDINGS, TREES, DEPTH, SECRET = 4000, 24, 7, 0.5
@@ -196,11 +196,14 @@ def scan(docs: DataFrame, model: RandomForestClassificationModel | None = None)
 def redact(docs: DataFrame, model: RandomForestClassificationModel | None = None) -> DataFrame:
     """``docs`` with every secret in ``text`` replaced by a mask and ``n_chars``, if there, recounted.
 
-    Secrets reach their rows as one array for each key of doc_id and text, by a left join of the few that have any.
+    Secrets reach their rows as one array for each key of doc_id and text, by a left join of the few that have any;
+    if their measured size allows it, the texts are not shuffled for that.
     """
     key = F.xxhash64("doc_id", "text")
     secrets = scan(docs.select(key.alias("doc_id"), "text"), model).filter("is_secret").groupBy(F.col("doc_id").alias("_secret_doc")).agg(F.transform(F.sort_array(F.collect_set(F.struct(F.length("value"), "value")), asc=False), lambda x: x["value"]).alias("_secrets"))
-    joined = docs.join(secrets, key == F.col("_secret_doc"), "left")
+    secrets = materialize(secrets, "secrets")
+    side = F.broadcast(secrets) if small(secrets, F.octet_length(F.array_join("_secrets", "")) + F.size("_secrets") * 40 + 64) else secrets
+    joined = docs.join(side, key == F.col("_secret_doc"), "left")
     text = F.aggregate(F.coalesce("_secrets", F.array().cast("array<string>")), F.col("text"), lambda t, s: F.replace(t, s, F.lit(MASK)))
     out = joined.withColumn("text", F.when(F.col("_secrets").isNotNull(), text).otherwise(F.col("text")))
     if "n_chars" in docs.columns:

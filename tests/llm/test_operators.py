@@ -449,5 +449,10 @@ def test_segment_encoder_matches_tokenizer():
     path = public_tokenizers.path("byte_bpe_50k.json")
     enc, tok = packing.SegmentEncoder(path), Tokenizer.from_file(path)
     odd = ["  a", "a  b", "a   b", "x \n y", "x\n  y", "end ", "end  ", " ", "", "tab\t x", "a b  c", "it's  we'll", "1 2  3", "<|endoftext|> a", "\n\n b\n", "é  ü 中 文"]
+    import random
+
+    rng = random.Random(3)
+    parts = [" ", "  ", "\n", "\t", "a", "The", "'s", "'ll", "é", "ß", "中", "\u00a0", "\u2003", "😀", "\u0301", "12", "3.4", "!!", "-", "_", "<|endoftext|>", "word", "ing", "\x00", "\r\n"]
+    odd += ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 14))) for _ in range(4000)]
     for t in odd:
         assert np.frombuffer(enc.ids(t), dtype="<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
