@@ -5,16 +5,29 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.durable import BROADCAST_BYTES, materialize, small, table
 
-__all__ = ["BROADCAST_BYTES", "WORD_GAP", "chunks", "materialize", "rows", "small", "table", "words_column", "words_of"]
+__all__ = ["BROADCAST_BYTES", "WORD_GAP", "chunks", "materialize", "modest", "rows", "small", "table", "words_column", "words_of"]
 
 #: The contracts' words are maximal runs of characters outside this class (ASCII white space).
 WORD_GAP = "[\\x20\\x09-\\x0D]+"
 
+
+#: Rows of an Arrow batch of whole texts; the session's default would hold five times as many in every Python task.
+BATCH_ROWS = 2000
+
+
+def modest(spark: SparkSession) -> None:
+    """Lower the session's Arrow batch to BATCH_ROWS, unless it is set to fewer rows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def chunks(texts: list, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of ``texts`` of about ``limit`` characters; a longer text is a range of its own."""
     start, size = 0, 0

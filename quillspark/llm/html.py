@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import materialize, rows, small, table
+from quillspark.llm.common import materialize, modest, rows, small, table
 
 #: Distinct pages of a host from which its tree counts; importance below which a node is template.
 MIN_PAGES, LOW = 8, 0.2
@@ -230,6 +230,7 @@ def style_tree(pages: DataFrame) -> DataFrame:
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
+    modest(pages.sparkSession)
     tree = style_tree(pages)
     keyed = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"), _host(F.col("url")).alias("host"))
     shared = None

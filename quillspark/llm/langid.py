@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import chunks, table
+from quillspark.llm.common import chunks, modest, table
 from quillspark.llm.common import rows as cut
 
 #: Bound of the training sample (rows) and of the filter (slots of 8 bytes; 16 MB for each 64 languages).
@@ -139,6 +139,7 @@ def held_out(doc_id: Column) -> Column:
 
 def train(docs: DataFrame, max_docs: int = MAX_DOCS) -> LanguageModel:
     """Fit on labelled rows that are not held out; a hash threshold on the key keeps about ``max_docs`` of them."""
+    modest(docs.sparkSession)
     rows = docs.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     share = min(1.0, max_docs / max(1, rows.count()))
     rows = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
@@ -171,6 +172,7 @@ def train(docs: DataFrame, max_docs: int = MAX_DOCS) -> LanguageModel:
 
 def predictor(spark: SparkSession, model: LanguageModel):
     """Column function text → struct(lang_pred, score, n_grams); the model's size is bounded by SLOTS."""
+    modest(spark)
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double, n_grams long")

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import materialize, rows, table
+from quillspark.llm.common import materialize, modest, rows, table
 
 CAPACITY = 1024
 END_ID = 0
@@ -161,6 +161,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, capacity:
         import public_tokenizers
 
         tokenizer_path = public_tokenizers.path("byte_bpe_50k.json")
+    modest(docs.sparkSession)
     return pack(materialize(tokenize(docs, tokenizer_path, capacity), "pieces"), capacity)
 
 

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import BROADCAST_BYTES, materialize, rows, table
+from quillspark.llm.common import BROADCAST_BYTES, materialize, modest, rows, table
 
 KINDS = ("email", "ip", "card", "phone")
 #: Words on each side of an entity that are candidates; distinct neighbourhoods and disclosure that protect one.
@@ -166,6 +166,7 @@ def disclosing_terms(docs: DataFrame) -> DataFrame:
 
 def detect(docs: DataFrame) -> DataFrame:
     """doc_id, counts of the base kinds, their digest, and all spans of every row."""
+    modest(docs.sparkSession)
     found = disclosing_terms(docs)
     n = found.count()
     if n * TERM_BYTES > BROADCAST_BYTES:  # the terms of each text come to it by a join instead

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.llm.common import materialize, rows, small, table
+from quillspark.llm.common import materialize, modest, rows, small, table
 from quillspark.operators.components import components
 
 SEED, SHINGLE, RADIUS = 42, 3, 2
@@ -134,6 +134,7 @@ def classes(tagged: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (hex) and component_id of every row."""
+    modest(docs.sparkSession)
     tagged = materialize(docs.select(F.col("doc_id").cast("long"), fingerprint_column(F.col("text").cast("string")).alias("fp")), "simhash")
     by_print = materialize(classes(tagged), "classes")
     least = tagged.groupBy("fp").agg(F.min("doc_id").alias("least"))
