@@ -1,22 +1,25 @@
 """HTML extraction with a site style tree.
 
-Pages of one host are merged into a tree of style nodes (paths of tag and class).  A node's presentation
-importance is the entropy of its child sequences over the host's distinct pages, its content importance the
-entropy of its texts (a page's set of them is one value, however many they are), both relative to their largest possible value: what every page shows alike is template.
-Both are grouped sums over (host, node, feature), so a hot host is combined before the shuffle and no task holds
-a host.  Roles that HTML states (nav, footer, forms, advert and comment classes, article, main, ...) are prior
-importances of 0 and 1; low nodes are pruned from each page with all below them, and what is left is its text.
-
-Edge cases: null and empty html give an empty text; a null url is a host of its own; hosts with one distinct
-page have no template evidence and rely on the priors; exact copies of a page count once; malformed markup is
-read leniently; repeated rows give equal rows; an empty table gives none; other columns are ignored.
+Pages of one host are merged into a tree of style nodes (paths of tag and class).  Every node of every page counts: its
+presentation importance is the entropy of its child sequences over the host's distinct pages, its content importance
+the entropy of the texts below it (a page's set of them is one value, however many they are), both relative to their
+largest possible value: what every page shows alike is template, whatever its classes are called.
+Both are grouped sums over (node, feature), so a hot host is combined before the shuffle and no task holds
+a host.  Roles that HTML states (nav, footer, forms, advert and comment classes, article, main, ...) weigh in: the
+importance of a block on its page is a mean of its tree's entropy and its role.  Blocks of low importance, and those
+in a branch that is template as a whole, are removed from each page, and what is left is its text.
+
+Edge cases: null and empty html give an empty text; a null url is a host of its own; hosts of fewer than MIN_PAGES
+distinct pages have no template evidence and rely on the roles; exact copies of a page count once; malformed markup is
+read leniently; very long pages cost in proportion to their length; repeated rows give equal rows; an empty table
+gives none; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import html as _html
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Mapping
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -26,11 +29,16 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.common import materialize, modest, rows, small, table
 
-#: Distinct pages of a host from which its tree counts; importance below which a node is template.
-MIN_PAGES, LOW = 8, 0.2
-#: Share of presentation in a node's importance; share of linked characters that makes a neutral block a menu.
-PRESENTATION, LINKED = 0.3, 0.6
-#: A host's low nodes are joined to its pages under so many salts when they are too many to broadcast.
+#: Distinct pages of a host from which its tree counts; importance below which a block is removed.
+MIN_PAGES, LOW = 8, 0.42
+#: Share of presentation in a node's entropy; of roles in a block's importance; importances of the roles.
+PRESENTATION, ROLES = 0.3, 0.6
+DROPPED, NEUTRAL, MAIN = 0.0, 0.5, 0.65
+#: Entropy that stands in for missing evidence, and the highest one that can remove a block that no role drops.
+UNKNOWN, MOST_LOW = 0.5, (LOW - ROLES * NEUTRAL) / (1 - ROLES)
+#: Share of linked characters that makes a block outside article and main a menu.
+LINKED = 0.6
+#: Low nodes are joined to pages under so many salts of their host when they are too many to broadcast.
 SALTS = 64
 
 _token = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>", re.S)
@@ -53,7 +61,7 @@ CORE = frozenset(("article", "main"))
 class Block:
     path: tuple[str, ...]
     nodes: tuple[int, ...]
-    prior: float | None
+    role: float
     core: bool
     text: list[str] = field(default_factory=list)
     linked: int = 0
@@ -78,10 +86,10 @@ def _style(tag: str, attrs: str) -> tuple[str, float | None]:
     return key, prior
 
 
-def parse(page: str) -> tuple[list[Block], list[tuple[int, int]]]:
-    """The page's blocks in order, and (style node, hash of its child sequence) of its inner nodes."""
+def parse(page: str, host: str = "") -> tuple[list[Block], list[tuple[int, int]]]:
+    """The page's blocks in order, and (style node, hash of its child sequence) of its inner nodes; nodes are a host's."""
     blocks: list[Block] = []
-    stack: list[list] = [["", "", None, False, 0, []]]  # tag, key, prior, core, node, children
+    stack: list[list] = [["", "", NEUTRAL, False, xxhash.xxh64_intdigest(host) >> 2, []]]  # tag, key, role, core, node, children
     inner: list[tuple[int, int]] = []
     block: Block | None = None
     links = 0
@@ -165,16 +173,25 @@ def parse(page: str) -> tuple[list[Block], list[tuple[int, int]]]:
         up[5].append(key)
         if not attrs.endswith("/"):
             links += tag == "a"
-            stack.append([tag, key, 0.0 if up[2] == 0.0 or prior == 0.0 else (1.0 if core and "." not in key else None), core, xxhash.xxh64_intdigest(f"{up[4]}/{key}") >> 1, []])
+            stack.append([tag, key, DROPPED if up[2] == DROPPED or prior == 0.0 else (MAIN if core else NEUTRAL), core, xxhash.xxh64_intdigest(f"{up[4]}/{key}") >> 2, []])
     while len(stack) > 1:
         close()
     return blocks, inner
 
 
-def main_text(page: str | None, low: frozenset[int] = frozenset()) -> str:
-    """The page's main text: blocks neither of prior 0 nor below a low node; of article or main if it has one."""
-    blocks, _ = parse(page or "")
-    kept = [b for b in blocks if b.prior != 0.0 and not (low and any(x in low for x in b.nodes))]
+def main_text(page: str | None, entropy: Mapping[int, float] | None = None, host: str = "") -> str:
+    """The page's main text: its blocks of high importance; those of article or main if it has one.
+
+    ``entropy`` are the low ones of the host's tree.  A block counts with the lowest of its branches.
+    """
+    blocks, _ = parse(page or "", host)
+    known = entropy or {}
+
+    def importance(b: Block) -> float:
+        found = [known[x] for x in b.nodes if x in known]
+        return (1 - ROLES) * (min(found) if found else UNKNOWN) + ROLES * b.role
+
+    kept = [b for b in blocks if importance(b) >= LOW]
     core = [b for b in kept if b.core]
     out = []
     for b in core or kept:
@@ -184,72 +201,67 @@ def main_text(page: str | None, low: frozenset[int] = frozenset()) -> str:
     return "\n".join(out)
 
 
+def node_features(page: str, host: str) -> dict[int, int]:
+    """Feature of each (style node, kind) of a page, as one number: 0 the node's child sequences, 1 the texts below it."""
+    blocks, inner = parse(page, host)
+    sets: dict[int, set[int]] = {}
+    for b in blocks:
+        text = xxhash.xxh64_intdigest(b.clean())
+        for n in b.nodes:
+            sets.setdefault(2 * n + 1, set()).add(text)
+    for n, f in inner:
+        if 2 * n + 1 in sets:
+            sets.setdefault(2 * n, set()).add(f)
+    return {n: xxhash.xxh64_intdigest(",".join(map(str, sorted(x)))) >> 1 for n, x in sets.items()}
+
+
 def _host(url: Column) -> Column:
     return F.regexp_extract(F.lower(F.coalesce(url.cast("string"), F.lit(""))), r"^[a-z][a-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]*)", 1)
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """Durable table host, node of the low-importance nodes of every host's tree."""
+    """Durable table host, node, entropy (0 to 1) of all style nodes of hosts with MIN_PAGES distinct pages or more."""
 
     def features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows(batches):
-            host, node, kind, feature, page = [], [], [], [], []
+            node, feature, page, hosts = [], [], [], []
             for h, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                blocks, inner = parse(text)
-                sig = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1
-                # neutral nodes only: priors decide the others without statistics
-                neutral = {n for k in blocks if k.prior is None for n in k.nodes}
-                sets: dict[tuple[int, int], set[int]] = {}
-                for n, f in inner:
-                    if n in neutral:
-                        sets.setdefault((n, 0), set()).add(f)
-                for k in blocks:
-                    if k.prior is None and k.nodes:
-                        sets.setdefault((k.nodes[-1], 1), set()).add(xxhash.xxh64_intdigest(k.clean()) >> 1)
-                found = [(n, k, xxhash.xxh64_intdigest(",".join(map(str, sorted(x)))) >> 1) for (n, k), x in sets.items()]
-                for n, k, f in found:
-                    host.append(h)
-                    node.append(n)
-                    kind.append(k)
-                    feature.append(f)
-                    page.append(sig)
-            yield pa.record_batch([pa.array(host, pa.string()), pa.array(node, pa.int64()), pa.array(kind, pa.int32()), pa.array(feature, pa.int64()), pa.array(page, pa.int64())], names=["host", "node", "kind", "feature", "page"])
+                found = node_features(text, h)
+                node += found.keys()
+                feature += found.values()
+                page += [xxhash.xxh32_intdigest(text.encode("utf-8", "surrogatepass"))] * len(found)
+                hosts += [h] * len(found)
+            yield pa.record_batch([pa.array(hosts, pa.string()), pa.array(node, pa.int64()), pa.array(feature, pa.int64()), pa.array(page, pa.int64())], names=["host", "node", "feature", "page"])
 
     read = pages.select(_host(F.col("url")).alias("host"), F.col("html").cast("string").alias("html")).filter(F.col("html").isNotNull())
-    seen = read.mapInArrow(features, "host string, node long, kind int, feature long, page long").distinct()
-    counts = seen.groupBy("host", "node", "kind", "feature").agg(F.count(F.lit(1)).alias("c"))
-    c = F.col("c").cast("double")
-    entropy = counts.groupBy("host", "node", "kind").agg(F.sum(c).alias("m"), F.sum(c * F.log(c)).alias("s"))
-    m = F.col("m")
-    relative = F.when(m > 1, (F.log(m) - F.col("s") / m) / F.log(m)).otherwise(1.0)
-    weight = F.when(F.col("kind") == 0, F.lit(PRESENTATION)).otherwise(F.lit(1 - PRESENTATION))
-    nodes = entropy.groupBy("host", "node").agg((F.sum(weight * relative) / F.sum(weight)).alias("importance"), F.max("m").alias("pages"), F.max("kind").alias("has_text"))
-    low = nodes.filter((F.col("pages") >= MIN_PAGES) & (F.col("importance") < LOW) & (F.col("has_text") == 1))
-    return materialize(low.select("host", "node"), "style-tree")
+    seen = read.mapInArrow(features, "host string, node long, feature long, page long").distinct()
+    counts = seen.groupBy("host", "node", "feature").agg(F.count(F.lit(1)).alias("c"))
+    c, m = F.col("c").cast("double"), F.col("m")
+    entropy = counts.groupBy("host", "node").agg(F.sum(c).alias("m"), F.sum(c * F.log(c)).alias("s")).filter(m >= MIN_PAGES)
+    relative = (F.log(m) - F.col("s") / m) / F.log(m)
+    kind = F.col("node").bitwiseAND(F.lit(1))
+    weight = F.when(kind == 0, F.lit(PRESENTATION)).otherwise(F.lit(1 - PRESENTATION))
+    nodes = entropy.groupBy("host", F.shiftright("node", 1).alias("node")).agg((F.sum(weight * relative) / F.sum(weight)).alias("entropy"))
+    return materialize(nodes, "style-tree")
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
     modest(pages.sparkSession)
-    tree = style_tree(pages)
+    tree = style_tree(pages).filter(F.col("entropy") < MOST_LOW)
     keyed = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"), _host(F.col("url")).alias("host"))
     shared = None
-    if small(tree, 64):
-        by_host: dict[str, set] = {}
-        for r in tree.toLocalIterator():
-            by_host.setdefault(r["host"], set()).add(r["node"])
-        shared = pages.sparkSession.sparkContext.broadcast({h: frozenset(s) for h, s in by_host.items()})
+    if small(tree, 128):
+        shared = pages.sparkSession.sparkContext.broadcast({r["node"]: r["entropy"] for r in tree.select("node", "entropy").toLocalIterator()})
     else:
         salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-        lists = tree.groupBy("host").agg(F.collect_list("node").alias("low")).select("host", "low", salts)
+        lists = tree.groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("node", "entropy"))).alias("low")).select("host", "low", salts)
         keyed = keyed.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(lists, ["host", "salt"], "left").select("page_id", "url", "html", "host", "low")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none: frozenset[int] = frozenset()
         for b in rows(batches):
-            hosts = b.column(3).to_pylist()
-            low = [shared.value.get(h, none) for h in hosts] if shared is not None else [frozenset(x or ()) for x in b.column(4).to_pylist()]
-            texts = [main_text(t, w) for t, w in zip(b.column(2).to_pylist(), low)]
+            low = [shared.value] * b.num_rows if shared is not None else [dict(x or ()) for x in b.column(4).to_pylist()]
+            texts = [main_text(t, w, h) for t, w, h in zip(b.column(2).to_pylist(), low, b.column(3).to_pylist())]
             yield pa.record_batch([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return keyed.mapInArrow(run, "page_id long, url string, text string, n_chars long")
