@@ -1,14 +1,17 @@
 """Personal data: base patterns, and terms that disclose a protected entity by corpus co-occurrence.
 
 Base spans are e-mail addresses, IPs, card and phone numbers.  Their values are the protected entities.  A word
-in an entity's neighbourhood is a candidate; over the whole corpus, the share of the word's occurrences that
-stand beside one entity estimates how strongly the word reveals it (pointwise information
-``log2(P(entity|word) / P(entity))`` with P(entity|word) the disclosure).  Words above both thresholds are
-protected wherever they occur, as spans of kind ``term``.  Equal neighbourhoods count once, beside an
-entity and elsewhere, so copies of a document are no evidence for or against a word.
-
-Edge cases: null and empty texts have no spans; repeated rows give equal rows; an empty table gives none; a
-null doc_id is carried; other columns are ignored.
+in an entity's neighbourhood is a candidate.  Over the whole corpus, P(entity) is the share of all words that are
+beside the entity, P(entity|word) the share of the word's occurrences that are; the word discloses
+``PMI = log2(P(entity|word) / P(entity))`` of the entity's ``IC = -log2 P(entity)`` bits.  A word that discloses LEAK of
+them, beside the entity more often than not and in several contexts, is
+protected wherever it occurs, as a span of kind ``term``.  Equal neighbourhoods count once, beside an
+entity and elsewhere, so copies of a document are no evidence for or against a word.  ``sanitise_table`` replaces
+all spans by their kind.
+
+Edge cases: null and empty texts have no spans; very long texts cost in proportion to their length; repeated rows give
+equal rows; an empty table gives none; a null doc_id is carried; other columns are ignored by ``detect`` and kept by
+``sanitise_table``.
 """
 
 from __future__ import annotations
@@ -23,11 +26,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import BROADCAST_BYTES, materialize, modest, rows, table
+from quillspark.llm.common import BROADCAST_BYTES, WORD_GAP, materialize, modest, rows, table
 
 KINDS = ("email", "ip", "card", "phone")
-#: Words on each side of an entity that are candidates; distinct neighbourhoods and disclosure that protect one.
-CONTEXT_WORDS, MIN_CONTEXTS, MIN_DISCLOSURE = 5, 3, 0.5
+#: Words on each side of an entity that are candidates; distinct neighbourhoods, P(entity|word) and share of the
+#: entity's bits that protect one.
+CONTEXT_WORDS, MIN_CONTEXTS, MIN_DISCLOSURE, LEAK = 5, 3, 0.5, 0.9
 TERM_BYTES = 128
 
 _domain = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -122,12 +126,17 @@ def disclosing_terms(docs: DataFrame) -> DataFrame:
 
     texts = docs.select(F.col("text").cast("string").alias("text")).filter(F.col("text").isNotNull())
     seen = texts.mapInArrow(candidates, "term string, entity long, around long").distinct()
-    pairs = materialize(seen.groupBy("term", "entity").agg(F.count(F.lit(1)).alias("contexts")).filter(F.col("contexts") >= MIN_CONTEXTS), "pii-pairs")
+    seen = materialize(seen, "pii-contexts")
+    total = max(1, texts.agg(F.sum(F.size(F.split("text", WORD_GAP))).alias("n")).first()["n"] or 0)
+    around = seen.select("entity", "around").distinct().groupBy("entity").agg((-F.log2(F.least(F.lit(1.0), F.count(F.lit(1)) / F.lit(float(total))))).alias("ic"))
+    pairs = seen.groupBy("term", "entity").agg(F.count(F.lit(1)).alias("contexts")).filter(F.col("contexts") >= MIN_CONTEXTS)
+    least = F.greatest(F.lit(MIN_DISCLOSURE), F.pow(F.lit(2.0), -(1 - LEAK) * F.col("ic")))
+    pairs = materialize(pairs.join(around, "entity").select("term", "entity", "contexts", "ic", least.alias("least")), "pii-pairs")
     n = pairs.count()
     if n == 0:
-        return pairs.withColumns({"occurrences": F.lit(0).cast("long"), "bits": F.lit(0.0)})
-    # a term seen in more neighbourhoods than this is below the threshold, whatever else there is of it
-    most = pairs.groupBy("term").agg(F.floor(F.max("contexts") / MIN_DISCLOSURE).alias("most"))
+        return pairs.select("term", "entity", "contexts", F.lit(0).cast("long").alias("occurrences"), F.lit(0.0).alias("bits"), "ic")
+    # a term seen in more neighbourhoods than this is below the thresholds, whatever else there is of it
+    most = pairs.groupBy("term").agg(F.floor(F.max(F.col("contexts") / F.col("least"))).alias("most"))
     limits = docs.sparkSession.sparkContext.broadcast({r["term"]: r["most"] for r in most.collect()}) if n * TERM_BYTES <= BROADCAST_BYTES else None
 
     def units(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,61 +161,82 @@ def disclosing_terms(docs: DataFrame) -> DataFrame:
     if limits is None:
         counted = counted.join(pairs.select("term").distinct(), "term", "left_semi")
     totals = counted.distinct().groupBy("term").agg(F.count(F.lit(1)).alias("occurrences"))
-    by_entity = pairs.groupBy("entity").agg(F.sum("contexts").alias("near"))
-    near_any = pairs.agg(F.sum("contexts").alias("c")).first()["c"]
-    scored = (
-        pairs.join(totals, "term")
-        .withColumn("disclosure", F.col("contexts") / F.greatest("occurrences", "contexts"))
-        .filter(F.col("disclosure") >= MIN_DISCLOSURE)
-        .join(by_entity, "entity")
-        .withColumn("bits", F.log2(F.col("disclosure") * F.lit(float(near_any)) / F.col("near")))
-    )
-    return materialize(scored.select("term", "entity", "contexts", "occurrences", "bits"), "pii-terms")
+    disclosure = F.col("contexts") / F.greatest("occurrences", "contexts")
+    scored = pairs.join(totals, "term").filter(disclosure >= F.col("least")).withColumn("bits", F.log2(disclosure) + F.col("ic"))
+    return materialize(scored.select("term", "entity", "contexts", "occurrences", "bits", "ic"), "pii-terms")
+
+
+def _with_terms(docs: DataFrame) -> tuple[DataFrame, Callable[[pa.RecordBatch], list[frozenset[str]]]]:
+    """``docs`` and a function that gives the protected words of each row of a batch of it.
+
+    They are broadcast if their size allows it; else each text's own come to it by a join, as a last column.
+    """
+    modest(docs.sparkSession)
+    found = materialize(disclosing_terms(docs).select("term").distinct(), "pii-words")
+    if found.count() * TERM_BYTES <= BROADCAST_BYTES:
+        shared = docs.sparkSession.sparkContext.broadcast(frozenset(r["term"] for r in found.collect()))
+        return docs, lambda b: [shared.value] * b.num_rows
+
+    def words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in rows(batches):
+            pairs = [(i, w) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for w in {m[0].lower() for m in _word.finditer(t or "")}]
+            yield pa.record_batch([pa.array([i for i, _ in pairs], pa.int64()), pa.array([w for _, w in pairs], pa.string())], names=["_pii_row", "term"])
+
+    keyed = materialize(docs.withColumn("_pii_row", F.monotonically_increasing_id()), "pii-docs")
+    each = keyed.select("_pii_row", F.col("text").cast("string")).mapInArrow(words, "_pii_row long, term string")
+    mine = each.join(found, "term", "left_semi").groupBy("_pii_row").agg(F.collect_set("term").alias("_pii_terms"))
+    return keyed.join(mine, "_pii_row", "left").select(*docs.columns, "_pii_terms"), lambda b: [frozenset(x or ()) for x in b.column(b.num_columns - 1).to_pylist()]
+
+
+def all_spans(text: str, terms: frozenset[str]) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
+    """Base spans, and the spans of protected words that meet none of them."""
+    spans = base_spans(text)
+    found = [m.span() for m in _word.finditer(text) if m[0].lower() in terms] if terms else []
+    return spans, [("term", a, e) for a, e in found if not any(a < y and x < e for _, x, y in spans)]
 
 
 def detect(docs: DataFrame) -> DataFrame:
     """doc_id, counts of the base kinds, their digest, and all spans of every row."""
-    modest(docs.sparkSession)
-    found = disclosing_terms(docs)
-    n = found.count()
-    if n * TERM_BYTES > BROADCAST_BYTES:  # the terms of each text come to it by a join instead
-        keyed = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.monotonically_increasing_id().alias("rid"))
-        keyed = materialize(keyed, "pii-docs")
-        word = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([\\p{L}]{4,})"), F.lit(1))))
-        mine = keyed.select("rid", word.alias("term")).join(found.select("term").distinct(), "term", "left_semi").groupBy("rid").agg(F.collect_set("term").alias("terms"))
-        source = keyed.join(mine, "rid", "left").select("doc_id", "text", "terms")
-        shared = None
-    else:
-        source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-        shared = docs.sparkSession.sparkContext.broadcast(frozenset(r["term"] for r in found.select("term").distinct().collect()))
+    source, terms_of = _with_terms(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        form = lambda spans: ",".join(f"{k}:{a}:{e}" for k, a, e in spans)
         for b in rows(batches):
             out = []
-            own = b.column(2).to_pylist() if shared is None else None
-            for i, text in enumerate(b.column(1).to_pylist()):
-                text = text or ""
-                spans = base_spans(text)
+            for text, keep in zip(b.column(1).to_pylist(), terms_of(b)):
+                spans, terms = all_spans(text or "", keep)
                 n_kind = Counter(s[0] for s in spans)
-                base = ",".join(f"{k}:{a}:{e}" for k, a, e in spans)
-                keep = shared.value if shared is not None else frozenset(own[i] or ())
-                terms = []
-                if keep:
-                    terms = [m.span() for m in _word.finditer(text) if m[0].lower() in keep]
-                    terms = [(a, e) for a, e in terms if not any(a < y and x < e for _, x, y in spans)]
-                every = ",".join([base] * bool(base) + [f"term:{a}:{e}" for a, e in terms])
-                out.append((*(n_kind[k] for k in KINDS), hashlib.sha256(base.encode()).hexdigest(), every, len(terms)))
+                out.append((*(n_kind[k] for k in KINDS), hashlib.sha256(form(spans).encode()).hexdigest(), form(spans + terms), len(terms)))
             cols = list(zip(*out))
             yield pa.record_batch([b.column(0), *(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.string()), pa.array(cols[5], pa.string()), pa.array(cols[6], pa.int64())], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_term"])
 
     return source.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_term long")
 
 
-def sanitise(text: str, spans: str) -> str:
+def sanitise_table(docs: DataFrame) -> DataFrame:
+    """``docs`` with every span of ``text`` generalised to its kind in brackets; a null text stays null."""
+    docs = docs.withColumn("text", F.col("text").cast("string"))
+    source, terms_of = _with_terms(docs)
+    at, n = docs.columns.index("text"), len(docs.columns)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in rows(batches):
+            texts = []
+            for text, keep in zip(b.column(at).to_pylist(), terms_of(b)):
+                spans, terms = all_spans(text or "", keep)
+                texts.append(text and sanitise(text, spans + terms))
+            columns = list(b.columns[:n])
+            columns[at] = pa.array(texts, pa.string())
+            yield pa.record_batch(columns, names=docs_columns)
+
+    docs_columns = docs.columns
+    return source.mapInArrow(run, docs.schema)
+
+
+def sanitise(text: str, spans: list[tuple[str, int, int]]) -> str:
     """The text with every span replaced by its kind in brackets (the generalised form)."""
-    cuts = sorted((int(a), int(b), k) for k, a, b in (s.split(":") for s in spans.split(",") if s))
     out, at = [], 0
-    for a, b, kind in cuts:
+    for a, b, kind in sorted((a, b, k) for k, a, b in spans):
         if a >= at:
             out += [text[at:a], f"[{kind}]"]
         at = max(at, b)

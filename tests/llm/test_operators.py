@@ -263,7 +263,7 @@ def test_pii_disclosing_terms(spark, monkeypatch):
     rows = [(i, f"report{'x' * i} Zanzibar joe@corp.example wrote page{'y' * i} today") for i in range(6)] + [(10, "Zanzibar alone"), (11, None)]
     got = {r["doc_id"]: r for r in pii.detect(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert "term:0:8" in got[10]["spans"] and got[11]["spans"] == ""
-    assert pii.sanitise("Zanzibar alone", "term:0:8") == "[term] alone"
+    assert pii.sanitise("Zanzibar alone", [("term", 0, 8)]) == "[term] alone"
     monkeypatch.setattr(pii, "BROADCAST_BYTES", 0)  # the same by joins
     again = {r["doc_id"]: r["spans"] for r in pii.detect(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert again == {i: r["spans"] for i, r in got.items()}
