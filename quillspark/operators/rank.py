@@ -5,10 +5,18 @@ All of it is batched over many prompts at once.  Ties are broken by the document
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.durable import materialize, small
+
 RRF_K = 60
+#: Vectors in a block of a matrix product.
+BLOCK_ROWS = 4096
 
 
 def normalize(v: Column) -> Column:
@@ -16,16 +24,12 @@ def normalize(v: Column) -> Column:
     return F.element_at(F.transform(F.array(F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))), lambda n: F.transform(v, lambda x: x / F.coalesce(F.nullif(n, F.lit(0.0)), F.lit(1.0)))), 1)
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-
-
 def lexical(docs: DataFrame, prompts: DataFrame, min_overlap: int = 2, min_jaccard: float = 0.05, min_tokens: int = 2) -> DataFrame:
     """(prompt, doc, score, rank): docs(doc, tokens) and prompts(prompt, tokens) with distinct tokens.
 
     The inverted index is joined with the prompts' tokens; only its document frequencies are shuffled whole.
     """
-    docs = docs.filter(F.size("tokens") > 0)
+    docs = materialize(docs.filter(F.size("tokens") > 0).select("doc", "tokens"), "rank-docs")  # read three times
     n = docs.agg(F.count(F.lit(1)).alias("n"))
     index = docs.select("doc", F.size("tokens").alias("size"), F.explode("tokens").alias("t"))
     asked = prompts.filter(F.size("tokens") >= min_tokens).select("prompt", F.size("tokens").alias("asked"), F.explode("tokens").alias("t"))
@@ -41,14 +45,61 @@ def ranked(scored: DataFrame) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("prompt").orderBy(F.desc("score"), "doc")))
 
 
-def cosine(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """(prompt, doc, score, rank) of vectors(doc, vec) of the queries' dimension; queries(prompt, vec) are few.
+def _best(docs: np.ndarray, x: np.ndarray, prompts: np.ndarray, q: np.ndarray, top: int) -> pd.DataFrame:
+    """The pairs of a block of unit queries ``q`` and vectors ``x`` that can be among the ``top`` of a query."""
+    score = q @ x.T
+    if score.shape[1] > top:
+        # scores are rounded later: whatever is within a rounding step of the last place stays
+        last = np.partition(score, score.shape[1] - top, axis=1)[:, -top]
+        i, j = np.nonzero(score >= last[:, None] - 2e-6)
+    else:
+        i, j = np.nonzero(np.ones_like(score, dtype=bool))
+    return pd.DataFrame({"prompt": prompts[i], "doc": docs[j], "score": score[i, j]})
+
+
+def cosine(vectors: DataFrame, queries: DataFrame, top: int) -> DataFrame:
+    """(prompt, doc, score, rank) of the ``top`` vectors(doc, vec) of each of queries(prompt, vec), those of
+    its dimension; ties go to the smaller doc.
 
-    Queries are sent in blocks of rows to every partition of the vectors, so the vectors are never shuffled.
+    Exact, by matrix products of bounded blocks that give at most about ``top`` rows a query.  Queries whose counted size
+    allows it are broadcast and the vectors never shuffled; else both are dealt into blocks, a task for each pair.
     """
-    packed = queries.select("prompt", normalize(F.col("vec")).alias("q")).groupBy(F.pmod(F.xxhash64("prompt"), F.lit(16)).alias("block")).agg(F.collect_list(F.struct("prompt", "q")).alias("qs"))
-    met = vectors.crossJoin(F.broadcast(packed)).select("doc", "vec", F.explode("qs").alias("x")).filter(F.size("vec") == F.size("x.q"))
-    return ranked(met.select("x.prompt", "doc", F.round(dot(F.col("x.q"), F.col("vec")), 6).alias("score")))
+    spark, kinds = vectors.sparkSession, (queries.schema["prompt"].dataType, vectors.schema["doc"].dataType)
+    asked = materialize(queries.select("prompt", normalize(F.col("vec")).alias("vec")), "rank-queries")
+    given = vectors.select("doc", "vec")
+    schema = f"prompt {kinds[0].simpleString()}, doc {kinds[1].simpleString()}, score double"
+
+    def by_size(docs: pd.DataFrame, prompts: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        sizes, wanted = docs["vec"].map(len), prompts["vec"].map(len)
+        for n in sorted(set(sizes) & set(wanted)):
+            d, p = docs[sizes == n], prompts[wanted == n]
+            for a in range(0, len(p), 256):
+                part = p[a : a + 256]
+                yield _best(d["doc"].to_numpy(), np.stack(d["vec"].to_numpy()), part["prompt"].to_numpy(), np.stack(part["vec"].to_numpy()), top)
+
+    if small(asked, F.size("vec") * 8 + 64):
+        shared = spark.sparkContext.broadcast(asked.toPandas())
+
+        def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for docs in batches:
+                yield from by_size(docs, shared.value)
+
+        found = given.mapInPandas(run, schema)
+    else:
+        vec = materialize(given, "rank-vectors")
+        a, b = (max(1, -(-n // BLOCK_ROWS)) for n in (asked.count(), vec.count()))
+        side = lambda df, name, n: df.select(F.lit(name).alias("side"), F.col(name).cast("string").alias("id"), "vec", F.pmod(F.xxhash64(name), F.lit(n)).cast("int").alias("own"))
+        left = side(asked, "prompt", a).select("side", "id", "vec", F.col("own").alias("p"), F.explode(F.sequence(F.lit(0), F.lit(b - 1))).alias("v"))
+        right = side(vec, "doc", b).select("side", "id", "vec", F.explode(F.sequence(F.lit(0), F.lit(a - 1))).alias("p"), F.col("own").alias("v"))
+
+        def block(pdf: pd.DataFrame) -> pd.DataFrame:
+            docs, prompts = (pdf[pdf["side"] == k].rename(columns={"id": k}) for k in ("doc", "prompt"))
+            out = list(by_size(docs, prompts))
+            return pd.concat(out) if out else pd.DataFrame({"prompt": [], "doc": [], "score": []})
+
+        found = left.unionByName(right).groupBy("p", "v").applyInPandas(block, "prompt string, doc string, score double")
+        found = found.select(F.col("prompt").cast(kinds[0]), F.col("doc").cast(kinds[1]), "score")
+    return ranked(found.withColumn("score", F.round("score", 6))).filter(F.col("rank") <= top)
 
 
 def rrf(first: DataFrame, second: DataFrame, pool: int, members: str = "both") -> DataFrame:

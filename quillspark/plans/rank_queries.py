@@ -68,9 +68,9 @@ def q_search_json(spark, d):
 
 
 # vector search: every twentieth vector asks, all answer
-def _semantic(spark, d):
+def _semantic(spark, d, top=20):
     v = views.vectors(spark, d)
-    return K.cosine(v.select(F.col("vec_id").alias("doc"), "vec"), v.filter(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("prompt"), "vec"))
+    return K.cosine(v.select(F.col("vec_id").alias("doc"), "vec"), v.filter(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("prompt"), "vec"), top)
 
 
 _vec = """v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS vec FROM embeddings),

@@ -2,14 +2,21 @@
 
 Tables: raw_notes and ledger and changelog (append-only), synthed, pages, vectors, workspace (replaced as whole
 versions: a reader keeps the version it started with).  The folder can be on any file system that Spark reads.
-One writer at a time, as with any single streaming query per checkpoint.
+One writer at a time: the verbs that replace pages hold the store's lock.
 """
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import hashlib
+import json
+import re
+import time
+import uuid
+from collections.abc import Iterator
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +40,10 @@ SCHEMAS = {
 }
 
 
+class Busy(RuntimeError):
+    """Another writer holds the store's lock."""
+
+
 class Store:
     def __init__(self, spark: SparkSession, path: str, limits: Limits | None = None, completer: M.Completer = M.stub_complete, embedder: M.Embedder = M.stub_embed):
         self.spark, self.path, self.limits, self.completer, self.embedder = spark, path.rstrip("/"), limits or Limits(), completer, embedder
@@ -67,6 +78,66 @@ class Store:
     def append(self, name: str, df: DataFrame) -> None:
         df.select(*self.spark.createDataFrame([], SCHEMAS[name]).columns).write.mode("append").parquet(f"{self.path}/{name}/v1")
 
+    # keyed state and the writer's lock: small files of the driver
+    def _path(self, folder: str, key: str):
+        return self._fs(f"{self.path}/{folder}/{re.sub('[^A-Za-z0-9_-]', '-', key)[:80]}.json")
+
+    def _load(self, folder: str, key: str) -> dict:
+        fs, p = self._path(folder, key)
+        try:
+            stream = fs.open(p)
+            try:
+                found = json.loads(bytes(self.spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)))
+            finally:
+                stream.close()
+        except (Py4JJavaError, ValueError):  # no such state, or one that was cut off
+            return {}
+        return found if isinstance(found, dict) else {}
+
+    def _save(self, folder: str, key: str, value: dict, overwrite: bool) -> None:
+        fs, p = self._path(folder, key)
+        stream = fs.create(p, overwrite)
+        try:
+            stream.write(bytearray(json.dumps(value).encode()))
+        finally:
+            stream.close()
+
+    def state(self, key: str) -> dict:
+        """The state of a key; {} if there is none or it cannot be read."""
+        return self._load("state", key)
+
+    def set_state(self, key: str, value: dict) -> None:
+        """Replace the state of a key, with the time as ``_ts``."""
+        self._save("state", key, {**value, "_ts": time.time()}, True)
+
+    def clear_state(self, key: str) -> None:
+        fs, p = self._path("state", key)
+        fs.delete(p, False)
+
+    @contextlib.contextmanager
+    def lock(self, name: str = "write", stale_seconds: float = 3600.0) -> Iterator[bool]:
+        """Whether this is the only writer: creates the lock file, or takes it over from an owner that is stale.
+
+        A lock that is held is no error: the block runs with False and should do nothing.
+        """
+        owner = {"owner": uuid.uuid4().hex, "ts": time.time()}
+        fs, p = self._path("locks", name)
+        if fs.exists(p):
+            held = self._load("locks", name)
+            age = time.time() - float(held.get("ts") or fs.getFileStatus(p).getModificationTime() / 1000)
+            if age > stale_seconds:
+                fs.delete(p, False)
+        try:
+            self._save("locks", name, owner, False)
+        except Py4JJavaError:
+            yield False
+            return
+        try:
+            yield True
+        finally:
+            if self._load("locks", name).get("owner") == owner["owner"]:
+                fs.delete(p, False)
+
     # verbs
     def ingest(self, sessions: DataFrame, kind: str = "session") -> int:
         """Add sessions(source, id, title, date, cwd, text) whose content is new; returns their number.
@@ -96,7 +167,12 @@ class Store:
         return I.pending(hashed, self.read("synthed"))
 
     def synth(self, limit: int | None = None) -> int:
-        """Turn pending notes into pages (all, or the first ``limit`` by name); returns their number."""
+        """Turn pending notes into pages (all, or the first ``limit`` by name); returns their number, 0 if another
+        writer is at work."""
+        with self.lock() as mine:
+            return self._synth(limit) if mine else 0
+
+    def _synth(self, limit: int | None) -> int:
         from quillspark.durable import materialize
 
         todo = self.pending()
@@ -151,14 +227,15 @@ class Store:
         vectors = self.read("vectors")
         if not vectors.isEmpty():
             by_doc = vectors.join(p.select("slug", F.col("ord").alias("doc")), "slug").select("doc", "vec")
-            found = K.hybrid(found, K.cosine(by_doc, M.embed(prompts.select("prompt", "text"), "text", self.embedder).select("prompt", "vec")), self.limits.retrieve_max_results)
+            found = K.hybrid(found, K.cosine(by_doc, M.embed(prompts.select("prompt", "text"), "text", self.embedder).select("prompt", "vec"), max(4 * self.limits.retrieve_max_results, 20, limit or 0)), self.limits.retrieve_max_results)
         top = found.filter(F.col("rank") <= (limit or (10 if relaxed else self.limits.retrieve_max_results)))
         return top.join(p.select(F.col("ord").alias("doc"), "slug", "summary"), "doc").select("prompt", "slug", "score", "rank", "summary")
 
     def recall(self, prompts: DataFrame, shown: DataFrame | None = None) -> DataFrame:
         """Gated search for prompts long enough, without pages already shown(prompt, slug)."""
         asked = prompts.filter(F.length(F.trim("text")) >= self.limits.retrieve_min_prompt_chars)
-        found = self.search(asked, relaxed=False, limit=10**6)
+        most = 0 if shown is None else shown.groupBy("prompt").count().agg(F.max("count").alias("n")).first()["n"] or 0
+        found = self.search(asked, relaxed=False, limit=self.limits.retrieve_max_results + most)
         if shown is not None:
             found = found.join(shown, ["prompt", "slug"], "left_anti")
         return K.ranked(found.drop("rank").withColumnRenamed("slug", "doc")).filter(F.col("rank") <= self.limits.retrieve_max_results).withColumnRenamed("doc", "slug")
@@ -196,7 +273,13 @@ class Store:
         return J.rollup(*self.clusters(self.limits.garden_suggest_threshold))
 
     def tidy(self, dry_run: bool = False) -> DataFrame:
-        """Merge each cluster into its canonical page; returns the clusters."""
+        """Merge each cluster into its canonical page; returns the clusters.  Raises Busy if another writer is at work."""
+        with self.lock() as mine:
+            if not mine and not dry_run:
+                raise Busy("another writer holds the store's lock")
+            return self._tidy(dry_run)
+
+    def _tidy(self, dry_run: bool) -> DataFrame:
         from quillspark.durable import materialize
 
         p, found = self.clusters(self.limits.garden_merge_threshold)

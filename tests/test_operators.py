@@ -128,3 +128,26 @@ def test_embed_incremental_reuses(spark):
 def test_resolve_tiers(spark):
     e = spark.createDataFrame([("f", "t", "d"), (None, "t", "d"), (None, None, "d"), (None, None, None), ("f", None, "cpf e telefone")], "file_text string, tool_text string, description string")
     assert [r["method"] for r in models.resolve(e).collect()] == ["file", "tool", "description", "unresolved", "sensitive"]
+
+
+def test_cosine_in_blocks(spark, monkeypatch):
+    import numpy as np
+
+    from quillspark.operators import rank
+
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.integers(-2, 3, 4 if i % 9 else 3)]) for i in range(300)] + [(400, [0.0] * 4), (401, [])]
+    vectors = spark.createDataFrame(rows, "doc long, vec array<double>")
+    queries = vectors.filter("doc % 20 = 0").withColumnRenamed("doc", "prompt")
+    unit = {i: np.array(v) / (np.linalg.norm(v) or 1) for i, v in rows}
+    want = set()
+    for q in unit:
+        if q % 20 == 0:
+            found = sorted((-round(float(unit[q] @ np.array(v)), 6), i) for i, v in rows if len(v) == len(unit[q]))[:7]
+            want |= {(q, i, round(-s, 5), k + 1) for k, (s, i) in enumerate(found)}
+    for limit in (None, False):
+        if limit is False:
+            monkeypatch.setattr(rank, "small", lambda *_: False)
+            monkeypatch.setattr(rank, "BLOCK_ROWS", 64)
+        got = {(r["prompt"], r["doc"], round(r["score"], 5) + 0.0, r["rank"]) for r in rank.cosine(vectors, queries, 7).collect()}
+        assert got == {(a, b, s + 0.0, k) for a, b, s, k in want}

@@ -66,3 +66,37 @@ def test_config():
     assert C.resolve_provider({"provider": {"order": ["p"], "p": {"u": 1}}}, models={"merge": "m"}) == ("p", {"u": 1, "model_merge": "m"})
     assert C.resolve_embeddings({"provider": {"embeddings": {"model": "m"}}}) == (None, None)
     assert C.resolve_embeddings({"provider": {"embeddings": {"model": "m"}}}, {"base_url": "b"})[0] == "m"
+
+
+def test_keyed_state(store):
+    assert store.state("recall a/b") == {}
+    store.set_state("recall a/b", {"n": 1, "pages": ["x"]})
+    store.set_state("recall a/b", {"n": 2})
+    got = store.state("recall a/b")
+    assert got["n"] == 2 and "pages" not in got and got["_ts"] > 0 and store.state("recall-a-b") == got
+    store.clear_state("recall a/b")
+    store.clear_state("recall a/b")
+    assert store.state("recall a/b") == {}
+
+
+def test_one_writer_at_a_time(store):
+    from quillspark.store import Busy
+
+    with store.lock() as mine:
+        assert mine
+        with store.lock() as other:
+            assert not other
+        assert store.synth() == 0
+        with pytest.raises(Busy):
+            store.tidy()
+        with store.lock(stale_seconds=-1) as taken:  # the owner counts as gone
+            assert taken
+    with store.lock() as mine:
+        assert mine
+
+
+def test_recall_past_pages_that_were_shown(store, spark):
+    prompts = spark.createDataFrame([("p", "how should databricks clusters be sized and checkout alerts fire")], "prompt string, text string")
+    first = store.recall(prompts).collect()
+    shown = spark.createDataFrame([("p", r["slug"]) for r in first] or [("p", "")], "prompt string, slug string")
+    assert store.recall(prompts, shown).join(shown, ["prompt", "slug"]).count() == 0
