@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 import json
+import os
 import re
+import shlex
+import subprocess
+from collections.abc import Mapping
 from dataclasses import dataclass, fields, replace
+from datetime import UTC, datetime
 
 
 @dataclass(frozen=True)
@@ -114,3 +119,51 @@ def resolve_embeddings(config: dict, store: dict | None = None) -> tuple[str | N
     """(model, settings) of the embeddings provider, or nulls while it has no model or address."""
     settings = {**config.get("provider", {}).get("embeddings", {}), **{k: v for k, v in (store or {}).items() if v is not None}}
     return (settings["model"], settings) if settings.get("model") and settings.get("base_url") else (None, None)
+
+
+def resolve_key(settings: dict, env: Mapping[str, str] = os.environ) -> str | None:
+    """A provider's key: the variable it names, else the output of its helper command, else the literal; null if there
+    is none.  The helper runs without a shell.  Read on the driver and never part of a plan."""
+    held = env.get(settings.get("api_key_env") or "", "").strip()
+    if held:
+        return held
+    if settings.get("api_key_helper"):
+        try:
+            ran = subprocess.run(shlex.split(settings["api_key_helper"]), capture_output=True, text=True, timeout=settings.get("api_key_helper_timeout", 30))
+        except (subprocess.TimeoutExpired, OSError, ValueError) as e:
+            raise RuntimeError(f"key helper failed: {type(e).__name__}") from e
+        if ran.returncode:
+            raise RuntimeError(f"key helper failed with status {ran.returncode}")
+        if ran.stdout.strip():
+            return ran.stdout.strip()
+    return settings.get("api_key") or None
+
+
+def payload(text: str | None) -> dict:
+    """The object of a hook's input; {} if it is empty, malformed or no object."""
+    try:
+        found = json.loads(text or "")
+    except ValueError:
+        return {}
+    return found if isinstance(found, dict) else {}
+
+
+# fixed values: models by the gigabytes that 65 % of the memory leave for them (exclusive upper bound, propose, merge)
+MEMORY_SHARE = 0.65
+LOCAL_MODELS = [
+    (6.0, "llama3.2:3b", "qwen2.5:7b"),
+    (10.0, "qwen2.5:7b", "phi4:14b"),
+    (20.0, "qwen2.5:7b", "deepseek-r1:14b"),
+    (34.0, "qwen2.5:7b", "qwen3:32b"),
+    (float("inf"), "qwen2.5:7b", "llama3.3:70b"),
+]
+
+
+def recommend_models(memory_gb: float) -> tuple[str, str]:
+    """(propose, merge) models for a machine of that memory."""
+    return next((propose, merge) for below, propose, merge in LOCAL_MODELS if memory_gb * MEMORY_SHARE < below)
+
+
+def today() -> str:
+    """The date in UTC."""
+    return datetime.now(UTC).date().isoformat()

@@ -6,9 +6,12 @@ per session: source, id, title, date, cwd, text (Markdown turns).
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
-from functools import reduce
+from functools import partial, reduce
+from urllib.parse import quote
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -19,7 +22,7 @@ NO_TITLE = "(sem título)"
 TURN = "struct<line:bigint,role:string,text:string>"
 
 
-def jsonl(spark: SparkSession, path: str) -> DataFrame:
+def jsonl(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """file, line, v (variant) of every well-formed line below ``path``; blank and malformed lines drop."""
     raw = spark.read.option("recursiveFileLookup", "true").text(path)
     numbered = raw.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line"), F.col("value"))
@@ -91,7 +94,18 @@ def _turns(found: Column) -> Column:
     return F.array_sort(F.collect_list(found))
 
 
-def read_log_sessions(spark: SparkSession, path: str) -> DataFrame:
+def log_folders(spark: SparkSession, path: str, workspace: str) -> list[str]:
+    """The places below ``path`` that can hold logs of a workspace: its encoded folder, those it is a prefix of, and
+    logs without a folder.  Encoding loses characters, so sessions are still filtered by their own folder."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    encoded = re.sub("[^A-Za-z0-9]", "-", workspace.rstrip("/"))
+    listed = [(s.getPath().getName(), s) for s in fs.listStatus(root)] if fs.exists(root) else []
+    fits = lambda name, s: name == encoded or name.startswith(encoded + "-") if s.isDirectory() else name.endswith(".jsonl")
+    return sorted(s.getPath().toString() for name, s in listed if fits(name, s))
+
+
+def read_log_sessions(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """First dialect: lines of type user, assistant and ai-title; files without turns drop."""
     kind, text = _get("$.type"), _blocks_text("$.message.content")
     e = jsonl(spark, path).select("file", "line", kind.alias("kind"), _get("$.timestamp").alias("ts"), _get("$.cwd").alias("cwd"), F.coalesce(_get("$.message.aiTitle"), _get("$.aiTitle")).alias("ai"), F.when(kind.isin("user", "assistant"), text).alias("text"))
@@ -161,22 +175,57 @@ class _KeyValueReader(DataSourceReader):
         return [InputPartition(p) for p in self.options["path"].split(",")]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        import sqlite3
-
-        con = sqlite3.connect(f"file:{partition.value}?mode=ro", uri=True)
-        try:
-            name = self.options.get("table", "cursorDiskKV")
-            if not name.isidentifier():
-                raise ValueError(f"not a table name: {name}")
-            prefix = self.options.get("prefix", "")
-            for key, value in con.execute(f"SELECT key, value FROM {name} WHERE substr(key, 1, ?) = ?", (len(prefix), prefix)):
-                yield key, value.decode("utf-8", "replace") if isinstance(value, bytes) else value
-        finally:
-            con.close()
-
-
-def read_thread_sessions(spark: SparkSession, path: str, folders: DataFrame | None = None) -> DataFrame:
-    """Third dialect: composer metadata and bubbles of a key-value store; ``folders`` (id, cwd) places threads."""
+        yield from key_values(partition.value, self.options.get("table", "cursorDiskKV"), self.options.get("prefix", ""))
+
+
+def key_values(path: str, table: str, prefix: str) -> Iterator[tuple[str, str]]:
+    """(key, value) rows of a SQLite table whose keys start with ``prefix``; the file is opened for reading only."""
+    import sqlite3
+
+    if not table.isidentifier():
+        raise ValueError(f"not a table name: {table}")
+    con = sqlite3.connect(f"file:{quote(path)}?mode=ro", uri=True)
+    try:
+        for key, value in con.execute(f"SELECT key, value FROM {table} WHERE substr(key, 1, ?) = ?", (len(prefix), prefix)):
+            yield key, value.decode("utf-8", "replace") if isinstance(value, bytes) else value
+    finally:
+        con.close()
+
+
+def _thread_lists(files: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    import sqlite3
+
+    key = "composer.composerData"
+    for pdf in files:
+        rows = []
+        for path in pdf["path"]:
+            try:
+                rows += [(path, v) for k, v in key_values(re.sub("^file:/*", "/", path), "ItemTable", key) if k == key]
+            except sqlite3.Error:  # not a database, or one without the table: a workspace without threads
+                continue
+        yield pd.DataFrame(rows, columns=["path", "value"])
+
+
+def workspace_folders(spark: SparkSession, storage: str) -> DataFrame:
+    """(id, cwd) of threads: each folder below ``storage`` names its workspace in workspace.json and lists its threads
+    in state.vscdb.  The first folder by name wins a thread; folders that lack either file or cannot be read drop."""
+    found = lambda name: spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", name).load(storage)
+    home = F.regexp_replace("path", "/[^/]*$", "").alias("home")
+    named = tolerant(found("workspace.json").withColumn("value", F.col("content").cast("string")).select("path", "value"), "value")
+    folder = F.when(F.schema_of_variant(F.try_variant_get("v", "$.folder", "variant")) == "STRING", _get("$.folder"))
+    local = F.regexp_extract(folder, r"^file://[^/?#]*([^?#]*)", 1)
+    decoded = F.coalesce(F.try_url_decode(F.replace(local, F.lit("+"), F.lit("%2B"))), local)
+    places = named.select(home, F.nullif(F.when(folder.startswith("file://"), decoded).otherwise(folder), F.lit("")).alias("cwd")).filter(F.col("cwd").isNotNull())
+    lists = tolerant(found("state.vscdb").select("path").mapInPandas(_thread_lists, "path string, value string"), "value")
+    threads = lists.select(home, F.explode(F.try_variant_get("v", "$.allComposers", "array<variant>")).alias("v")).select("home", _get("$.composerId").alias("id"))
+    return threads.filter(F.col("id") != "").join(places, "home").groupBy("id").agg(F.min_by("cwd", "home").alias("cwd"))
+
+
+def read_thread_sessions(spark: SparkSession, path: str, folders: DataFrame | None = None, storage: str | None = None) -> DataFrame:
+    """Third dialect: composer metadata and bubbles of a key-value store; ``folders`` (id, cwd), or those that
+    ``workspace_folders`` finds below ``storage``, place threads."""
+    if folders is None and storage is not None:
+        folders = workspace_folders(spark, storage)
     spark.dataSource.register(KeyValueSource)
     kv = lambda prefix: tolerant(spark.read.format("sqlite_kv").option("path", path).option("prefix", prefix).load(), "value")
     key = F.split("key", ":")
@@ -202,12 +251,19 @@ def read_thread_sessions(spark: SparkSession, path: str, folders: DataFrame | No
 BACKENDS: dict[str, Callable[[SparkSession, str], DataFrame]] = {"claude": read_log_sessions, "codex": read_rollout_sessions, "cursor": read_thread_sessions}
 
 
-def union_sessions(spark: SparkSession, stores: dict[str, str], workspace: str | None = None, since: str | None = None) -> DataFrame:
+#: Backends whose folders are named by workspace: which of them a scan for one workspace reads.
+PRUNED: dict[str, Callable[[SparkSession, str, str], list[str]]] = {"claude": log_folders}
+
+
+def union_sessions(spark: SparkSession, stores: dict[str, str], workspace: str | None = None, since: str | None = None, storage: str | None = None) -> DataFrame:
     """Sessions of all known backends among ``stores`` (name → path); unknown names are ignored.
 
-    ``workspace`` keeps sessions below a folder; ``since`` (YYYY-MM-DD) keeps later ones and unknown dates.
+    ``workspace`` keeps sessions below a folder, and only folders that can hold them are read; ``since`` (YYYY-MM-DD)
+    keeps later ones and unknown dates; ``storage`` places the third dialect's threads.
     """
-    read = [BACKENDS[name](spark, path) for name, path in stores.items() if name in BACKENDS]
+    backends = {**BACKENDS, "cursor": partial(BACKENDS["cursor"], storage=storage)} if storage else BACKENDS
+    places = {name: PRUNED[name](spark, path, workspace) if workspace and name in PRUNED else path for name, path in stores.items()}
+    read = [backends[name](spark, places[name]) for name in stores if name in backends and places[name]]
     if not read:
         return spark.createDataFrame([], "source string, id string, title string, date string, cwd string, text string")
     every = reduce(DataFrame.unionByName, read)

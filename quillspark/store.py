@@ -40,6 +40,10 @@ SCHEMAS = {
 }
 
 
+# fixed value: stands for the owner's profile in prompts while there is none
+NO_PROFILE = "(no profile provided)"
+
+
 class Busy(RuntimeError):
     """Another writer holds the store's lock."""
 
@@ -78,6 +82,18 @@ class Store:
     def append(self, name: str, df: DataFrame) -> None:
         df.select(*self.spark.createDataFrame([], SCHEMAS[name]).columns).write.mode("append").parquet(f"{self.path}/{name}/v1")
 
+    def init(self) -> list[str]:
+        """Create the tables that are missing, empty; returns their names.  A second call changes nothing."""
+        missing = [name for name in SCHEMAS if not self._versions(name)]
+        for name in missing:
+            self.replace(name, self.spark.createDataFrame([], SCHEMAS[name]))
+        return missing
+
+    def project(self, workspace: str | None) -> str:
+        """The key of a workspace's project, empty if it has none."""
+        row = self.spark.range(1).select(T.normalize_key(F.lit(workspace).cast("string")).alias("key")).first()
+        return row["key"] or ""
+
     # keyed state and the writer's lock: small files of the driver
     def _path(self, folder: str, key: str):
         return self._fs(f"{self.path}/{folder}/{re.sub('[^A-Za-z0-9_-]', '-', key)[:80]}.json")
@@ -114,6 +130,19 @@ class Store:
         fs, p = self._path("state", key)
         fs.delete(p, False)
 
+    def profile(self, most: int = 900) -> str:
+        """The owner's own words about themself for prompts: the start of ABOUT.md, or a placeholder."""
+        fs, p = self._fs(f"{self.path}/ABOUT.md")
+        try:
+            stream = fs.open(p)
+            try:
+                text = bytes(self.spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode("utf-8", "ignore").strip()
+            finally:
+                stream.close()
+        except Py4JJavaError:  # no such file
+            text = ""
+        return text[:most] or NO_PROFILE
+
     @contextlib.contextmanager
     def lock(self, name: str = "write", stale_seconds: float = 3600.0) -> Iterator[bool]:
         """Whether this is the only writer: creates the lock file, or takes it over from an owner that is stale.
