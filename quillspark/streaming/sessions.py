@@ -45,6 +45,25 @@ def inject_once(events: DataFrame) -> DataFrame:
     return events.groupBy("session").transformWithStateInPandas(statefulProcessor=InjectOnce(), outputStructType=INJECTED, outputMode="Append", timeMode="ProcessingTime")
 
 
+def inject_stream(events: DataFrame, store: str, checkpoint: str):
+    """Run a stream of events through ``inject_once`` into the store until its input is used up.
+
+    State with processing time asks for one more batch after every batch, so a query that ends with its input must not
+    run batches without data; expired state goes with the next batch that has some.  A query keeps the setting that
+    it started with, so the session gets its own back.
+    """
+    conf, name = events.sparkSession.conf, "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = conf.get(name)
+    conf.set(name, "false")
+    try:
+        query = inject_once(events).writeStream.format("parquet").option("path", store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        conf.set(name, before)
+    while not query.awaitTermination(10):
+        pass
+    return query
+
+
 def capture_batch(store: str, batch: DataFrame) -> None:
     """Append the captures(sid, date, text, partial) of a micro-batch whose content the store lacks.
 

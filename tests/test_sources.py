@@ -93,9 +93,7 @@ def test_inject_once(spark, tmp_path):
     rows = [("u1", "p1", 3), ("u1", "p1", 1), ("u1", "p2", 2), ("u2", "p1", 4)]
     spark.createDataFrame(rows, "session string, page string, event_id long").coalesce(1).write.parquet(str(tmp_path / "e"))
     stream = spark.readStream.schema("session string, page string, event_id long").parquet(str(tmp_path / "e"))
-    q = ST.inject_once(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    while not q.awaitTermination(10):
-        pass
+    ST.inject_stream(stream, str(tmp_path / "out"), str(tmp_path / "cp"))
     got = {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {("u1", "p1", 1), ("u1", "p2", 2), ("u2", "p1", 4)}
 
