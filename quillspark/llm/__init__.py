@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillspark.llm import decontaminate, html, langid, packing, pii, quality, secrets, sharding, simhash, substring
+from quillspark.llm import decontaminate, html, langid, lexical, lines, packing, pii, quality, resample, secrets, sharding, simhash, substring
 
-_MODULES = (langid, secrets, html, decontaminate, substring, pii, sharding, simhash, quality, packing)
+_MODULES = (langid, secrets, html, decontaminate, substring, pii, sharding, simhash, quality, packing, lexical, lines, resample)
 
 
 def queries() -> dict:
