@@ -1,6 +1,7 @@
 """Every query with an oracle gives the oracle's rows on the smallest tables."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 from quillspark.plans import ORACLE_SQL, QUERIES
@@ -18,7 +19,7 @@ def duck(sf_dir):
 
 
 def plain(value):
-    if value is None or value != value:
+    if value is None or value is pd.NA or value != value:
         return None
     if isinstance(value, float):
         return round(value, 6)
