@@ -13,8 +13,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.durable import materialize, small
+from quillspark.operators import inverted
 
 RRF_K = 60
+#: Postings that prompts meet up to which joining them all is the cheaper plan (the result is the same).
+PLAIN_POSTINGS = 5_000_000
 #: Vectors in a block of a matrix product.
 BLOCK_ROWS = 4096
 
@@ -24,21 +27,27 @@ def normalize(v: Column) -> Column:
     return F.element_at(F.transform(F.array(F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))), lambda n: F.transform(v, lambda x: x / F.coalesce(F.nullif(n, F.lit(0.0)), F.lit(1.0)))), 1)
 
 
-def lexical(docs: DataFrame, prompts: DataFrame, min_overlap: int = 2, min_jaccard: float = 0.05, min_tokens: int = 2) -> DataFrame:
+def lexical(docs: DataFrame, prompts: DataFrame, min_overlap: int = 2, min_jaccard: float = 0.05, min_tokens: int = 2, top: int | None = None) -> DataFrame:
     """(prompt, doc, score, rank): docs(doc, tokens) and prompts(prompt, tokens) with distinct tokens.
 
-    The inverted index is joined with the prompts' tokens; only its document frequencies are shuffled whole.
+    With ``top``, the first places only.  If the prompts would meet many postings, these are found by upper bounds (see
+    ``inverted``): the postings of frequent tokens are joined for those prompts alone whose bounds ask for them.
     """
-    docs = materialize(docs.filter(F.size("tokens") > 0).select("doc", "tokens"), "rank-docs")  # read three times
-    n = docs.agg(F.count(F.lit(1)).alias("n"))
-    index = docs.select("doc", F.size("tokens").alias("size"), F.explode("tokens").alias("t"))
-    asked = prompts.filter(F.size("tokens") >= min_tokens).select("prompt", F.size("tokens").alias("asked"), F.explode("tokens").alias("t"))
+    docs = materialize(docs.filter(F.size("tokens") > 0).select("doc", "tokens"), "rank-docs")
+    index = inverted.explode_sets(docs)
+    asked = inverted.ask(prompts, min_tokens)
     wanted = index.join(asked.select("t").distinct(), "t", "left_semi")
-    idf = wanted.groupBy("t").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n)).select("t", F.log(1.0 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    hits = wanted.join(asked.join(idf, "t"), "t")
+    df = wanted.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
+    weighed = inverted.weigh(asked, df, docs.count())
+    if top is not None:
+        weighed = materialize(weighed, "weighed")
+        if (weighed.agg(F.sum("df")).first()[0] or 0) > PLAIN_POSTINGS:
+            return inverted.top_k(index, docs, weighed, top, min_overlap, min_jaccard)
+    hits = wanted.join(weighed.select("prompt", "asked", "t", "idf"), "t")
     scored = hits.groupBy("prompt", "doc").agg(F.count(F.lit(1)).alias("overlap"), F.first("size").alias("size"), F.first("asked").alias("asked"), F.round(F.sum("idf"), 6).alias("score"))
     passed = scored.filter((F.col("overlap") >= min_overlap) & (F.col("overlap") / (F.col("size") + F.col("asked") - F.col("overlap")) >= min_jaccard))
-    return ranked(passed.select("prompt", "doc", "score"))
+    found = ranked(passed.select("prompt", "doc", "score"))
+    return found if top is None else found.filter(F.col("rank") <= top)
 
 
 def ranked(scored: DataFrame) -> DataFrame:

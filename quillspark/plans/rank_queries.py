@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillspark.durable import table
@@ -14,6 +15,8 @@ from quillspark.plans import views
 from quillspark.plans.registry import query
 
 COSINE, JACCARD = 0.4, 0.4
+#: Places of each ranking that a fusion of up to five results looks at.
+POOL = 20
 
 
 # lexical search: benchmark texts as prompts, pages as documents
@@ -44,7 +47,7 @@ _loose = _lexical_sql(1, 0.0, 1)
 
 @query("q_lexical_rank", f"WITH {_lex} SELECT prompt, doc, score, rank::INT AS rank FROM lex WHERE rank <= 5")
 def q_lexical_rank(spark, d):
-    return K.lexical(*_lexical_inputs(spark, d)).filter(F.col("rank") <= 5)
+    return K.lexical(*_lexical_inputs(spark, d), top=5)
 
 
 @query("a_doc_freq", f"WITH {D.PAGES}, t AS (SELECT unnest({_page_tokens}) AS stem FROM pages_v) SELECT stem, count(*) AS df FROM t GROUP BY 1")
@@ -57,13 +60,12 @@ def a_doc_freq(spark, d):
 def q_search(spark, d):
     """Search: relaxed gates, ten results and the count of all."""
     found = K.lexical(*_lexical_inputs(spark, d), 1, 0.0, 1)
-    total = found.groupBy("prompt").agg(F.count(F.lit(1)).alias("total"))
-    return found.filter(F.col("rank") <= 10).join(total, "prompt")
+    return found.withColumn("total", F.count(F.lit(1)).over(Window.partitionBy("prompt"))).filter(F.col("rank") <= 10)
 
 
 @query("q_search_json", f"WITH {_loose} SELECT prompt, rank::INT AS rank, '{{\"doc\":' || doc || ',\"rank\":' || rank || '}}' AS hit, round(score, 3) AS score FROM lex WHERE rank <= 5")
 def q_search_json(spark, d):
-    found = K.lexical(*_lexical_inputs(spark, d), 1, 0.0, 1).filter(F.col("rank") <= 5)
+    found = K.lexical(*_lexical_inputs(spark, d), 1, 0.0, 1, top=5)
     return found.select("prompt", "rank", F.to_json(F.struct("doc", "rank")).alias("hit"), F.round("score", 3).alias("score"))
 
 
@@ -92,7 +94,7 @@ def j_relink_semantic(spark, d):
 # fusion: the lexical ranking of every prompt with the semantic one of the vector 20 * prompt
 def _fused_inputs(spark, d):
     sem = _semantic(spark, d).withColumn("prompt", (F.col("prompt") / 20).cast("long"))
-    return K.lexical(*_lexical_inputs(spark, d)), sem
+    return K.lexical(*_lexical_inputs(spark, d), top=POOL), sem
 
 
 _both = f"{_lex}, {_vec}, semp AS (SELECT (prompt // 20)::BIGINT AS prompt, doc, score, rank FROM sem)"
