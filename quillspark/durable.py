@@ -42,15 +42,21 @@ def _sweep() -> None:
 atexit.register(_sweep)
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the checkpoint folder; it goes when the program ends."""
+    path = f"{checkpoint_root(spark)}/quillspark/{name}-{uuid.uuid4().hex}"
+    _tables.append((spark, path))
+    return path
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet below the checkpoint folder and return a scan of it (lineage is cut).
 
     zstd: smaller than the default codec, and without the direct buffers that its writers keep until a collection.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_root(spark)}/quillspark/{name}-{uuid.uuid4().hex}"
+    path = folder(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    _tables.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quillspark.durable import table
+from quillspark.durable import folder, materialize, table
 from quillspark.functions import text as T
 from quillspark.operators import graph as G
+from quillspark.operators import inverted
 from quillspark.operators import rank as K
 from quillspark.operators import simjoin as J
 from quillspark.plans import duck as D
 from quillspark.plans import views
 from quillspark.plans.registry import query
+from quillspark.streaming.recall import recall_sessions
 
 COSINE, JACCARD = 0.4, 0.4
 #: Places of each ranking that a fusion of up to five results looks at.
@@ -30,10 +32,10 @@ def _lexical_inputs(spark, d):
 _page_tokens = D.recall("title || ' ' || replace(slug, '-', ' ') || ' ' || array_to_string(tags, ' ') || ' ' || summary")
 
 
-def _lexical_sql(overlap: int, jaccard: float, asked: int) -> str:
+def _lexical_sql(overlap: int, jaccard: float, asked: int, source: str = "SELECT item_id AS prompt, text FROM benchmark") -> str:
     return f"""{D.PAGES},
 docs AS (SELECT ord AS doc, tokens FROM (SELECT ord, {_page_tokens} AS tokens FROM pages_v) WHERE len(tokens) > 0),
-prompts AS (SELECT prompt, tokens FROM (SELECT item_id AS prompt, {D.recall('text')} AS tokens FROM benchmark) WHERE len(tokens) >= {asked}),
+prompts AS (SELECT prompt, tokens FROM (SELECT prompt, {D.recall('text')} AS tokens FROM ({source})) WHERE len(tokens) >= {asked}),
 idx AS (SELECT doc, len(tokens) AS size, unnest(tokens) AS t FROM docs),
 df AS (SELECT t, ln(1 + ((SELECT count(*) FROM docs) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM idx GROUP BY t),
 asks AS (SELECT prompt, len(tokens) AS asked, unnest(tokens) AS t FROM prompts),
@@ -63,6 +65,34 @@ def q_search(spark, d):
     return found.withColumn("total", F.count(F.lit(1)).over(Window.partitionBy("prompt"))).filter(F.col("rank") <= 10)
 
 
+@query("q_index_rank", f"WITH {_lex} SELECT prompt, doc, score, rank::INT AS rank FROM lex WHERE rank <= 5")
+def q_index_rank(spark, d):
+    """The same ranking by the persistent index: all pages, a third of them in an older form, then as they are now."""
+    docs, prompts = _lexical_inputs(spark, d)
+    docs = materialize(docs, "index-docs")
+    index = inverted.Index(spark, folder(spark, "index"))
+    index.update(docs.select("doc", F.when(F.col("doc") % 3 == 0, F.slice("tokens", 1, 3)).otherwise(F.col("tokens")).alias("tokens")))
+    index.update(docs)
+    return index.search(prompts, 5)
+
+
+_turns = "SELECT conv_id * 1000 + turn AS prompt, text FROM conversations WHERE role = 'user' AND length(trim(text)) >= 15"
+
+
+@query("q_recall_sessions", f"""WITH RECURSIVE {_lexical_sql(2, 0.05, 2, _turns)},
+p AS (SELECT prompt, prompt // 1000 AS session, row_number() OVER (PARTITION BY prompt // 1000 ORDER BY prompt) AS k FROM prompts),
+c AS (SELECT prompt, list(doc ORDER BY rank) AS docs FROM lex GROUP BY prompt),
+step AS (SELECT DISTINCT session, 0::BIGINT AS k, []::BIGINT[] AS seen, []::BIGINT[] AS picked, NULL::BIGINT AS prompt FROM p UNION ALL
+  SELECT session, k, list_concat(seen, n), n, prompt FROM (SELECT s.session, p.k, s.seen, list_filter(coalesce(c.docs, []), lambda x: NOT list_contains(s.seen, x))[1:5] AS n, p.prompt FROM step s JOIN p ON p.session = s.session AND p.k = s.k + 1 LEFT JOIN c ON c.prompt = p.prompt)),
+shown AS (SELECT session, prompt, unnest(picked) AS doc, unnest(range(1, len(picked) + 1)) AS rank FROM step)
+SELECT session::VARCHAR AS session, prompt % 1000 AS event_id, doc, score, shown.rank::INT AS rank FROM shown JOIN lex USING (prompt, doc)""")
+def q_recall_sessions(spark, d):
+    """Pages shown to each user turn of a conversation, none twice in it (batch form of streaming.recall)."""
+    docs, _ = _lexical_inputs(spark, d)
+    turns = table(spark, d, "conversations").filter(F.col("role") == "user")
+    return recall_sessions(turns.select(F.col("conv_id").cast("string").alias("session"), F.col("turn").cast("long").alias("event_id"), "text"), docs)
+
+
 @query("q_search_json", f"WITH {_loose} SELECT prompt, rank::INT AS rank, '{{\"doc\":' || doc || ',\"rank\":' || rank || '}}' AS hit, round(score, 3) AS score FROM lex WHERE rank <= 5")
 def q_search_json(spark, d):
     found = K.lexical(*_lexical_inputs(spark, d), 1, 0.0, 1, top=5)
