@@ -18,6 +18,8 @@ from quillspark.operators import inverted
 RRF_K = 60
 #: Postings that prompts meet up to which joining them all is the cheaper plan (the result is the same).
 PLAIN_POSTINGS = 5_000_000
+#: Pages of a token above which it is frequent, and how many frequent tokens (the most frequent ones) make no pairs.
+HOT_DF, MOST_HOT = 256, 12
 #: Vectors in a block of a matrix product.
 BLOCK_ROWS = 4096
 
@@ -132,17 +134,65 @@ def hybrid(lexical_: DataFrame, semantic: DataFrame, max_results: int = 5) -> Da
     return fused.select(cols).unionByName(alone.select(cols)).unionByName(plain.select(cols))
 
 
+def _boost(same_project: float, same_section: float) -> Column:
+    return F.when(F.col("project") == F.col("o_project"), same_project).otherwise(0.0) + F.when(F.col("section") == F.col("o_section"), same_section).otherwise(0.0)
+
+
+def _hot_only(pages: DataFrame, asked: DataFrame, same_project: float, same_section: float, top: int, ties: Column) -> DataFrame:
+    """(ord, other, o_slug, score): for each asked page the best that share frequent tokens with it, by these alone.
+
+    A page's frequent tokens are the bits of its mask.  Pages of one mask, project and section score alike, so the first
+    top + 1 of them by the order of ties (one may be the asked page itself) stand for all.  A class that has the asked
+    project, section, both or none of them is found by as many joins; masks are at most 2^MOST_HOT.
+    """
+    keys = ("o_mask", "o_project", "o_section")
+    others = pages.filter(F.col("mask") != 0).select(F.col("ord").alias("other"), F.col("slug").alias("o_slug"), F.col("project").alias("o_project"), F.col("section").alias("o_section"), F.col("mask").alias("o_mask"))
+    first = lambda df, by: df.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(ties))).filter(F.col("place") <= top + 1).drop("place")
+    best = materialize(first(others, keys), "hot-classes")
+    bits = lambda mask: F.explode(F.filter(F.sequence(F.lit(0), F.lit(MOST_HOT - 1)), lambda i: mask.bitwiseAND(F.call_function("shiftleft", F.lit(1), i)) != 0)).alias("bit")
+    classes = asked.filter(F.col("mask") != 0).select("mask", "project", "section").distinct().select("*", bits(F.col("mask")))
+    shared = F.bit_count(F.col("mask").bitwiseAND(F.col("o_mask")))
+    found = None
+    for same in ((), ("project",), ("section",), ("project", "section")):
+        level = first(best, ("o_mask", *(f"o_{c}" for c in same))).select("*", bits(F.col("o_mask")))
+        part = classes.join(level.withColumnRenamed("bit", "o_bit"), [F.col("bit") == F.col("o_bit"), *(F.col(c) == F.col(f"o_{c}") for c in same)]).drop("bit", "o_bit")
+        found = part if found is None else found.unionAll(part)
+    scored = found.withColumn("score", shared + _boost(same_project, same_section)).select("mask", "project", "section", "other", "o_slug", "score").distinct()
+    order = Window.partitionBy("mask", "project", "section").orderBy(F.desc("score"), ties)
+    chosen = scored.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= top + 1)
+    mine = chosen.select(F.col("mask").alias("c_mask"), F.col("project").alias("c_project"), F.col("section").alias("c_section"), "other", "o_slug", "score")
+    same_class = (F.col("mask") == F.col("c_mask")) & F.col("project").eqNullSafe(F.col("c_project")) & F.col("section").eqNullSafe(F.col("c_section"))
+    return asked.join(mine, same_class).filter(F.col("ord") != F.col("other")).select("ord", "other", "o_slug", "score")
+
+
 def overlap_links(pages: DataFrame, same_project: float, same_section: float, top: int, ties: Column, asked: Column | None = None) -> DataFrame:
-    """(ord, other, score, rank): pages(ord, slug, project, section, tokens) that share identity tokens, best first.
+    """(ord, other, o_slug, score, rank): pages(ord, slug, project, section, tokens) that share identity tokens, best first.
+
+    Pages for which ``asked`` holds are the queries, all pages the candidates (default: all against all).  ``ties`` orders
+    equal scores by ``other`` or ``o_slug``; boosts are not negative.
 
-    Pages for which ``asked`` holds are the queries, all pages the candidates (default: all against all).
+    Pairs meet on tokens of at most HOT_DF pages only.  What a pair shares of more frequent tokens (the MOST_HOT most
+    frequent, as bits) is counted from two numbers; pages that share nothing else are found through classes of
+    equal bits, of which the first few stand for all.  So a token that all pages of a project have makes no pairs.
     """
+    pages = pages.select("ord", "slug", "project", "section", "tokens")
+    pages = materialize(pages, "identity")
+    counts = pages.select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df"))
+    hot = [r["t"] for r in counts.filter(F.col("df") > HOT_DF).orderBy(F.desc("df"), "t").limit(MOST_HOT).collect()]
+    frequent = F.array(*map(F.lit, hot)).cast("array<string>")
+    bits = [F.when(F.array_contains("tokens", t), F.lit(1 << i)).otherwise(F.lit(0)) for i, t in enumerate(hot)]
+    mask = sum(bits[1:], bits[0]) if bits else F.lit(0)
+    pages = pages.select("ord", "slug", "project", "section", mask.cast("int").alias("mask"), F.array_except("tokens", frequent).alias("rare"))
     left = pages if asked is None else pages.filter(asked)
-    a = left.select("ord", "project", "section", F.explode("tokens").alias("t"))
-    b = pages.select(F.col("ord").alias("other"), F.col("slug").alias("o_slug"), F.col("project").alias("o_project"), F.col("section").alias("o_section"), F.explode("tokens").alias("t"))
-    shared = a.join(b, "t").filter(F.col("ord") != F.col("other"))
-    counted = shared.groupBy("ord", "other").agg(F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("project", "section", "o_slug", "o_project", "o_section")])
-    boost = F.when(F.col("project") == F.col("o_project"), same_project).otherwise(0.0) + F.when(F.col("section") == F.col("o_section"), same_section).otherwise(0.0)
-    scored = counted.withColumn("score", F.col("n") + boost)
+    a = left.select("ord", "project", "section", "mask", F.explode("rare").alias("t"))
+    b = pages.select(F.col("ord").alias("other"), F.col("slug").alias("o_slug"), F.col("project").alias("o_project"), F.col("section").alias("o_section"), F.col("mask").alias("o_mask"), F.explode("rare").alias("t"))
+    met = a.join(b, "t").filter(F.col("ord") != F.col("other"))
+    counted = met.groupBy("ord", "other").agg(F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("project", "section", "mask", "o_slug", "o_project", "o_section", "o_mask")])
+    n = F.col("n") + F.bit_count(F.col("mask").bitwiseAND(F.col("o_mask")))
+    scored = counted.select("ord", "other", "o_slug", (n + _boost(same_project, same_section)).alias("score"))
+    if hot:
+        classes = _hot_only(pages, left.select("ord", "project", "section", "mask"), same_project, same_section, top, ties)
+        # a pair of both kinds has its whole score from the first
+        scored = scored.unionAll(classes).groupBy("ord", "other").agg(F.first("o_slug").alias("o_slug"), F.max("score").alias("score"))
     w = Window.partitionBy("ord").orderBy(F.desc("score"), ties)
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top).select("ord", "other", "o_slug", "score", "rank")

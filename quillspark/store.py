@@ -2,7 +2,8 @@
 
 Tables: raw_notes and ledger and changelog (append-only), synthed, pages, vectors, workspace (replaced as whole
 versions: a reader keeps the version it started with).  The folder can be on any file system that Spark reads.
-One writer at a time: the verbs that replace pages hold the store's lock.
+One writer at a time: the verbs that replace tables hold the store's lease, and every commit is a compare-and-set on
+the version that was read (see ``commits``), so a writer that stalled past its lease loses its own work only.
 """
 
 from __future__ import annotations
@@ -13,13 +14,13 @@ import hashlib
 import json
 import re
 import time
-import uuid
 from collections.abc import Iterator
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.commits import LEASE_SECONDS, Conflict, Fenced, Files, Lease, Table
 from quillspark.config import Limits
 from quillspark.functions import scrub as S
 from quillspark.functions import text as T
@@ -40,10 +41,16 @@ SCHEMAS = {
 }
 
 
+#: Tables that grow by appending; the others are replaced.
+APPENDED = ("raw_notes", "ledger", "changelog")
+
 # fixed value: stands for the owner's profile in prompts while there is none
 NO_PROFILE = "(no profile provided)"
 
 
+__all__ = ["Busy", "Conflict", "Fenced", "Store"]
+
+
 class Busy(RuntimeError):
     """Another writer holds the store's lock."""
 
@@ -54,39 +61,52 @@ class Store:
 
     # tables
     def _fs(self, path: str):
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
+        return self.files.at(path)
+
+    @functools.cached_property
+    def files(self) -> Files:
+        return Files(self.spark)
+
+    def table(self, name: str) -> Table:
+        return Table(self.spark, f"{self.path}/{name}", SCHEMAS[name])
+
+    def version(self, name: str) -> int:
+        """Number of a replaced table's current version, 0 if it was never written."""
+        return self.table(name).head()
 
-    def _versions(self, name: str) -> list[int]:
-        fs, p = self._fs(f"{self.path}/{name}")
-        found = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
-        done = [int(v[1:]) for v in found if v[0] == "v" and fs.exists(self._fs(f"{self.path}/{name}/{v}/_SUCCESS")[1])]
-        return sorted(done)
+    def _appended(self, name: str) -> bool:
+        return "_SUCCESS" in self.files.names(f"{self.path}/{name}/v1")
 
     def read(self, name: str) -> DataFrame:
         """The current version of a table; empty if it was never written."""
-        versions = self._versions(name)
-        if not versions:
+        if name not in APPENDED:
+            return self.table(name).read()
+        if not self._appended(name):
             return self.spark.createDataFrame([], SCHEMAS[name])
-        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.path}/{name}/v{versions[-1]}")
+        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.path}/{name}/v1")
 
-    def replace(self, name: str, df: DataFrame) -> None:
-        """A new version of a table; the last two stay for readers."""
-        versions = self._versions(name)
-        new = versions[-1] + 1 if versions else 1
-        df.select(*self.spark.createDataFrame([], SCHEMAS[name]).columns).write.mode("overwrite").parquet(f"{self.path}/{name}/v{new}")
-        for v in versions[:-1]:
-            fs, p = self._fs(f"{self.path}/{name}/v{v}")
-            fs.delete(p, True)
+    def replace(self, name: str, df: DataFrame, base: int | None = None, lease: Lease | None = None) -> None:
+        """A new version of a table, after ``base`` (the version that ``df`` was made from; the current one by default).
+
+        Raises Conflict if another writer has put a version there, Fenced if ``lease`` was taken over.
+        """
+        self.table(name).commit(df, self.version(name) if base is None else base, lease)
 
     def append(self, name: str, df: DataFrame) -> None:
         df.select(*self.spark.createDataFrame([], SCHEMAS[name]).columns).write.mode("append").parquet(f"{self.path}/{name}/v1")
 
     def init(self) -> list[str]:
-        """Create the tables that are missing, empty; returns their names.  A second call changes nothing."""
-        missing = [name for name in SCHEMAS if not self._versions(name)]
-        for name in missing:
-            self.replace(name, self.spark.createDataFrame([], SCHEMAS[name]))
+        """Create the tables that are missing, empty, and take over those of an older layout; returns the names of
+        new ones.  A second call changes nothing."""
+        missing = []
+        for name in SCHEMAS:
+            if name in APPENDED:
+                if not self._appended(name):
+                    self.append(name, self.spark.createDataFrame([], SCHEMAS[name]))
+                    missing.append(name)
+            elif not self.version(name) and not self.table(name).adopt():
+                self.replace(name, self.spark.createDataFrame([], SCHEMAS[name]), 0)
+                missing.append(name)
         return missing
 
     def project(self, workspace: str | None) -> str:
@@ -94,41 +114,20 @@ class Store:
         row = self.spark.range(1).select(T.normalize_key(F.lit(workspace).cast("string")).alias("key")).first()
         return row["key"] or ""
 
-    # keyed state and the writer's lock: small files of the driver
-    def _path(self, folder: str, key: str):
-        return self._fs(f"{self.path}/{folder}/{re.sub('[^A-Za-z0-9_-]', '-', key)[:80]}.json")
-
-    def _load(self, folder: str, key: str) -> dict:
-        fs, p = self._path(folder, key)
-        try:
-            stream = fs.open(p)
-            try:
-                found = json.loads(bytes(self.spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)))
-            finally:
-                stream.close()
-        except (Py4JJavaError, ValueError):  # no such state, or one that was cut off
-            return {}
-        return found if isinstance(found, dict) else {}
-
-    def _save(self, folder: str, key: str, value: dict, overwrite: bool) -> None:
-        fs, p = self._path(folder, key)
-        stream = fs.create(p, overwrite)
-        try:
-            stream.write(bytearray(json.dumps(value).encode()))
-        finally:
-            stream.close()
+    # keyed state and the writer's lease: small files of the driver
+    def _state(self, key: str) -> str:
+        return f"{self.path}/state/{re.sub('[^A-Za-z0-9_-]', '-', key)[:80]}.json"
 
     def state(self, key: str) -> dict:
         """The state of a key; {} if there is none or it cannot be read."""
-        return self._load("state", key)
+        return self.files.load(self._state(key))
 
     def set_state(self, key: str, value: dict) -> None:
         """Replace the state of a key, with the time as ``_ts``."""
-        self._save("state", key, {**value, "_ts": time.time()}, True)
+        self.files.put(self._state(key), {**value, "_ts": time.time()})
 
     def clear_state(self, key: str) -> None:
-        fs, p = self._path("state", key)
-        fs.delete(p, False)
+        self.files.delete(self._state(key))
 
     def profile(self, most: int = 900) -> str:
         """The owner's own words about themself for prompts: the start of ABOUT.md, or a placeholder."""
@@ -144,28 +143,17 @@ class Store:
         return text[:most] or NO_PROFILE
 
     @contextlib.contextmanager
-    def lock(self, name: str = "write", stale_seconds: float = 3600.0) -> Iterator[bool]:
-        """Whether this is the only writer: creates the lock file, or takes it over from an owner that is stale.
+    def lock(self, name: str = "write", seconds: float = LEASE_SECONDS) -> Iterator[Lease | None]:
+        """The lease of a name, renewed while the block runs; None while another writer holds it.
 
-        A lock that is held is no error: the block runs with False and should do nothing.
+        A lease that is held is no error: the block runs with None and should do nothing.
         """
-        owner = {"owner": uuid.uuid4().hex, "ts": time.time()}
-        fs, p = self._path("locks", name)
-        if fs.exists(p):
-            held = self._load("locks", name)
-            age = time.time() - float(held.get("ts") or fs.getFileStatus(p).getModificationTime() / 1000)
-            if age > stale_seconds:
-                fs.delete(p, False)
-        try:
-            self._save("locks", name, owner, False)
-        except Py4JJavaError:
-            yield False
+        lease = Lease.acquire(self.files, f"{self.path}/locks/{name}", seconds)
+        if lease is None:
+            yield None
             return
-        try:
-            yield True
-        finally:
-            if self._load("locks", name).get("owner") == owner["owner"]:
-                fs.delete(p, False)
+        with lease.working():
+            yield lease
 
     # verbs
     def ingest(self, sessions: DataFrame, kind: str = "session") -> int:
@@ -198,12 +186,13 @@ class Store:
     def synth(self, limit: int | None = None) -> int:
         """Turn pending notes into pages (all, or the first ``limit`` by name); returns their number, 0 if another
         writer is at work."""
-        with self.lock() as mine:
-            return self._synth(limit) if mine else 0
+        with self.lock() as lease:
+            return self._synth(limit, lease) if lease else 0
 
-    def _synth(self, limit: int | None) -> int:
+    def _synth(self, limit: int | None, lease: Lease) -> int:
         from quillspark.durable import materialize
 
+        base = {name: self.version(name) for name in ("pages", "synthed")}
         todo = self.pending()
         if limit is not None:
             todo = todo.orderBy("name").limit(limit)
@@ -235,15 +224,16 @@ class Store:
             ),
             "new-pages",
         )
-        self.replace("pages", I.upsert(old, pages.drop("action"), "slug"))
+        self.replace("pages", I.upsert(old, pages.drop("action"), "slug"), base["pages"], lease)
         self.append("changelog", pages.select(F.current_timestamp().alias("ts"), F.col("slug").alias("page"), "kind", "action"))
-        self.replace("synthed", I.upsert(self.read("synthed"), todo.select("name", "hash"), "name"))
+        self.replace("synthed", I.upsert(self.read("synthed"), todo.select("name", "hash"), "name"), base["synthed"], lease)
         return n
 
     def embed(self, model: str = "stub") -> DataFrame:
-        """Bring the vectors up to date; returns them."""
+        """Bring the vectors up to date; returns them.  Conflict if another embedding was faster."""
+        base = self.version("vectors")
         p = self.read("pages").select("slug", F.substring(F.concat_ws("\n", "title", F.array_join("tags", " "), "summary", "body"), 1, 2000).alias("text"))
-        self.replace("vectors", M.embed_incremental(p, self.read("vectors"), model, self.embedder))
+        self.replace("vectors", M.embed_incremental(p, self.read("vectors"), model, self.embedder), base)
         return self.read("vectors")
 
     def search(self, prompts: DataFrame, relaxed: bool = True, limit: int | None = None) -> DataFrame:
@@ -269,13 +259,33 @@ class Store:
             found = found.join(shown, ["prompt", "slug"], "left_anti")
         return K.ranked(found.drop("rank").withColumnRenamed("slug", "doc")).filter(F.col("rank") <= self.limits.retrieve_max_results).withColumnRenamed("doc", "slug")
 
+    def _session_notes(self) -> DataFrame:
+        """Latest session note of each project key."""
+        keyed = self.notes().withColumn("workspace", T.normalize_key(F.col("cwd"))).filter(F.col("source").isin("claude", "cursor", "codex") & (F.col("workspace") != ""))
+        return I.latest(keyed, ["workspace"], [F.desc("date"), F.desc("raw_name")])
+
+    def _write_workspaces(self, last: DataFrame) -> int:
+        """Distil notes(workspace, body) into workspace rows; where the model fails the row stays as it was."""
+        from quillspark.durable import materialize
+
+        base = self.version("workspace")
+        made = M.complete(last.select("workspace", T.raw_tail(F.col("body"), self.limits.workspace_source_chars).alias("prompt")), "prompt", self.completer)
+        rows = materialize(made.filter(F.col("reply").isNotNull()).select("workspace", F.current_timestamp().alias("updated"), T.sanitize_body(F.col("reply"), self.limits.workspace_max_chars).alias("body")), "workspaces")
+        n = rows.count()
+        if n:
+            self.replace("workspace", I.upsert(self.read("workspace"), rows, "workspace"), base)
+        return n
+
     def refresh_workspace(self, key: str) -> None:
         """Distil the latest session note of a project into its workspace row."""
-        mine = self.notes().filter((T.normalize_key(F.col("cwd")) == key) & F.col("source").isin("claude", "cursor", "codex"))
-        last = mine.orderBy(F.desc("date"), F.desc("raw_name")).limit(1)
-        made = M.complete(last.withColumn("prompt", T.raw_tail(F.col("body"), self.limits.workspace_source_chars)), "prompt", self.completer)
-        row = made.filter(F.col("reply").isNotNull()).select(F.lit(key).alias("workspace"), F.current_timestamp().alias("updated"), T.sanitize_body(F.col("reply"), self.limits.workspace_max_chars).alias("body"))
-        self.replace("workspace", I.upsert(self.read("workspace"), row, "workspace"))
+        self._write_workspaces(self._session_notes().filter(F.col("workspace") == key))
+
+    def refresh_workspaces(self) -> int:
+        """Distil the latest session notes that came in after their projects' workspace rows; returns their number."""
+        came = self.read("ledger").groupBy(F.col("raw").alias("raw_name")).agg(F.max("ts").alias("came"))
+        known = self.read("workspace").select("workspace", "updated")
+        last = self._session_notes().join(came, "raw_name", "left").join(known, "workspace", "left")
+        return self._write_workspaces(last.filter(F.col("updated").isNull() | (F.col("came") > F.col("updated"))))
 
     def boot(self, key: str) -> DataFrame:
         """(workspace, body, pages): the fresh workspace page of a project and how many pages it has."""
@@ -303,14 +313,17 @@ class Store:
 
     def tidy(self, dry_run: bool = False) -> DataFrame:
         """Merge each cluster into its canonical page; returns the clusters.  Raises Busy if another writer is at work."""
-        with self.lock() as mine:
-            if not mine and not dry_run:
+        if dry_run:
+            return self._tidy(True, None)
+        with self.lock() as lease:
+            if not lease:
                 raise Busy("another writer holds the store's lock")
-            return self._tidy(dry_run)
+            return self._tidy(False, lease)
 
-    def _tidy(self, dry_run: bool) -> DataFrame:
+    def _tidy(self, dry_run: bool, lease: Lease | None) -> DataFrame:
         from quillspark.durable import materialize
 
+        base = self.version("pages")
         p, found = self.clusters(self.limits.garden_merge_threshold)
         rolled = materialize(J.rollup(p, found, self.limits.max_tags), "rollup")
         if dry_run or rolled.isEmpty():
@@ -323,8 +336,9 @@ class Store:
         gone = done.select(F.explode("members").alias("slug"))
         kept = p.join(gone, "slug", "left_anti").select(*self._columns).unionByName(canon.select(*self._columns))
         log = done.select(F.current_timestamp().alias("ts"), F.col("canon").alias("page"), F.lit("merged").alias("kind"), F.lit("merge").alias("action"))
-        self.append("changelog", materialize(log, "log"))
-        self.replace("pages", kept)
+        log = materialize(log, "log")
+        self.replace("pages", kept, base, lease)
+        self.append("changelog", log)
         return rolled
 
     def status(self) -> DataFrame:
@@ -339,7 +353,52 @@ class Store:
         self.ingest(self.spark.createDataFrame(row, "source string, id string, title string, date string, cwd string, text string"))
         return self.synth() > 0
 
-    def reflect(self) -> None:
-        """The step after a session: pending notes up to the limit, then vectors."""
-        self.synth(self.limits.reflect_max_notes)
-        self.embed()
+    def _due(self) -> bool:
+        """Claim the slot of the next tidying, if enough days have gone by and there are enough pages."""
+        days = self.limits.tidy_every_days
+        if not days or time.time() - float(self.state("last-tidy").get("_ts") or 0) < days * 86_400:
+            return False
+        if self.read("pages").limit(self.limits.tidy_min_pages).count() < self.limits.tidy_min_pages:
+            return False
+        self.set_state("last-tidy", {})
+        return True
+
+    def _auto_tidy(self) -> str:
+        """Tidy when it is due; the claim is released unless that ends well, so the next step tries again."""
+        if not self._due():
+            return "not due"
+        try:
+            merged = self.tidy().count()
+        except BaseException:
+            self.clear_state("last-tidy")
+            raise
+        self.set_state("last-tidy", {})
+        return f"{merged} clusters"
+
+    def reflect(self) -> dict[str, str]:
+        """The step after a session: pending notes up to the limit, workspaces, tidying on its cadence, vectors.
+
+        The steps are jobs of one run, whose claim row says how far it is.  A step that fails costs itself only (tidying
+        also waits for the notes to be done, as it would merge half of them); a run that was cut off goes on after its
+        finished steps.  Returns the outcome of each step, nothing if another run is under way.
+        """
+        steps = {"synth": lambda: f"{self.synth(self.limits.reflect_max_notes)} notes", "workspace": lambda: f"{self.refresh_workspaces()} workspaces", "tidy": self._auto_tidy, "embed": lambda: f"{self.embed().count()} vectors"}
+        with self.lock("reflect") as lease:
+            if not lease:
+                return {}
+            last = self.state("reflect")
+            done = {} if last.get("ended", True) else {k: v for k, v in last.get("steps", {}).items() if not v.startswith("failed")}
+            for name, step in steps.items():
+                if name in done:
+                    continue
+                if name == "tidy" and done.get("synth", "failed").startswith("failed"):
+                    done[name] = "failed: waits for synth"
+                else:
+                    try:
+                        done[name] = step()
+                    except Exception as e:  # noqa: BLE001  whatever a model or a writer raises ends this step alone
+                        done[name] = f"failed: {type(e).__name__}: {e}"[:200]
+                lease.check()
+                self.set_state("reflect", {"steps": done, "ended": False, "token": lease.token})
+            self.set_state("reflect", {"steps": done, "ended": True, "token": lease.token})
+            return done
