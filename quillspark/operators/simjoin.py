@@ -1,4 +1,4 @@
-"""Similarity joins: Jaccard by prefix filtering, cosine by blocks, and clusters of pages."""
+"""Similarity joins: Jaccard by prefix filtering, cosine by blocks that a metric index prunes, and clusters of pages."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.durable import materialize
+from quillspark.durable import materialize, small
 from quillspark.operators.components import components
 
 
@@ -18,60 +18,132 @@ def jaccard_pairs(sets: DataFrame, threshold: float) -> DataFrame:
 
     Prefix filter: with tokens in order of rarity, two such sets share one of their first
     ``n - ceil(threshold * n) + 1`` tokens, so only prefixes are joined and frequent tokens never meet.  Lengths
-    prune further; candidates are verified exactly.  Equal sets are joined through one representative, the
+    prune further, and so do places: the first token that two sets share leaves so many behind it in both that they can
+    still share enough.  Candidates are verified exactly.  Equal sets are joined through one representative, the
     smallest id, and its members are linked to it alone (pairs of representatives plus membership).
     """
     if threshold <= 0:
         raise ValueError("a threshold of 0 qualifies every pair; give one above it")
     sets = sets.filter(F.size("tokens") > 0)
-    classes = sets.groupBy("tokens").agg(F.min("id").alias("id"), F.array_sort(F.collect_list("id")).alias("members"))
+    classes = sets.groupBy("tokens").agg(F.min("id").alias("id"))
     flat = classes.select("id", F.explode("tokens").alias("t"))
     rarity = flat.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
     ordered = flat.join(rarity, "t").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "t"))), lambda x: x["t"]).alias("tokens"))
     ordered = materialize(ordered, "token-sets")
     n = F.size("tokens")
-    prefix = ordered.select("id", n.alias("n"), F.explode(F.slice("tokens", F.lit(1), n - F.ceil(n * threshold).cast("int") + 1)).alias("t"))
-    other = prefix.select(F.col("id").alias("b"), F.col("n").alias("m"), "t")
-    met = prefix.join(other, "t").filter((F.col("id") < F.col("b")) & (F.least("n", "m") >= F.greatest("n", "m") * threshold - 1e-9)).select(F.col("id").alias("a"), "b").distinct()
+    prefix = ordered.select("id", n.alias("n"), F.posexplode(F.slice("tokens", F.lit(1), n - F.ceil(n * threshold).cast("int") + 1)).alias("i", "t"))
+    other = prefix.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("i").alias("j"), "t")
+    long_enough = F.least("n", "m") >= F.greatest("n", "m") * threshold - 1e-9
+    enough_left = F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) >= (F.col("n") + F.col("m")) * (threshold / (1 + threshold)) - 1e-9
+    met = prefix.join(other, "t").filter((F.col("id") < F.col("b")) & long_enough & enough_left).select(F.col("id").alias("a"), "b").distinct()
     both = met.join(ordered.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a").join(ordered.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     found = both.withColumn("jaccard", common / (F.size("x") + F.size("y") - common)).filter(F.col("jaccard") >= threshold).select("a", "b", "jaccard")
-    equal = classes.select(F.col("id").alias("a"), F.explode("members").alias("b")).filter(F.col("a") != F.col("b")).withColumn("jaccard", F.lit(1.0))
+    equal = sets.join(classes.select("tokens", F.col("id").alias("a")), "tokens").filter(F.col("a") != F.col("id")).select("a", F.col("id").alias("b"), F.lit(1.0).alias("jaccard"))
     return found.unionByName(equal)
 
 
-def cosine_pairs(vectors: DataFrame, threshold: float, block_rows: int = 4096) -> DataFrame:
-    """(a, b, score) of unit vectors(id: long, vec) with dot product >= threshold, a < b; none if dimensions differ.
+def _spread(x: np.ndarray, most: int) -> np.ndarray:
+    """Up to ``most`` of some unit vectors, each as far as can be from those before it."""
+    chosen, nearest = [0], x @ x[0]
+    while len(chosen) < min(most, len(x)):
+        chosen.append(int(np.argmin(nearest)))
+        nearest = np.maximum(nearest, x @ x[chosen[-1]])
+    return x[chosen]
 
-    Exact: rows are dealt into blocks of about ``block_rows`` by a hash of the id and every pair of blocks is one
-    task of bounded memory (a matrix product).  Equal vectors are joined through their smallest id.
+
+def _placed(distinct: DataFrame, pivots: np.ndarray, blocks: int) -> DataFrame:
+    """Vectors with block, norm and angles to all pivots: those near one pivot, at like angles, share a block."""
+    shared = distinct.sparkSession.sparkContext.broadcast(pivots)
+
+    def place(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                x = np.stack(pdf["vec"].to_numpy())
+                norm = np.sqrt((x * x).sum(axis=1))
+                angles = np.arccos(np.clip((x / np.where(norm, norm, 1)[:, None]) @ shared.value.T, -1, 1))
+                cell = angles.argmin(axis=1)
+                yield pd.DataFrame({"id": pdf["id"], "vec": pdf["vec"], "norm": norm, "cell": cell.astype(np.int32), "angle": angles[np.arange(len(x)), cell], "angles": list(angles)})
+
+    near = distinct.select("id", "vec").mapInPandas(place, "id long, vec array<double>, norm double, cell int, angle double, angles array<double>")
+    near = materialize(near, "vector-angles")
+    return materialize(near.repartitionByRange(blocks, "cell", "angle", "id").withColumn("block", F.spark_partition_id()), "vector-blocks")
+
+
+def _block_pairs(placed: DataFrame, pivots: int, threshold: float, blocks: int, report: dict | None) -> DataFrame:
+    """(p, q), p <= q, of the blocks that may hold a pair.
+
+    For any pivot the angle of two vectors is at least the difference of their angles to it, so a product is at most the
+    norms' product times the cosine of the gap between two blocks' ranges of angles.
+    """
+    ends = [f(F.get("angles", F.lit(i))).alias(f"{k}{i}") for i in range(pivots) for k, f in (("lo", F.min), ("hi", F.max))]
+    ranges = materialize(placed.groupBy("block").agg(F.max("norm").alias("norm"), *ends), "block-ranges")
+    schema = "p int, q int"
+    if not small(ranges, 16 * pivots + 32):  # too many blocks to hold their ranges in a task: every pair stays
+        every = F.explode(F.sequence(F.col("p"), F.lit(blocks - 1)))
+        return ranges.select(F.col("block").alias("p")).select("p", every.alias("q"))
+    shared = placed.sparkSession.sparkContext.broadcast(ranges.toPandas().sort_values("block", ignore_index=True))
+
+    def pairs(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        all_ = shared.value
+        lo, hi = (all_[[f"{k}{i}" for i in range(pivots)]].to_numpy() for k in ("lo", "hi"))
+        for pdf in batches:
+            for block in pdf["block"]:
+                at = int(np.flatnonzero(all_["block"] == block)[0])
+                gap = np.maximum(lo[at:] - hi[at], lo[at] - hi[at:]).max(axis=1) - 1e-6
+                most = all_["norm"][at] * all_["norm"].to_numpy()[at:] * np.where(gap > 0, np.cos(np.clip(gap, 0, np.pi)), 1.0)
+                q = all_["block"].to_numpy()[at:][(most >= threshold - 1e-9) if threshold > 0 else np.ones(len(gap), dtype=bool)]
+                yield pd.DataFrame({"p": np.full(len(q), block, dtype=np.int32), "q": q.astype(np.int32)})
+
+    found = materialize(ranges.select("block").mapInPandas(pairs, schema), "block-pairs")
+    if report is not None:
+        n = len(shared.value)
+        report.update(blocks=n, pairs=n * (n + 1) // 2, kept=found.count())
+    return found
+
+
+def cosine_pairs(vectors: DataFrame, threshold: float, block_rows: int = 4096, pivots: int = 16, report: dict | None = None) -> DataFrame:
+    """(a, b, score) of vectors(id: long, vec) with dot product >= threshold, a < b; none if dimensions differ.
+
+    Exact.  Vectors are put in order by their nearest pivot and their angle to it and cut into blocks of about
+    ``block_rows``.  Pairs of blocks whose angles to some pivot lie too far apart cannot hold a pair and are not made;
+    each other pair is one task of bounded memory (a matrix product).  ``report`` gets the numbers of blocks, of their
+    pairs and of those kept.  Equal vectors are joined through their smallest id.
     """
     dims = vectors.select(F.size("vec").alias("d")).distinct().limit(2).collect()
     schema = "a long, b long, score double"
     if len(dims) != 1:
         return vectors.sparkSession.createDataFrame([], schema)
-    classes = vectors.groupBy("vec").agg(F.min("id").alias("id"), F.array_sort(F.collect_list("id")).alias("members"))
+    classes = vectors.groupBy("vec").agg(F.min("id").alias("id"))
     distinct = materialize(classes.select("id", "vec"), "vectors")
     blocks = max(1, -(-distinct.count() // block_rows))
-    own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    others = F.sequence(F.lit(0), F.lit(blocks - 1))
-    dealt = distinct.withColumn("own", own).select("id", "vec", "own", F.explode(others).alias("other")).select("id", "vec", "own", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
+    # pivots: far from each other among a bounded sample; any choice is exact
+    some = np.stack([np.asarray(r["vec"], dtype=float) for r in distinct.orderBy(F.xxhash64("id")).limit(32 * pivots).select("vec").collect()])
+    norm = np.sqrt((some * some).sum(axis=1))
+    chosen = _spread(some[norm > 0] / norm[norm > 0][:, None], pivots) if (norm > 0).any() else np.ones((1, some.shape[1]))
+    placed = _placed(distinct, chosen, blocks)
+    pairs = _block_pairs(placed, len(chosen), threshold, blocks, report)
+    narrow = placed.select("id", "vec", "block")
+    left = narrow.join(pairs, F.col("block") == F.col("p")).select("p", "q", F.lit(0).alias("side"), "id", "vec")
+    right = narrow.join(pairs.filter("p <> q"), F.col("block") == F.col("q")).select("p", "q", F.lit(1).alias("side"), "id", "vec")
 
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         p, q = key
-        left, right = pdf[pdf["own"] == p], pdf[pdf["own"] == q]
-        if not len(left) or not len(right):
+        first = pdf[pdf["side"] == 0]
+        second = first if p == q else pdf[pdf["side"] == 1]
+        if not len(first) or not len(second):
             return pd.DataFrame({"a": [], "b": [], "score": []}).astype({"a": "int64", "b": "int64"})
-        x, y = np.stack(left["vec"].to_numpy()), np.stack(right["vec"].to_numpy())
+        x, y = np.stack(first["vec"].to_numpy()), np.stack(second["vec"].to_numpy())
         score = x @ y.T
         i, j = np.nonzero(score >= threshold)
-        a, b = left["id"].to_numpy()[i], right["id"].to_numpy()[j]
+        a, b = first["id"].to_numpy()[i], second["id"].to_numpy()[j]
         keep = a < b if p == q else a != b
         return pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "score": score[i, j][keep]})
 
-    found = dealt.groupBy("p", "q").applyInPandas(one, schema)
-    equal = classes.select(F.col("id").alias("a"), F.explode("members").alias("b"), F.aggregate("vec", F.lit(0.0), lambda s, v: s + v * v).alias("score")).filter((F.col("a") != F.col("b")) & (F.col("score") >= threshold))
-    return found.unionByName(equal)
+    found = left.unionAll(right).groupBy("p", "q").applyInPandas(one, schema)
+    own = F.aggregate("vec", F.lit(0.0), lambda s, v: s + v * v)
+    equal = vectors.select("vec", F.col("id").alias("b")).join(classes.select("vec", F.col("id").alias("a")), "vec").filter(F.col("a") != F.col("b")).select("a", "b", own.alias("score"))
+    return found.unionByName(equal.filter(F.col("score") >= threshold))
 
 
 def prefix_edges(pages: DataFrame) -> DataFrame:
