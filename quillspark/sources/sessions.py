@@ -24,9 +24,13 @@ TURN = "struct<line:bigint,role:string,text:string>"
 
 def jsonl(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """file, line, v (variant) of every well-formed line below ``path``; blank and malformed lines drop."""
+    return tolerant(jsonl_lines(spark, path), "value").drop("value")
+
+
+def jsonl_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """file, line (a number that rises within a file), value of every line below ``path``."""
     raw = spark.read.option("recursiveFileLookup", "true").text(path)
-    numbered = raw.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line"), F.col("value"))
-    return tolerant(numbered, "value").drop("value")
+    return raw.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line"), F.col("value"))
 
 
 def tolerant(lines: DataFrame, column: str) -> DataFrame:

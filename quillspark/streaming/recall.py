@@ -9,6 +9,9 @@ its state is in its checkpoint, so runs that end with their input follow each ot
 ``recall_sessions`` gives the same rows for a finished table of prompts: ranked natively, with as many places as a
 session can have used up before, and then folded by the same function.
 
+Rows of kind ``compact`` come in the same stream (see ``transcripts.compactions``): the session's conversation was cut down,
+so what it was shown before is forgotten and can be shown again.
+
 A null session has no state: each of its prompts is on its own.  Rows of the same session and event are one prompt.
 """
 
@@ -55,12 +58,17 @@ def fresh_workspaces(workspaces: DataFrame, limits: Limits) -> DataFrame:
     return workspaces.filter((F.length(F.trim("body")) > 0) & (F.col("updated") >= oldest)).select(F.col("workspace").alias("project"), "updated")
 
 
+def kinds(prompts: DataFrame) -> DataFrame:
+    """Prompts with ``compact``: whether a row is a compaction (of a table without kinds none is)."""
+    return prompts.withColumn("compact", F.coalesce(F.col("kind") == "compact", F.lit(False)) if "kind" in prompts.columns else F.lit(False))
+
+
 def lookups(prompts: DataFrame, postings: DataFrame, workspaces: DataFrame, limits: Limits) -> DataFrame:
-    """A row for each posting that a prompt's tokens meet, and at least one for each prompt."""
-    asked = prompts.select("session", "event_id", asked_tokens(F.col("text"), limits).alias("tokens"), X.normalize_key(F.col("cwd")).alias("project"))
+    """A row for each posting that a prompt's tokens meet, and at least one for each prompt and compaction."""
+    asked = kinds(prompts).select("session", "event_id", "compact", asked_tokens(F.col("text"), limits).alias("tokens"), X.normalize_key(F.col("cwd")).alias("project"))
     known = asked.join(workspaces, "project", "left")
-    each = known.select("session", "event_id", "updated", F.size("tokens").alias("asked"), F.explode_outer("tokens").alias("t"))
-    return each.join(postings, "t", "left").select("session", "event_id", "updated", "asked", "t", "doc", "size", "idf")
+    each = known.select("session", "event_id", "compact", "updated", F.size("tokens").alias("asked"), F.explode_outer("tokens").alias("t"))
+    return each.join(postings, "t", "left").select("session", "event_id", "compact", "updated", "asked", "t", "doc", "size", "idf")
 
 
 def rank_hits(hits: pd.DataFrame, limits: Limits) -> pd.DataFrame:
@@ -74,9 +82,15 @@ def rank_hits(hits: pd.DataFrame, limits: Limits) -> pd.DataFrame:
     return passed.sort_values(["event_id", "score", "doc"], ascending=[True, False, True])
 
 
-def unseen(ranked: pd.DataFrame, seen: set[int] | None, most: int) -> Iterator[tuple[int, int, float, int]]:
-    """(event_id, doc, score, rank) of the first ``most`` pages of each prompt that its session lacks; adds them to ``seen``."""
+def unseen(ranked: pd.DataFrame, seen: set[int] | None, most: int, compacted: Iterable[int] = ()) -> Iterator[tuple[int, int, float, int]]:
+    """(event_id, doc, score, rank) of the first ``most`` pages of each prompt that its session lacks; adds them to
+    ``seen``, which a compaction empties."""
+    clear = sorted(compacted, reverse=True)
     for event, part in ranked.groupby("event_id", sort=True):
+        while clear and clear[-1] < event:
+            clear.pop()
+            if seen is not None:
+                seen.clear()
         rank = 0
         for doc, score in zip(part["doc"], part["score"]):
             if seen is None or int(doc) not in seen:
@@ -86,6 +100,8 @@ def unseen(ranked: pd.DataFrame, seen: set[int] | None, most: int) -> Iterator[t
                     seen.add(int(doc))
                 if rank == most:
                     break
+    if clear and seen is not None:
+        seen.clear()
 
 
 def _frame(session: str | None, pages: Iterable[tuple], spaces: Iterable[tuple]) -> pd.DataFrame:
@@ -111,7 +127,8 @@ class Recall(StatefulProcessor):
         hits, session = pd.concat(list(rows)), key[0]
         # at most a few pages a prompt were shown to a session
         seen = None if session is None else {int(k[0]) for k in self.seen.keys()}
-        pages = list(unseen(rank_hits(hits, self.limits), seen, self.limits.retrieve_max_results))
+        compacted = set(hits.loc[hits["compact"], "event_id"])
+        pages = list(unseen(rank_hits(hits, self.limits), seen, self.limits.retrieve_max_results, compacted))
         shown = self.shown.get()[0] if session is not None and self.shown.exists() else None
         shown, spaces = pd.Timestamp(shown) if shown is not None else None, []
         for event, updated in sorted(set(zip(hits["event_id"], hits["updated"]))):
@@ -119,8 +136,13 @@ class Recall(StatefulProcessor):
                 shown = updated
                 spaces.append((event, updated))
         if session is not None:
-            for event, doc, *_ in pages:
-                self.seen.updateValue((doc,), (event,))
+            if compacted:
+                self.seen.clear()
+                for doc in seen:  # a page that went out since the last compaction
+                    self.seen.updateValue((doc,), (max(e for e, d, *_ in pages if d == doc),))
+            else:
+                for event, doc, *_ in pages:
+                    self.seen.updateValue((doc,), (event,))
             if spaces:
                 self.shown.update((shown.to_pydatetime(),))
         yield _frame(session, pages, spaces)
@@ -163,7 +185,7 @@ def recall_stream(prompts: DataFrame, postings: DataFrame, workspaces: DataFrame
 
 
 def recall_sessions(prompts: DataFrame, docs: DataFrame, limits: Limits | None = None) -> DataFrame:
-    """(session, event_id, doc, score, rank) of a table of prompts(session, event_id, text) and docs(doc, tokens)."""
+    """(session, event_id, doc, score, rank) of a table of prompts(session, event_id, text[, kind]) and docs(doc, tokens)."""
     limits = limits or Limits()
     most = limits.retrieve_max_results
     named = prompts.select(F.struct("session", "event_id").alias("prompt"), asked_tokens(F.col("text"), limits).alias("tokens")).filter(F.size("tokens") > 0).dropDuplicates(["prompt"])
@@ -171,10 +193,13 @@ def recall_sessions(prompts: DataFrame, docs: DataFrame, limits: Limits | None =
     longest = named.groupBy("prompt.session").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
     ranked = K.lexical(docs, named, limits.retrieve_min_overlap, limits.retrieve_min_score, 2, top=most * max(1, longest))
     flat = ranked.select("prompt.session", "prompt.event_id", "doc", "score")
+    cuts = kinds(prompts).filter("compact").select("session", "event_id", F.lit(None).cast("long").alias("doc"), F.lit(None).cast("double").alias("score"))
+    flat = flat.unionByName(cuts)
 
     def fold(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        best = part.sort_values(["event_id", "score", "doc"], ascending=[True, False, True])
-        rows = unseen(best, None if pd.isna(key[0]) else set(), most)
+        cut = part["doc"].isna()
+        best = part[~cut].sort_values(["event_id", "score", "doc"], ascending=[True, False, True])
+        rows = unseen(best, None if pd.isna(key[0]) else set(), most, set(part.loc[cut, "event_id"]))
         return pd.DataFrame([(key[0], *r) for r in rows], columns=["session", "event_id", "doc", "score", "rank"])
 
     return flat.groupBy("session").applyInPandas(fold, "session string, event_id long, doc long, score double, rank int")
