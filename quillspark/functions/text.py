@@ -260,3 +260,37 @@ def normalize_key(value: Column) -> Column:
     """A path is keyed by its last part, anything else as it is; kebab-case, null if empty."""
     path = value.rlike(r"[/\\:]")
     return F.nullif(kebab(F.when(path, F.regexp_extract(F.regexp_replace(value, r"/+$", ""), r"([^/]*)$", 1)).otherwise(value)), F.lit(""))
+
+
+def extract_json(reply: Column) -> Column:
+    """The first balanced {...} of a model's reply, code fences removed; null if there is none or it is no JSON.
+
+    A depth counter that folds over the text cut behind each brace; braces inside strings count.
+    """
+    text = F.regexp_replace(some(reply), r"```(?:json)?", "")
+    pieces = F.regexp_extract_all(text, F.lit(r"[^{}]*[{}]"), F.lit(0))
+    state = lambda depth, at, start, end: F.struct(depth.cast("int").alias("depth"), at.cast("int").alias("at"), start.cast("int").alias("start"), end.cast("int").alias("end"))
+    none = F.lit(None).cast("int")
+
+    def step(s: Column, piece: Column) -> Column:
+        at = s["at"] + F.length(piece)
+        opens = piece.endswith("{")
+        depth = F.when(opens, s["depth"] + 1).otherwise(F.greatest(s["depth"] - 1, F.lit(0)))
+        start = F.coalesce(s["start"], F.when(opens, at))
+        end = F.coalesce(s["end"], F.when(~opens & (s["depth"] == 1), at))
+        return state(depth, at, start, end)
+
+    found = F.aggregate(pieces, state(F.lit(0), F.lit(0), none, none), step)
+    cut = F.substring(text, found["start"], found["end"] - found["start"] + 1)
+    return F.when(F.try_parse_json(cut).isNotNull(), cut)
+
+
+def merge_maps(left: Column, right: Column) -> Column:
+    """Two maps as one; where both have a key, the right value counts, null or not."""
+    return F.map_zip_with(left, right, lambda k, a, b: F.when(F.map_contains_key(right, k), b).otherwise(a))
+
+
+def merge_nested(left: Column, right: Column) -> Column:
+    """Two maps of maps merged key by key on both levels; a missing map is empty."""
+    both = lambda k, a, b: F.when(a.isNull(), b).when(b.isNull(), a).otherwise(merge_maps(a, b))
+    return F.when(left.isNull(), right).when(right.isNull(), left).otherwise(F.map_zip_with(left, right, both))

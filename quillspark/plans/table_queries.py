@@ -62,7 +62,7 @@ def src_jsonl_tolerant(spark, d):
 
 @query("src_kv_prefix", "SELECT conv_id::VARCHAR AS id, turn::VARCHAR AS bubble, length(text) AS n FROM conversations WHERE turn > 0")
 def src_kv_prefix(spark, d):
-    """Entries of a key-value table by key prefix, keys cut at colons (see sources.sessions.KeyValueSource)."""
+    """Entries of a key-value table by key prefix, keys cut at colons (see sources.keyvalue)."""
     c = table(spark, d, "conversations")
     kv = c.select(F.concat_ws(":", F.when(F.col("turn") > 0, "bubbleId").otherwise("composerData"), "conv_id", "turn").alias("key"), F.col("text").alias("value"))
     part = F.split("key", ":")

@@ -248,3 +248,25 @@ def m_jaccard(spark, d):
     a, b = T.garden_tokens(F.substring("text", 1, 200)), T.garden_tokens(F.right("text", F.lit(200)))
     t = table(spark, d, "documents").select("doc_id", a.alias("a"), b.alias("b"))
     return t.select("doc_id", F.round(F.when((F.size("a") == 0) | (F.size("b") == 0), 0.0).otherwise(F.size(F.array_intersect("a", "b")) / F.size(F.array_union("a", "b"))), 6).alias("jaccard"))
+
+
+# replies of a model and nested settings, made from each document
+def _reply():
+    i = F.col("doc_id").cast("string")
+    whole = F.concat(F.lit('{"id": '), i, F.lit(', "in": {"k": "v"}}'))
+    part = F.when(F.col("doc_id") % 5 == 0, whole).when(F.col("doc_id") % 5 == 1, F.concat(F.lit('{"id": '), i)).when(F.col("doc_id") % 5 == 2, F.col("source")).when(F.col("doc_id") % 5 == 3, F.concat(F.lit("} "), whole, F.lit(' {"b": 1}'))).otherwise(F.concat(F.lit("{bad "), i, F.lit("}")))
+    return F.concat(F.lit("Here it is:\n```json\n"), part, F.lit("\n```\ntail {x}"))
+
+
+_documents("x_extract_json", """SELECT doc_id, CASE WHEN doc_id % 5 IN (0, 3) THEN '{"id": ' || doc_id || ', "in": {"k": "v"}}' END AS found FROM documents""", found=lambda: T.extract_json(_reply()))
+
+
+def _merged():
+    i = F.col("doc_id").cast("string")
+    left = F.create_map(F.lit("doc"), F.create_map(F.lit("id"), i, F.lit("lang"), F.coalesce("lang", F.lit("?"))), F.lit("left"), F.create_map(F.lit("k"), F.lit("1")))
+    right = F.when(F.col("doc_id") % 3 == 0, F.create_map(F.lit("doc"), F.create_map(F.lit("lang"), F.lit("xx")))).when(F.col("doc_id") % 3 == 1, F.create_map(F.lit("right"), F.create_map(F.lit("s"), F.coalesce("source", F.lit("?")))))
+    flat = F.flatten(F.transform(F.map_entries(T.merge_nested(left, right)), lambda e: F.transform(F.map_entries(e["value"]), lambda x: F.concat_ws(".", e["key"], F.concat_ws("=", x["key"], x["value"])))))
+    return F.array_join(F.array_sort(flat), ",")
+
+
+_documents("n_map_merge", "SELECT doc_id, 'doc.id=' || doc_id || ',doc.lang=' || CASE WHEN doc_id % 3 = 0 THEN 'xx' ELSE coalesce(lang, '?') END || ',left.k=1' || CASE WHEN doc_id % 3 = 1 THEN ',right.s=' || coalesce(source, '?') ELSE '' END AS merged FROM documents", merged=_merged)

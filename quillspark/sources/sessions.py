@@ -9,14 +9,13 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 from functools import partial, reduce
-from urllib.parse import quote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from quillspark.functions.text import basename, clean_text, oneline
+from quillspark.sources.keyvalue import key_values, read_key_values
 
 NO_TITLE = "(sem título)"
 TURN = "struct<line:bigint,role:string,text:string>"
@@ -157,45 +156,6 @@ def read_rollout_sessions(spark: SparkSession, path: str, titles: DataFrame | No
     return g.select(F.lit("codex").alias("source"), "id", _title(F.coalesce("named", first)).alias("title"), iso(F.coalesce("ts", "updated")).alias("date"), "cwd", body.alias("text"))
 
 
-class KeyValueSource(DataSource):
-    """SQLite table of (key, value) rows: options path, table, prefix (keys that start with it)."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "sqlite_kv"
-
-    def schema(self) -> str:
-        return "key string, value string"
-
-    def reader(self, schema) -> DataSourceReader:
-        return _KeyValueReader(self.options)
-
-
-class _KeyValueReader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.options = options
-
-    def partitions(self) -> list[InputPartition]:
-        return [InputPartition(p) for p in self.options["path"].split(",")]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        yield from key_values(partition.value, self.options.get("table", "cursorDiskKV"), self.options.get("prefix", ""))
-
-
-def key_values(path: str, table: str, prefix: str) -> Iterator[tuple[str, str]]:
-    """(key, value) rows of a SQLite table whose keys start with ``prefix``; the file is opened for reading only."""
-    import sqlite3
-
-    if not table.isidentifier():
-        raise ValueError(f"not a table name: {table}")
-    con = sqlite3.connect(f"file:{quote(path)}?mode=ro", uri=True)
-    try:
-        for key, value in con.execute(f"SELECT key, value FROM {table} WHERE substr(key, 1, ?) = ?", (len(prefix), prefix)):
-            yield key, value.decode("utf-8", "replace") if isinstance(value, bytes) else value
-    finally:
-        con.close()
-
-
 def _thread_lists(files: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     import sqlite3
 
@@ -230,8 +190,7 @@ def read_thread_sessions(spark: SparkSession, path: str, folders: DataFrame | No
     ``workspace_folders`` finds below ``storage``, place threads."""
     if folders is None and storage is not None:
         folders = workspace_folders(spark, storage)
-    spark.dataSource.register(KeyValueSource)
-    kv = lambda prefix: tolerant(spark.read.format("sqlite_kv").option("path", path).option("prefix", prefix).load(), "value")
+    kv = lambda prefix: tolerant(read_key_values(spark, path).filter(F.col("key").startswith(prefix)), "value")
     key = F.split("key", ":")
     created = F.coalesce(_get("$.createdAt", "bigint").cast("double"), F.unix_millis(F.try_to_timestamp(_get("$.createdAt"))).cast("double"))
     role = F.when(_get("$.type", "int") == 1, "user").otherwise("assistant")

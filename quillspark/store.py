@@ -35,7 +35,7 @@ SCHEMAS = {
     "ledger": "key string, raw string, ts timestamp",
     "synthed": "name string, hash string",
     "pages": "ord long, slug string, title string, section string, kind string, status string, tags array<string>, sources array<string>, project string, summary string, body string",
-    "vectors": "slug string, hash string, model string, vec array<double>",
+    "vectors": "slug string, hash string, model string, vec array<double>, section string",
     "changelog": "ts timestamp, page string, kind string, action string",
     "workspace": "workspace string, updated timestamp, body string",
 }
@@ -231,9 +231,18 @@ class Store:
 
     def embed(self, model: str = "stub") -> DataFrame:
         """Bring the vectors up to date; returns them.  Conflict if another embedding was faster."""
-        base = self.version("vectors")
-        p = self.read("pages").select("slug", F.substring(F.concat_ws("\n", "title", F.array_join("tags", " "), "summary", "body"), 1, 2000).alias("text"))
-        self.replace("vectors", M.embed_incremental(p, self.read("vectors"), model, self.embedder), base)
+        from quillspark.durable import materialize
+
+        base, pages, old = self.version("vectors"), self.read("pages"), self.read("vectors")
+        p = pages.select("slug", F.substring(F.concat_ws("\n", "title", F.array_join("tags", " "), "summary", "body"), 1, 2000).alias("text"))
+        new = M.embed_incremental(p, old.select("slug", "hash", "model", "vec"), model, self.embedder)
+        new = materialize(new.join(pages.select("slug", "section"), "slug"), "vectors")
+        # sections with a vector that came, went or changed; the files of the others stay as they are
+        keys = ["slug", "hash", "model", "section"]
+        same = lambda a, b: a.join(b.select(*(F.col(k).alias(f"b_{k}") for k in keys)), [F.col(k).eqNullSafe(F.col(f"b_{k}")) for k in keys], "left_anti").select("section")
+        changed = materialize(same(new, old).unionAll(same(old, new)).distinct(), "sections")
+        if not changed.isEmpty():
+            self.table("vectors").commit_parts(new, F.col("section"), changed, base)
         return self.read("vectors")
 
     def search(self, prompts: DataFrame, relaxed: bool = True, limit: int | None = None) -> DataFrame:

@@ -113,3 +113,41 @@ def test_tidying_is_claimed_and_released(spark, tmp_path, monkeypatch):
     assert store.state("last-tidy") == {}
     monkeypatch.undo()
     assert store._auto_tidy().endswith("clusters") and store._auto_tidy() == "not due"
+
+
+def test_changed_parts_only(spark, tmp_path):
+    table, files = Table(spark, str(tmp_path / "t"), "v long, s string"), Files(spark)
+    rows = {i: ["a", "b", None][i % 3] for i in range(9)}
+    whole = lambda: spark.createDataFrame(list(rows.items()), "v long, s string")
+    names = lambda s: spark.createDataFrame([(x,) for x in s], "s string")
+    state = lambda: sorted((r["v"], r["s"]) for r in table.read().collect()) if True else None
+    key = lambda x: (x[0], x[1] or "")
+    table.commit_parts(whole(), F.col("s"), names(["a", "b", None]), 0)
+    first = table._parts(1)
+    assert len(first) == 3
+    rows[3] = "b"  # from a to b; the part of null stays
+    table.commit_parts(whole(), F.col("s"), names(["a", "b"]), 1)
+    second = table._parts(2)
+    assert sum(first[k] == second[k] for k in first) == 1 and sorted(((r["v"], r["s"]) for r in table.read().collect()), key=key) == sorted(rows.items(), key=key)
+    for i in [i for i, s in rows.items() if s == "b"]:
+        del rows[i]
+    for step in (2, 3, 4):  # a part that is empty goes; the untouched part outlives the sweep of old versions
+        table.commit_parts(whole(), F.col("s"), names(["b"]), step)
+    assert sorted(((r["v"], r["s"]) for r in table.read().collect()), key=key) == sorted(rows.items(), key=key) and len(table._parts(5)) == 2
+    with pytest.raises(Conflict):
+        table.commit_parts(whole(), F.col("s"), names(["a"]), 3)
+    assert sorted(((r["v"], r["s"]) for r in table.read().collect()), key=key) == sorted(rows.items(), key=key)
+
+
+def test_embedding_rewrites_changed_sections(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    page = lambda i, section, body="body": (i, f"s{i}", f"t{i}", section, "note", "current", [], [], None, "", body)
+    put = lambda rows: store.replace("pages", spark.createDataFrame(rows, "ord long, slug string, title string, section string, kind string, status string, tags array<string>, sources array<string>, project string, summary string, body string"))
+    put([page(i, "topics" if i % 2 else "entities") for i in range(6)])
+    assert store.embed().count() == 6
+    before = store.table("vectors")._parts(1)
+    assert store.embed().count() == 6 and store.version("vectors") == 1  # nothing changed, no version
+    put([page(i, "topics" if i % 2 else "entities", "new" if i == 1 else "body") for i in range(6) if i != 3])
+    assert store.embed().count() == 5
+    after = store.table("vectors")._parts(2)
+    assert len(after) == 2 and sum(before[k] == after[k] for k in before) == 1
