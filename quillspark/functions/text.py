@@ -282,7 +282,9 @@ def extract_json(reply: Column) -> Column:
 
     found = F.aggregate(pieces, state(F.lit(0), F.lit(0), none, none), step)
     cut = F.substring(text, found["start"], found["end"] - found["start"] + 1)
-    return F.when(F.try_parse_json(cut).isNotNull(), cut)
+    # the parser stops behind the first value; as an array of one there is nothing behind it
+    alone = F.concat(F.lit("["), cut, F.lit("]"))
+    return F.when(F.try_parse_json(alone).isNotNull() & (F.json_array_length(alone) == 1), cut)
 
 
 def merge_maps(left: Column, right: Column) -> Column:

@@ -11,7 +11,7 @@ from quillspark.functions import text as T
 
 def test_extract_json_equals_driver(spark):
     rng = random.Random(9)
-    fixed = [None, "", "{}", "a {\"x\": {\"y\": 1}} b", "```json\n{\"a\": [1, 2]}\n```", "} {\"b\": 2}", "{{}", "{\"s\": \"}\"} tail", "{\"s\": \"{\"} tail }", "{bad} {\"ok\": 1}", "no braces", "é {\"ü\": \"ß\"} ô"]
+    fixed = [None, "", "{}", "a {\"x\": {\"y\": 1}} b", "```json\n{\"a\": [1, 2]}\n```", "} {\"b\": 2}", "{{}", "{\"s\": \"}\"} tail", "{\"s\": \"{\"} tail }", "{bad} {\"ok\": 1}", "no braces", '{"s": "{"}, {"t": "}"}', "é {\"ü\": \"ß\"} ô"]
     texts = fixed + ["".join(rng.choice(['{', '}', '"a": 1', ' ', 'x', '{"k": 2}', '```', '```json']) for _ in range(rng.randint(1, 8))) for _ in range(300)]
     got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", T.extract_json(F.col("t")).alias("j")).collect()
     for r in got:
