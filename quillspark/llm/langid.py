@@ -22,10 +22,10 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import chunks, modest, table
+from quillspark.llm.common import chunks, materialize, modest, table
 from quillspark.llm.common import rows as cut
 
 #: Bound of the training sample (rows) and of the filter (slots of 8 bytes; 16 MB for each 64 languages).
@@ -35,7 +35,8 @@ SLOTS = 1 << 21
 PLANE = 64
 #: Times an n-gram must be seen in a language to be kept, once the language has so many labelled rows.
 MIN_COUNT, ENOUGH = 3, 100
-#: Most n-grams of all languages (the oftenest) and characters hashed at a time, which bound the driver and a task.
+#: Most n-grams of all languages and characters hashed at a time, which bound the driver and a task.  Beyond MOST_GRAMS
+#: the languages share it evenly: one with fewer than its share keeps all of its n-grams, others their oftenest.
 MOST_GRAMS, CHUNK = 1 << 20, 1 << 18
 #: An n-gram belongs to a language if its relative frequency there is at least this share of its highest one.
 TYPICAL = 0.2
@@ -137,6 +138,26 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
+def even_share(sizes: list[int], most: int) -> int:
+    """The largest share such that sizes cut to it sum to ``most`` at most (the largest size if they all fit)."""
+    left = most
+    for i, size in enumerate(ordered := sorted(sizes)):
+        if size * (len(ordered) - i) > left:
+            return left // (len(ordered) - i)
+        left -= size
+    return max(sizes, default=0)
+
+
+def oftenest(grams: DataFrame, most: int) -> DataFrame:
+    """At most ``most`` rows of grams(lang, gram, n): the oftenest of each language up to an even share."""
+    sizes = {r["lang"]: r["c"] for r in grams.groupBy("lang").agg(F.count(F.lit(1)).alias("c")).collect()}  # a row a language
+    share = even_share(list(sizes.values()), most)
+    if all(c <= share for c in sizes.values()):
+        return grams
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
+    return grams.withColumn("place", place).filter(F.col("place") <= share).drop("place")
+
+
 def train(docs: DataFrame, max_docs: int = MAX_DOCS) -> LanguageModel:
     """Fit on labelled rows that are not held out; a hash threshold on the key keeps about ``max_docs`` of them."""
     modest(docs.sparkSession)
@@ -155,7 +176,8 @@ def train(docs: DataFrame, max_docs: int = MAX_DOCS) -> LanguageModel:
     counted = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("c"), F.max(F.coalesce("text", F.lit("")).rlike(r"\p{L}")).alias("any")).toPandas()
     seldom = [r.lang for r in counted.itertuples() if r.c < ENOUGH]
     grams = rows.select("lang", "text").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    found = grams.filter((F.col("n") >= MIN_COUNT) | F.col("lang").isin(seldom)).orderBy(F.desc("n"), "lang", "gram").limit(MOST_GRAMS).toArrow().to_pandas()
+    grams = materialize(grams.filter((F.col("n") >= MIN_COUNT) | F.col("lang").isin(seldom)), "language-grams")
+    found = oftenest(grams, MOST_GRAMS).toArrow().to_pandas()
     languages = sorted(r.lang for r in counted.itertuples() if r.any)
     kind = np.uint8 if len(languages) <= 8 else np.uint64
     planes = np.zeros((max(1, -(-len(languages) // PLANE)), SLOTS), dtype=kind)

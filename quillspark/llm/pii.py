@@ -20,6 +20,7 @@ import hashlib
 import re
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
 
 import pyarrow as pa
 import xxhash
@@ -76,11 +77,21 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def _words_before(text: str, end: int) -> list[tuple[int, str]]:
+    """The last CONTEXT_WORDS words that end at ``end`` or before, with their places, however long they are."""
+    width = 200
+    while True:
+        start = max(0, end - width)
+        found = [(m.start(), m[0].lower()) for m in _word.finditer(text, start, end)]
+        if start == 0 or len(found) > CONTEXT_WORDS:  # of more words the first may be cut, and is left out
+            return found[-CONTEXT_WORDS:]
+        width *= 4
+
+
 def beside(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[int, list[tuple[int, str]], int]]:
     """(entity, candidate words with their places, neighbourhood) of every span; entity and neighbourhood are hashes."""
     for kind, a, b in spans:
-        start = max(0, a - 200)
-        near = [(start + m.start(), m[0].lower()) for m in _word.finditer(text[start:a])][-CONTEXT_WORDS:] + [(b + m.start(), m[0].lower()) for m in _word.finditer(text[b : b + 200])][:CONTEXT_WORDS]
+        near = _words_before(text, a) + [(m.start(), m[0].lower()) for m in islice(_word.finditer(text, b), CONTEXT_WORDS)]
         entity = xxhash.xxh64_intdigest(f"{kind}:{text[a:b].lower()}") >> 1
         yield entity, near, xxhash.xxh64_intdigest(" ".join(w for _, w in near)) >> 1
 
