@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.durable import BROADCAST_BYTES, materialize, small, table
 
-__all__ = ["BROADCAST_BYTES", "WORD_GAP", "chunks", "materialize", "modest", "rows", "small", "table", "words_column", "words_of"]
+__all__ = ["BROADCAST_BYTES", "WORD_GAP", "chunks", "free", "materialize", "modest", "rows", "small", "table", "words_column", "words_of"]
 
 #: The contracts' words are maximal runs of characters outside this class (ASCII white space).
 WORD_GAP = "[\\x20\\x09-\\x0D]+"
@@ -28,6 +28,14 @@ def modest(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_ROWS))
 
 
+def free(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores in front as no column of ``df`` has it (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def chunks(texts: list, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of ``texts`` of about ``limit`` characters; a longer text is a range of its own."""
     start, size = 0, 0

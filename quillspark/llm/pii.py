@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import BROADCAST_BYTES, WORD_GAP, materialize, modest, rows, table
+from quillspark.llm.common import BROADCAST_BYTES, WORD_GAP, free, materialize, modest, rows, table
 
 KINDS = ("email", "ip", "card", "phone")
 #: Words on each side of an entity that are candidates; distinct neighbourhoods, P(entity|word) and share of the
@@ -193,10 +193,11 @@ def _with_terms(docs: DataFrame) -> tuple[DataFrame, Callable[[pa.RecordBatch],
             pairs = [(i, w) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for w in {m[0].lower() for m in _word.finditer(t or "")}]
             yield pa.record_batch([pa.array([i for i, _ in pairs], pa.int64()), pa.array([w for _, w in pairs], pa.string())], names=["_pii_row", "term"])
 
-    keyed = materialize(docs.withColumn("_pii_row", F.monotonically_increasing_id()), "pii-docs")
-    each = keyed.select("_pii_row", F.col("text").cast("string")).mapInArrow(words, "_pii_row long, term string")
-    mine = each.join(found, "term", "left_semi").groupBy("_pii_row").agg(F.collect_set("term").alias("_pii_terms"))
-    return keyed.join(mine, "_pii_row", "left").select(*docs.columns, "_pii_terms"), lambda b: [frozenset(x or ()) for x in b.column(b.num_columns - 1).to_pylist()]
+    row, terms = free(docs, "_pii_row"), free(docs, "_pii_terms")
+    keyed = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "pii-docs")
+    each = keyed.select(F.col(row).alias("_pii_row"), F.col("text").cast("string")).mapInArrow(words, "_pii_row long, term string")
+    mine = each.join(found, "term", "left_semi").groupBy(F.col("_pii_row").alias(row)).agg(F.collect_set("term").alias(terms))
+    return keyed.join(mine, row, "left").select(*docs.columns, terms), lambda b: [frozenset(x or ()) for x in b.column(b.num_columns - 1).to_pylist()]
 
 
 def all_spans(text: str, terms: frozenset[str]) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:

@@ -8,9 +8,12 @@ span lines and are found as wholes.
 Labelled findings are a table (before2, before1, token, after1, label).  ``labelled_findings`` builds a default one
 of fixed size from the shapes that scanners report, true and false; a labelled table of one's own replaces it.
 
+A value may also be spoken ("the password is ...", "was set to ..."): it is a candidate if it mixes letters with digits,
+or goes from small to capital letters twice.  ``redact`` masks every whole occurrence of a secret in its text; inside a longer word the same letters stay.
+
 Edge cases: null and empty texts have no candidates; repeated rows give repeated findings; equal candidates of
-one text are findings each; an empty table gives none; null doc_ids are carried; other columns are ignored by
-``scan`` and kept by ``redact``.
+one text are findings each; very long texts cost in proportion to their words; an empty table gives none; null
+doc_ids are carried; other columns are ignored by ``scan`` and kept by ``redact``, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,10 +24,10 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import WORD_GAP, materialize, small, table
+from quillspark.llm.common import WORD_GAP, free, materialize, small, table
 
 #: Size of the default training table; trees and depth of the forest; probability from which a finding is a secret.
-FINDINGS, TREES, DEPTH, SECRET = 4000, 24, 7, 0.5
+FINDINGS, TREES, DEPTH, SECRET = 6000, 32, 8, 0.5
 #: A candidate: a run of key characters of at least this length inside a token, with a digit or a change of case.
 LEAST = 16
 CANDIDATE = f"[A-Za-z0-9+/_=.~-]{{{LEAST},}}"
@@ -33,6 +36,13 @@ KEY_NAME = "(?:secret|token|passw|passphrase|pwd|api[_-]?key|access[_-]?key|priv
 ASSIGNED = "[^\\s\"'`<>]{6,}"
 IN_TOKEN = f"(?i)({KEY_NAME}[:=]>?[\"'`]?)({ASSIGNED})"
 IN_URL = "(?i)([a-z][a-z0-9+.-]*://[^\\s/:@]*:)([^\\s/]+)@"
+#: Words that say a value, the key words that they follow, and what makes a spoken value a candidate.
+SAYS = ("is", "was", "to", "ist", "war", "lautet", "est", "es", "era")
+SPOKEN_WORDS = "password|passphrase|passcode|passwd|pwd|secret|token|key|apikey|credentials?|passwort|kennwort|passe|contraseña|clave"
+SPOKEN_KEY = f"(?i)^[\"'`(]*(?:[A-Za-z0-9]+[_-])?(?:{SPOKEN_WORDS})[\"'`:,]*$"
+MIXED = "[0-9].*[A-Za-z]|[A-Za-z].*[0-9]|[a-z][A-Z].*[a-z][A-Z]"
+#: Any text in which a value can be spoken.
+SPOKEN = f"(?i)(?:{SPOKEN_WORDS})[\"'`:,]*\\s+(?:\\S+\\s+(?:set|changed|reset)\\s+)?(?:{'|'.join(SAYS)})\\s"
 KEY_BLOCK = r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----"
 MASK = "[SECRET]"
 
@@ -41,7 +51,7 @@ PUBLIC_WORD = "(?i)(commit|sha-?[0-9]*|md5|checksum|digest|uuid|guid|hash|revisi
 VENDOR = "^(AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|glpat-|sk-|sk_live_|rk_live_|xox[abprs]-|AIza|eyJ|hf_|npm_|pypi-|SG\\.|dapi|pplx-|ya29\\.)"
 DICTIONARY = "(?i)(account|address|admin|application|author|backup|build|change|client|common|config|content|control|data|default|demo|design|develop|document|download|email|enable|error|example|feature|file|function|global|group|handler|health|hello|home|image|index|info|input|install|item|language|library|list|local|login|main|manager|master|message|method|model|module|name|network|number|object|option|order|output|package|page|param|password|path|plugin|policy|process|product|profile|project|public|query|record|release|report|request|response|result|sample|schema|search|secret|section|server|service|session|setting|simple|source|stack|state|static|status|string|style|system|table|target|template|test|text|token|update|user|value|version|video|view|window|world|www|http|html|json|com|org|net)"
 
-FEATURES = ["length", "runs", "digit_share", "upper_share", "lower_share", "other_share", "hex", "covered", "vendor", "path_slash", "path_assigns", "path_secret", "path_public", "near_secret", "near_public", "near_assigns", "after_quote", "uuid", "dotted"]
+FEATURES = ["length", "runs", "digit_share", "upper_share", "lower_share", "other_share", "hex", "covered", "vendor", "path_slash", "path_assigns", "path_secret", "path_public", "near_secret", "near_public", "near_assigns", "near_says", "after_quote", "uuid", "dotted"]
 
 
 def features(before2: Column, before1: Column, path: Column, value: Column, after: Column) -> dict[str, Column]:
@@ -68,6 +78,7 @@ def features(before2: Column, before1: Column, path: Column, value: Column, afte
         "near_secret": flag(near.rlike(SECRET_WORD)),
         "near_public": flag(near.rlike(PUBLIC_WORD)),
         "near_assigns": flag(before1.rlike("[:=]>?$")),
+        "near_says": flag(F.lower(before1).isin(*SAYS)),
         "after_quote": flag(path.rlike("[\"'`]$")),
         "uuid": flag(value.rlike("(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$")),
         "dotted": flag(value.rlike("^[A-Za-z_]+([._-][A-Za-z_]+)+$")),
@@ -93,10 +104,13 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     plain = pick("plain", "and", "with", "see", "the", "file", "from", "use", "then")
     quote = pick("q", '"', "'", "")
     short = F.substring(F.regexp_replace(b64, "[+/]", "x"), F.lit(1), F.lit(6) + F.pmod(F.xxhash64(F.lit("short"), F.col("id")), F.lit(10)).cast("int"))
-    wide = F.concat(short, pick("mark", "!", "@", "$", "%", "^", "&", "*", "#"), F.substring(h("wide"), F.lit(1), F.lit(1) + F.pmod(F.col("id"), F.lit(8)).cast("int")))
+    wide = F.concat(short, pick("mark", "!", "@", "$", "%", "^", "&", "*", "#"), F.substring(h("wide"), F.lit(1), F.lit(1) + F.pmod(F.col("id"), F.lit(8)).cast("int")), pick("mark2", "", "!", "$", "#A", "%b"))
     brief = pick("brief", "short", "wide")
     password = F.when(brief == "short", short).otherwise(wide)
     spoken = F.substring(F.translate(h("spoken"), "0123456789abcdef", "etaoinshrdlucmfp"), F.lit(1), F.lit(6) + F.pmod(F.col("id"), F.lit(9)).cast("int"))
+    says = pick("says", "is", "was", "to")
+    weak = F.concat(words[0], F.substring(digits, F.lit(1), F.lit(2) + F.pmod(F.col("id"), F.lit(3)).cast("int")))
+    release = F.concat(pick("rel", "v", "RS", "sha", "utf", "TLSv", "OAuth"), F.substring(digits, 1, 1), F.lit("."), F.substring(digits, 2, 1), pick("rel2", "-beta", ".4", "-bit", ".x"))
     scheme = pick("scheme", "postgres", "mysql", "mongodb", "redis", "amqp", "https")
     shapes = [
         (1, key, F.lit("="), F.concat(quote, value, quote)),
@@ -123,9 +137,14 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
         (1, plain, F.concat(key, F.lit(":")), F.concat(quote, password, quote)),
         (1, plain, plain, F.concat(key, F.lit("="), quote, password, quote)),
         (1, plain, plain, F.concat(scheme, F.lit("://"), words[0], F.lit(":"), password, F.lit("@"), words[1], F.lit("/"), words[2])),
+        (1, key, says, F.concat(quote, password, quote)),
+        (1, key, F.lit("="), F.concat(quote, weak, quote)),
+        (0, key, says, release),
+        (0, key, says, F.concat(F.initcap(words[0]), F.initcap(words[1]))),
         (0, plain, F.concat(key, F.lit(":")), spoken),
         (0, plain, plain, F.concat(key, F.lit("="), quote, F.concat_ws("_", words[0], words[1]), quote)),
         (0, key, F.lit("="), F.concat(F.lit("${"), F.upper(words[0]), F.lit("_"), F.upper(words[1]), F.lit("}"))),
+        (0, plain, plain, F.concat(key, F.lit("="), quote, F.lit("${"), F.upper(F.translate(F.substring(h("env"), 1, 4), "0123456789", "ghijklmnop")), F.lit("_"), F.upper(words[0]), F.lit("}"), quote)),
         (0, plain, F.concat(key, F.lit("=")), F.concat(quote, F.repeat(pick("x", "x", "*", "0", "-"), 8), quote)),
     ]
     kinds = F.array(*[F.struct(b.alias("before2"), a.alias("before1"), t.alias("token"), plain.alias("after1"), F.lit(y).cast("double").alias("label")) for y, b, a, t in shapes])
@@ -144,7 +163,9 @@ def _cut(token: Column, before2: Column | None = None, before1: Column | None =
     inside = F.when(token.rlike("[:=]"), F.concat(F.regexp_extract_all(token, F.lit(IN_TOKEN), F.lit(2)), F.regexp_extract_all(token, F.lit(IN_URL), F.lit(2)))).otherwise(none)
     after = none
     if before1 is not None:
-        after = F.when(_assigns(before2, before1), F.regexp_extract_all(token, F.lit(f"^[\"'`(]*({ASSIGNED})"), F.lit(1))).otherwise(none)
+        follows = F.regexp_extract_all(token, F.lit(f"^[\"'`(]*({ASSIGNED})"), F.lit(1))
+        said = F.filter(F.transform(follows, lambda v: F.rtrim(v, F.lit(".,;:)}]"))), lambda v: (F.length(v) >= 6) & v.rlike(MIXED))
+        after = F.when(_assigns(before2, before1), follows).when(_says(before2, before1), said).otherwise(none)
     bare = F.transform(F.concat(inside, after), lambda v: F.rtrim(v, F.lit(",;)}]")))
     fresh = F.filter(F.array_distinct(bare), lambda v: (F.length(v) > 0) & v.rlike("[A-Za-z0-9]") & ~F.exists(long, lambda x: x["value"] == v))
     return F.concat(long, F.transform(fresh, lambda v: F.struct(F.call_function("substring_index", token, v, F.lit(1)).alias("path"), v.alias("value"), F.lit(True).alias("given"))))
@@ -157,6 +178,11 @@ def _assigns(before2: Column, before1: Column) -> Column:
     return F.coalesce(one, F.lit(False)) | F.coalesce(two, F.lit(False))
 
 
+def _says(before2: Column, before1: Column) -> Column:
+    """Whether the two words before a token say that it is the value of a secret word."""
+    return F.coalesce(F.lower(before1).isin(*SAYS) & before2.rlike(SPOKEN_KEY), F.lit(False))
+
+
 def _plausible(value: Column) -> Column:
     return (F.length(value) >= LEAST) & value.rlike("[0-9]|[a-z][A-Z]|[A-Z][a-z].*[A-Z]|[_./-]") & value.rlike("[A-Za-z0-9]")
 
@@ -171,12 +197,14 @@ def train(labelled: DataFrame) -> RandomForestClassificationModel:
 
 def candidates(docs: DataFrame) -> DataFrame:
     """doc_id, word (0-based), before2, before1, after1, path, value of every candidate of every text."""
-    words = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(F.col("text").rlike(CANDIDATE) | F.col("text").rlike(f"(?i){KEY_NAME}\\s*[:=]") | F.col("text").rlike(IN_URL)).select("doc_id", F.split("text", WORD_GAP).alias("w"))
+    words = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(F.col("text").rlike(CANDIDATE) | F.col("text").rlike(f"(?i){KEY_NAME}\\s*[:=]") | F.col("text").rlike(IN_URL) | F.col("text").rlike(SPOKEN)).select("doc_id", F.split("text", WORD_GAP).alias("w"))
     w = F.col("w")
     get = lambda i: F.when(i >= 0, F.get(w, i))
-    one = lambda t, i: ((F.length(t) >= LEAST) & t.rlike(CANDIDATE)) | (t.rlike("[:=]") & (t.rlike(IN_TOKEN) | t.rlike(IN_URL))) | _assigns(get(i - 2), get(i - 1))
+    # "password was set to" reads as "password to"
+    second = lambda i: F.when((F.lower(get(i - 1)) == "to") & F.lower(get(i - 2)).isin("set", "changed", "reset") & get(i - 4).rlike(SPOKEN_KEY), get(i - 4)).otherwise(get(i - 2))
+    one = lambda t, i: ((F.length(t) >= LEAST) & t.rlike(CANDIDATE)) | (t.rlike("[:=]") & (t.rlike(IN_TOKEN) | t.rlike(IN_URL))) | _assigns(get(i - 2), get(i - 1)) | _says(second(i), get(i - 1))
     at = F.filter(F.transform(w, lambda t, i: F.when(one(t, i), i)), lambda i: i.isNotNull())
-    found = words.select("doc_id", F.explode(F.transform(at, lambda i: F.struct(i.alias("word"), get(i - 2).alias("before2"), get(i - 1).alias("before1"), F.get(w, i).alias("token"), F.get(w, i + 1).alias("after1")))).alias("f"))
+    found = words.select("doc_id", F.explode(F.transform(at, lambda i: F.struct(i.alias("word"), second(i).alias("before2"), get(i - 1).alias("before1"), F.get(w, i).alias("token"), F.get(w, i + 1).alias("after1")))).alias("f"))
     return found.select("doc_id", "f.*").withColumn("c", F.explode(_cut(F.col("token"), F.col("before2"), F.col("before1")))).filter(F.col("c.given") | _plausible(F.col("c.value"))).select("doc_id", "word", "before2", "before1", "after1", "c.path", "c.value")
 
 
@@ -193,6 +221,14 @@ def scan(docs: DataFrame, model: RandomForestClassificationModel | None = None)
     return both.select("doc_id", "word", "kind", F.sha2("value", 256).alias("value_sha256"), F.length("value").cast("long").alias("length"), "probability", (F.col("probability") >= SECRET).alias("is_secret"), "value")
 
 
+def _mask(text: Column, secret: Column) -> Column:
+    """``text`` with the whole occurrences of ``secret`` masked: no letter or digit goes on where the secret ends in one."""
+    left = F.when(secret.rlike("^[A-Za-z0-9]"), "(?<![A-Za-z0-9])").otherwise("")
+    right = F.when(secret.rlike("[A-Za-z0-9]$"), "(?![A-Za-z0-9])").otherwise("")
+    quoted = F.concat(F.lit("\\Q"), F.replace(secret, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    return F.regexp_replace(text, F.concat(left, quoted, right), F.lit(MASK))
+
+
 def redact(docs: DataFrame, model: RandomForestClassificationModel | None = None) -> DataFrame:
     """``docs`` with every secret in ``text`` replaced by a mask and ``n_chars``, if there, recounted.
 
@@ -200,14 +236,15 @@ def redact(docs: DataFrame, model: RandomForestClassificationModel | None = None
     if their measured size allows it, the texts are not shuffled for that.
     """
     key = F.xxhash64("doc_id", "text")
-    secrets = scan(docs.select(key.alias("doc_id"), "text"), model).filter("is_secret").groupBy(F.col("doc_id").alias("_secret_doc")).agg(F.transform(F.sort_array(F.collect_set(F.struct(F.length("value"), "value")), asc=False), lambda x: x["value"]).alias("_secrets"))
+    mine, mark = free(docs, "_secret_doc"), free(docs, "_secrets")
+    secrets = scan(docs.select(key.alias("doc_id"), "text"), model).filter("is_secret").groupBy(F.col("doc_id").alias(mine)).agg(F.transform(F.sort_array(F.collect_set(F.struct(F.length("value"), "value")), asc=False), lambda x: x["value"]).alias(mark))
     secrets = materialize(secrets, "secrets")
-    side = F.broadcast(secrets) if small(secrets, F.octet_length(F.array_join("_secrets", "")) + F.size("_secrets") * 40 + 64) else secrets
-    joined = docs.join(side, key == F.col("_secret_doc"), "left")
-    text = F.aggregate(F.coalesce("_secrets", F.array().cast("array<string>")), F.col("text"), lambda t, s: F.replace(t, s, F.lit(MASK)))
-    out = joined.withColumn("text", F.when(F.col("_secrets").isNotNull(), text).otherwise(F.col("text")))
+    side = F.broadcast(secrets) if small(secrets, F.octet_length(F.array_join(mark, "")) + F.size(mark) * 40 + 64) else secrets
+    joined = docs.join(side, key == F.col(mine), "left")
+    text = F.aggregate(F.coalesce(mark, F.array().cast("array<string>")), F.col("text"), _mask)
+    out = joined.withColumn("text", F.when(F.col(mark).isNotNull(), text).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_secrets").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col(mark).isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.llm.common import materialize, modest, rows, small, table
+from quillspark.llm.common import free, materialize, modest, rows, small, table
 from quillspark.operators.components import components
 
 SEED, SHINGLE, RADIUS = 42, 3, 2
@@ -145,7 +145,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each component the row with the smallest doc_id stays."""
-    row, mark = "_simhash_row", "_simhash_fp"
+    row, mark = free(docs, "_simhash_row"), free(docs, "_simhash_fp")
     whole = materialize(docs.withColumns({row: F.monotonically_increasing_id(), mark: fingerprint_column(F.col("text").cast("string"))}), "simhash-rows")
     tagged = whole.select(F.col(mark).alias("fp"), F.col(row).alias("rid"), F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col(row).alias("rid")).alias("rank"))
     by_print = materialize(classes(tagged), "classes")
