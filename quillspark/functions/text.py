@@ -296,3 +296,11 @@ def merge_nested(left: Column, right: Column) -> Column:
     """Two maps of maps merged key by key on both levels; a missing map is empty."""
     both = lambda k, a, b: F.when(a.isNull(), b).when(b.isNull(), a).otherwise(merge_maps(a, b))
     return F.when(left.isNull(), right).when(right.isNull(), left).otherwise(F.map_zip_with(left, right, both))
+
+
+def literal(c: Column) -> Column:
+    """A literal of the command line as struct(kind, value): bool, null, int (without sign and zeros in front), else text."""
+    low = F.lower(F.regexp_replace(c, r"^\s+|\s+$", ""))
+    number = F.regexp_replace(F.regexp_replace(F.regexp_replace(low, r"^\+", ""), "^(-?)0+(?=[0-9])", "$1"), "^-0$", "0")
+    kind = F.when(low.isin("true", "false"), "bool").when(low.isin("null", "none"), "null").when(low.rlike(r"^[+-]?[0-9]+$"), "int").when(c.isNotNull(), "text")
+    return F.struct(kind.alias("kind"), F.when(kind == "bool", low).when(kind == "int", number).when(kind == "text", c).alias("value"))

@@ -109,9 +109,14 @@ def log_folders(spark: SparkSession, path: str, workspace: str) -> list[str]:
 
 
 def read_log_sessions(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """First dialect: lines of type user, assistant and ai-title; files without turns drop."""
+    """Sessions of the first dialect below ``path``."""
+    return log_sessions(jsonl_lines(spark, path))
+
+
+def log_sessions(lines: DataFrame) -> DataFrame:
+    """First dialect, from lines (file, line, value) of type user, assistant and ai-title; files without turns drop."""
     kind, text = _get("$.type"), _blocks_text("$.message.content")
-    e = jsonl(spark, path).select("file", "line", kind.alias("kind"), _get("$.timestamp").alias("ts"), _get("$.cwd").alias("cwd"), F.coalesce(_get("$.message.aiTitle"), _get("$.aiTitle")).alias("ai"), F.when(kind.isin("user", "assistant"), text).alias("text"))
+    e = tolerant(lines, "value").select("file", "line", kind.alias("kind"), _get("$.timestamp").alias("ts"), _get("$.cwd").alias("cwd"), F.coalesce(_get("$.message.aiTitle"), _get("$.aiTitle")).alias("ai"), F.when(kind.isin("user", "assistant"), text).alias("text"))
     said = F.when(F.col("text") != "", F.struct("line", F.col("kind").alias("role"), "text"))
     g = e.groupBy("file").agg(
         F.min_by("ts", F.when(F.col("ts").isNotNull(), F.col("line"))).alias("ts"),
@@ -124,8 +129,13 @@ def read_log_sessions(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return g.filter(F.size("t") > 0).select(F.lit("claude").alias("source"), sid.alias("id"), _title(F.coalesce("ai", first)).alias("title"), iso(F.col("ts")).alias("date"), "cwd", body.alias("text"))
 
 
-def read_rollout_sessions(spark: SparkSession, path: str, titles: DataFrame | None = None) -> DataFrame:
-    """Second dialect: session_meta, event_msg and response_item lines; role=user items count only if a file has
+def read_rollout_sessions(spark: SparkSession, path: str | list[str], titles: DataFrame | None = None) -> DataFrame:
+    """Sessions of the second dialect below ``path``."""
+    return rollout_sessions(jsonl_lines(spark, path), titles)
+
+
+def rollout_sessions(lines: DataFrame, titles: DataFrame | None = None) -> DataFrame:
+    """Second dialect, from lines (file, line, value): session_meta, event_msg and response_item lines; role=user items count only if a file has
     no user_message.  ``titles`` (id, title, updated) names sessions; the last row of an id wins."""
     ptype = _get("$.payload.type")
     parts = F.from_json(F.coalesce(_get("$.payload.content"), F.lit("[]")), "array<struct<text:string>>")
@@ -141,7 +151,7 @@ def read_rollout_sessions(spark: SparkSession, path: str, titles: DataFrame | No
     role = F.when((kind == "event_msg") & (ptype == "user_message"), "user").when((kind == "response_item") & (ptype == "message") & (_get("$.payload.role") == "assistant"), "assistant").when((kind == "response_item") & ptype.isin("function_call", "custom_tool_call"), "assistant").when((kind == "response_item") & (ptype == "message") & (_get("$.payload.role") == "user") & ~F.ltrim(content).startswith("<"), "fallback")
     text = F.when(ptype == "user_message", clean_text(context(_get("$.payload.message")), False)).when(ptype == "message", F.when(_get("$.payload.role") == "user", clean_text(context(content), False)).otherwise(clean_text(content, False))).otherwise(call)
     meta = kind == "session_meta"
-    e = jsonl(spark, path).select("file", "line", role.alias("role"), text.alias("text"), F.when(meta, _get("$.payload.id")).alias("id"), F.when(meta, _get("$.payload.cwd")).alias("cwd"), F.when(meta, F.coalesce(_get("$.payload.timestamp"), _get("$.timestamp"))).alias("ts"))
+    e = tolerant(lines, "value").select("file", "line", role.alias("role"), text.alias("text"), F.when(meta, _get("$.payload.id")).alias("id"), F.when(meta, _get("$.payload.cwd")).alias("cwd"), F.when(meta, F.coalesce(_get("$.payload.timestamp"), _get("$.timestamp"))).alias("ts"))
     last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("line"))).alias(c)
     g = e.groupBy("file").agg(last("id"), last("cwd"), last("ts"), _turns(F.when(F.col("role").isNotNull() & (F.col("text") != ""), F.struct("line", "role", "text"))).alias("all"))
     real = F.filter("all", lambda t: t["role"] != "fallback")
@@ -190,7 +200,13 @@ def read_thread_sessions(spark: SparkSession, path: str, folders: DataFrame | No
     ``workspace_folders`` finds below ``storage``, place threads."""
     if folders is None and storage is not None:
         folders = workspace_folders(spark, storage)
-    kv = lambda prefix: tolerant(read_key_values(spark, path).filter(F.col("key").startswith(prefix)), "value")
+    # two reads: each pushes its own prefix to the source
+    return thread_sessions(read_key_values(spark, path), read_key_values(spark, path), folders)
+
+
+def thread_sessions(entries: DataFrame, metadata: DataFrame, folders: DataFrame | None = None) -> DataFrame:
+    """Third dialect, from entries (key, value) of a key-value store: bubbles among ``entries``, threads among ``metadata``."""
+    of = lambda found, prefix: tolerant(found.filter(F.col("key").startswith(prefix)), "value")
     key = F.split("key", ":")
     created = F.coalesce(_get("$.createdAt", "bigint").cast("double"), F.unix_millis(F.try_to_timestamp(_get("$.createdAt"))).cast("double"))
     role = F.when(_get("$.type", "int") == 1, "user").otherwise("assistant")
@@ -200,10 +216,10 @@ def read_thread_sessions(spark: SparkSession, path: str, folders: DataFrame | No
     ran = F.when(F.length(F.coalesce(_get("$.toolResults"), _get("$.interpreterResults"), F.lit("[]"))) > 2, F.array(F.lit("ran a tool"))).otherwise(F.array().cast("array<string>"))
     actions = F.array_join(F.transform(F.slice(F.array_distinct(F.concat(edits, ran)), 1, 5), lambda a: F.concat(F.lit("_"), a, F.lit("_"))), "\n")
     text = F.when((said == "") & (role == "assistant"), actions).otherwise(said)
-    bubbles = kv("bubbleId:").filter(F.size(key) >= 3).select(F.get(key, F.lit(1)).alias("id"), role.alias("role"), text.alias("text"), F.coalesce(created, F.lit(0.0)).alias("at"), F.get(key, F.lit(2)).alias("bubble"))
+    bubbles = of(entries, "bubbleId:").filter(F.size(key) >= 3).select(F.get(key, F.lit(1)).alias("id"), role.alias("role"), text.alias("text"), F.coalesce(created, F.lit(0.0)).alias("at"), F.get(key, F.lit(2)).alias("bubble"))
     t = F.array_sort(F.collect_list(F.when(F.col("text") != "", F.struct("at", "bubble", "role", "text"))))
     g = bubbles.groupBy("id").agg(t.alias("t"), F.min("at").alias("first")).filter(F.size("t") > 0)
-    meta = kv("composerData:").select(F.get(key, F.lit(1)).alias("mid"), _get("$.name").alias("name"), _get("$.createdAt").alias("created"))
+    meta = of(metadata, "composerData:").select(F.get(key, F.lit(1)).alias("mid"), _get("$.name").alias("name"), _get("$.createdAt").alias("created"))
     g = g.join(meta, g["id"] == F.col("mid"), "left")
     g = g.join(folders.withColumnRenamed("id", "fid"), g["id"] == F.col("fid"), "left") if folders is not None else g.withColumn("cwd", F.lit(None).cast("string"))
     body, first = _folded(F.col("t"))
@@ -219,20 +235,34 @@ PRUNED: dict[str, Callable[[SparkSession, str, str], list[str]]] = {"claude": lo
 
 
 def union_sessions(spark: SparkSession, stores: dict[str, str], workspace: str | None = None, since: str | None = None, storage: str | None = None) -> DataFrame:
-    """Sessions of all known backends among ``stores`` (name → path); unknown names are ignored.
+    """Sessions of all known backends among ``stores`` (name → path); unknown names and missing paths are ignored.
 
     ``workspace`` keeps sessions below a folder, and only folders that can hold them are read; ``since`` (YYYY-MM-DD)
     keeps later ones and unknown dates; ``storage`` places the third dialect's threads.
     """
     backends = {**BACKENDS, "cursor": partial(BACKENDS["cursor"], storage=storage)} if storage else BACKENDS
-    places = {name: PRUNED[name](spark, path, workspace) if workspace and name in PRUNED else path for name, path in stores.items()}
-    read = [backends[name](spark, places[name]) for name in stores if name in backends and places[name]]
+    there = available(spark, stores)
+    places = {name: PRUNED[name](spark, path, workspace) if workspace and name in PRUNED else path for name, path in stores.items() if there[name]}
+    read = [backends[name](spark, place) for name, place in places.items() if place]
     if not read:
         return spark.createDataFrame([], "source string, id string, title string, date string, cwd string, text string")
     every = reduce(DataFrame.unionByName, read)
     return filter_sessions(every, workspace, since)
 
 
+def available(spark: SparkSession, stores: dict[str, str]) -> dict[str, bool]:
+    """For each store (name → path) whether it is a known backend whose path is there; never raises."""
+
+    def there(path: str) -> bool:
+        try:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            return bool(place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place))
+        except Exception:  # noqa: BLE001  an address that cannot be read is a source that is not there
+            return False
+
+    return {name: name in BACKENDS and there(path) for name, path in stores.items()}
+
+
 def filter_sessions(sessions: DataFrame, workspace: str | None = None, since: str | None = None) -> DataFrame:
     from quillspark.functions.text import within
 
@@ -245,6 +275,11 @@ def filter_sessions(sessions: DataFrame, workspace: str | None = None, since: st
 
 
 def locator_index(spark: SparkSession, path: str) -> DataFrame:
-    """Entries of a JSON-lines locator index; malformed lines drop."""
+    """Entries of the JSON-lines locator indexes below ``path``."""
+    return locators(jsonl_lines(spark, path))
+
+
+def locators(lines: DataFrame) -> DataFrame:
+    """Entries of a locator index, from its lines (value); malformed lines drop."""
     fields = ["path", "kind", "description", "local_path", "drive_id", "mcp_read_tool", "web_link", "fingerprint"]
-    return jsonl(spark, path).select(*[_get(f"$.{f}").alias(f) for f in fields], F.coalesce(_get("$.local_readable", "boolean"), F.lit(False)).alias("local_readable"))
+    return tolerant(lines, "value").select(*[_get(f"$.{f}").alias(f) for f in fields], F.coalesce(_get("$.local_readable", "boolean"), F.lit(False)).alias("local_readable"))
