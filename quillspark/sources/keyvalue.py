@@ -94,7 +94,7 @@ class KeyRange(D.InputPartition):
 
 
 class KeyValueSource(D.DataSource):
-    """Options: path (several by commas), table, prefix (of keys), slices (tasks a file)."""
+    """Options: path (several by commas), table, prefix (of keys), slices (tasks a file), push (see read_key_values)."""
 
     @classmethod
     def name(cls) -> str:
@@ -110,11 +110,12 @@ class KeyValueSource(D.DataSource):
 class KeyValueReader(D.DataSourceReader):
     def __init__(self, options: dict):
         self.paths, self.table, self.slices = options["path"].split(","), options.get("table", "cursorDiskKV"), int(options.get("slices", 1))
+        self.push = options.get("push", "false") == "true"
         self.pushed: list[Clause] = [starts_with(options["prefix"])] if options.get("prefix") else []
 
     def pushFilters(self, filters: list[D.Filter]) -> Iterable[D.Filter]:
         for f in filters:
-            clause = clause_of(f)
+            clause = clause_of(f) if self.push else None
             if clause is None:
                 yield f
             else:
@@ -152,8 +153,13 @@ def _batch(held: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in held], pa.string()) for i in (0, 1)], schema=_SCHEMA)
 
 
-def read_key_values(spark: SparkSession, path: str, table: str = "cursorDiskKV", slices: int = 1) -> DataFrame:
-    """(key, value) of a file or several (by commas); filters on the key go into the files' queries."""
+def read_key_values(spark: SparkSession, path: str, table: str = "cursorDiskKV", slices: int = 1, push: bool = False) -> DataFrame:
+    """(key, value) of a file or several (by commas).
+
+    With ``push``, filters on the key go into the files' queries.  Spark 4.1 keeps what was pushed with the loaded
+    DataFrame and not with the plan, so such a DataFrame may stand in one place under one filter only: read again for
+    another filter.  Without it, a DataFrame may be filtered in any number of ways, and Spark filters the rows.
+    """
     spark.dataSource.register(KeyValueSource)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    return spark.read.format("sqlite_kv").option("path", path).option("table", table).option("slices", slices).load()
+    return spark.read.format("sqlite_kv").option("path", path).option("table", table).option("slices", slices).option("push", str(push).lower()).load()

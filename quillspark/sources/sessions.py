@@ -201,7 +201,7 @@ def read_thread_sessions(spark: SparkSession, path: str, folders: DataFrame | No
     if folders is None and storage is not None:
         folders = workspace_folders(spark, storage)
     # two reads: each pushes its own prefix to the source
-    return thread_sessions(read_key_values(spark, path), read_key_values(spark, path), folders)
+    return thread_sessions(read_key_values(spark, path, push=True), read_key_values(spark, path, push=True), folders)
 
 
 def thread_sessions(entries: DataFrame, metadata: DataFrame, folders: DataFrame | None = None) -> DataFrame:
