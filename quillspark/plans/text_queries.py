@@ -196,10 +196,19 @@ def f_newer(spark, d):
     return table(spark, d, "events").select("event_id", (F.col("ts").cast("timestamp") > F.lit(NOW).cast("timestamp") - F.make_interval(hours=(F.col("event_id") % 500).cast("int"))).alias("newer"))
 
 
+def _epoch_ms(ts):
+    """Whole milliseconds since 1970 of a time without zone, whatever the session's zone is."""
+    seconds = F.unix_date(F.to_date(ts)).cast("long") * 86400 + F.hour(ts) * 3600 + F.minute(ts) * 60
+    return seconds * 1000 + F.floor(F.extract(F.lit("SECOND"), ts) * 1000)
+
+
 @query("d_age_hours", f"SELECT event_id, coalesce(floor((epoch_ms(TIMESTAMP '{NOW}') - epoch_ms(CASE WHEN event_id % 5 = 0 THEN NULL ELSE ts END)) / 3600000.0), 0)::BIGINT AS hours FROM events")
 def d_age_hours(spark, d):
-    ms = F.unix_millis(F.lit(NOW).cast("timestamp")) - F.unix_millis(F.when(F.col("event_id") % 5 != 0, F.col("ts").cast("timestamp")))
-    return table(spark, d, "events").select("event_id", F.coalesce(F.floor(ms / 3600000), F.lit(0)).cast("long").alias("hours"))
+    """Both times are wall clock, so the hour that a session's time zone skips or repeats plays no part."""
+    events = table(spark, d, "events")
+    known = F.when(F.coalesce(F.col("event_id") % 5, F.lit(1)) != 0, _epoch_ms(F.col("ts").cast("timestamp_ntz")))
+    ms = _epoch_ms(F.lit(NOW).cast("timestamp_ntz")) - known
+    return events.select("event_id", F.coalesce(F.floor(ms / 3600000), F.lit(0)).cast("long").alias("hours"))
 
 
 @query("o_mixed_key", "SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY CASE event_id % 4 WHEN 3 THEN 2 WHEN 2 THEN 1 ELSE 0 END, CASE WHEN event_id % 4 < 2 THEN epoch_ms(ts) END NULLS FIRST, CASE event_id % 4 WHEN 2 THEN event_type END NULLS FIRST, event_id) AS place FROM events")
