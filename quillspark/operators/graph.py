@@ -30,10 +30,15 @@ def relink_targets(pages: DataFrame, edges: DataFrame, all_pages: bool = False,
 
 
 def prune_links(pages: DataFrame, valid: DataFrame) -> DataFrame:
-    """pages(ord, body) with links unwrapped whose whole inside, kebab-cased, is no slug of ``valid``."""
+    """pages(ord, body) with links unwrapped whose whole inside is no slug of ``valid``, neither as written nor kebab-cased.
+
+    As written too: a slug made of an empty title and a number (``-7``) is not its own kebab case.
+    """
     found = F.regexp_extract_all(F.col("body"), F.lit(r"\[\[([^\]]+)\]\]"), F.lit(1))
     inside = pages.select("ord", F.explode(F.array_distinct(found)).alias("x")).withColumn("slug", kebab(F.trim("x")))
-    bad = inside.join(valid.select("slug"), "slug", "left_anti").groupBy("ord").agg(F.array_sort(F.collect_list("x")).alias("bad"))
+    slugs = valid.select("slug")
+    unknown = inside.join(slugs, "slug", "left_anti").join(slugs.withColumnRenamed("slug", "x"), "x", "left_anti")
+    bad = unknown.groupBy("ord").agg(F.array_sort(F.collect_list("x")).alias("bad"))
 
     def unwrap(body: Column, x: Column) -> Column:
         return F.replace(body, F.concat(F.lit("[["), x, F.lit("]]")), x)

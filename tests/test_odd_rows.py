@@ -31,3 +31,10 @@ def test_age_hours(spark, tmp_path, zone):
         compare(spark, tmp_path, "d_age_hours", "events", rows)
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_prune_links_of_empty_titles(spark, tmp_path):
+    text = ["Alpha beta. More.", "", "!!! ???", "Gamma delta", "  --  ", "Zeta", "Eta theta", "Iota", "Kappa"]
+    n = len(text)
+    rows = pa.table({"doc_id": list(range(n)), "text": text, "lang": ["en"] * n, "source": ["s"] * n, "n_chars": list(map(len, text))})
+    compare(spark, tmp_path, "x_prune_links", "documents", rows)
