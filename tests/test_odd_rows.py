@@ -38,3 +38,11 @@ def test_prune_links_of_empty_titles(spark, tmp_path):
     n = len(text)
     rows = pa.table({"doc_id": list(range(n)), "text": text, "lang": ["en"] * n, "source": ["s"] * n, "n_chars": list(map(len, text))})
     compare(spark, tmp_path, "x_prune_links", "documents", rows)
+
+
+def test_jaccard_pairs_of_equal_texts(spark, tmp_path):
+    text = ["Alpha beta gamma delta. More."] * 3 + ["Alpha beta gamma delta epsilon.", "Other words here", ""]
+    ids = [1, 2, 3, 104, 5, 6]  # numbers below 100 are no tokens
+    n = len(text)
+    rows = pa.table({"doc_id": ids, "text": text, "lang": ["en"] * n, "source": ["s"] * n, "n_chars": list(map(len, text))})
+    compare(spark, tmp_path, "g_jaccard_pairs", "documents", rows)
