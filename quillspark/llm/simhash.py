@@ -7,7 +7,8 @@ block, which is zero.  A fingerprint thus has exactly one leaf in each tree and
 queried elsewhere.  (Over whole fingerprints, nearly half of them lie within two bits of the median shell: a
 tree over 64 bits would query almost everything.)  Leaves are compared exactly.  A leaf too large to compare
 uses another exact way: two fingerprints within two bits share a neighbour within one bit, and at most 65
-fingerprints share one neighbour, whatever the size of the leaf.
+fingerprints share one neighbour, whatever the size of the leaf.  At a wider radius such a leaf is dealt into parts, and
+every two of them are compared in a group of their own.
 
 Edge cases: null and empty texts have fingerprint zero, linked like any other; repeated rows give equal rows;
 an empty table gives none; null doc_ids get the smallest id of their component, or null if it has none.
@@ -43,7 +44,11 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     if len(words) <= shingle:
         return int.from_bytes(digest(b" ".join(words), SEED), "big")
     grams = map(b" ".join, zip(*(words[i:] for i in range(shingle))))
-    h = np.frombuffer(b"".join([digest(g, SEED) for g in grams]), dtype=np.uint8).reshape(-1, 8)
+    return majority(np.frombuffer(b"".join([digest(g, SEED) for g in grams]), dtype=np.uint8).reshape(-1, 8))
+
+
+def majority(h: np.ndarray) -> int:
+    """Unsigned fingerprint of hashes (big-endian bytes, one row a hash): the bits that over half of them have."""
     ones = np.unpackbits(h, axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big")
 
@@ -78,51 +83,58 @@ def leaf(fp: Column, mask: int, points: list[int]) -> Column:
     return path
 
 
-def _leaf_links(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A spanning forest of the links inside each leaf: exact comparison, one edge a merge."""
-    for b in batches:
+def _leaf_links(batches: Iterable[pa.RecordBatch], radius: int = RADIUS) -> Iterator[pa.RecordBatch]:
+    """A spanning forest of the links inside each leaf: exact comparison in blocks of rows, one edge a merge."""
+    for b in rows(batches, 64):
         left, right = [], []
-        for prints in b.column(0).to_pylist():
-            root = list(range(len(prints)))
+        for prints in b.column(0):
+            x = prints.values.to_numpy(zero_copy_only=False)
+            bits = x.view(np.uint64)  # of a negative number, bitwise_count counts those of its absolute value
+            root = list(range(len(x)))
 
             def find(i: int, root: list[int] = root) -> int:
                 while root[i] != i:
                     root[i] = i = root[root[i]]
                 return i
 
-            if len(prints) > 8:
-                x = np.array(prints, dtype=np.int64)
-                pairs = zip(*np.nonzero(np.triu(np.bitwise_count(x[:, None] ^ x[None, :]) <= RADIUS, 1)))
-            else:
-                pairs = ((i, j) for i, p in enumerate(prints) for j in range(i + 1, len(prints)) if ((p ^ prints[j]) & 0xFFFFFFFFFFFFFFFF).bit_count() <= RADIUS)
-            for i, j in pairs:
-                a, c = find(int(i)), find(int(j))
-                if a != c:
-                    root[max(a, c)] = min(a, c)
-                    left.append(prints[int(i)])
-                    right.append(prints[int(j)])
+            for k in range(0, len(x), LEAF):
+                met = np.bitwise_count(bits[k : k + LEAF, None] ^ bits[None, k:]) <= radius
+                for i, j in zip(*np.nonzero(np.triu(met, 1))):
+                    a, c = find(int(i) + k), find(int(j) + k)
+                    if a != c:
+                        root[max(a, c)] = min(a, c)
+                        left.append(int(x[i + k]))
+                        right.append(int(x[j + k]))
         yield pa.record_batch([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
 
-def links(prints: DataFrame, leaf_size: int = LEAF, levels: int = LEVELS) -> DataFrame:
-    """Edges (a, b) that connect distinct fingerprints (column fp) exactly as distance <= 2 does."""
+def links(prints: DataFrame, leaf_size: int = LEAF, levels: int = LEVELS, radius: int = RADIUS) -> DataFrame:
+    """Edges (a, b) that connect distinct fingerprints (column fp) exactly as distance <= radius does."""
     points = vantage_points(prints, levels)
-    trees = F.array(*[F.struct(F.lit(i).alias("tree"), leaf(F.col("fp"), m, points).alias("leaf")) for i, m in enumerate(block_masks(RADIUS + 1))])
+    trees = F.array(*[F.struct(F.lit(i).alias("tree"), leaf(F.col("fp"), m, points).alias("leaf")) for i, m in enumerate(block_masks(radius + 1))])
     keyed = prints.select("fp", F.explode(trees).alias("k")).select("fp", "k.tree", "k.leaf")
-    hot = materialize(keyed.groupBy("tree", "leaf").count().filter(F.col("count") > leaf_size).select("tree", "leaf"), "hot-leaves")
+    hot = materialize(keyed.groupBy("tree", "leaf").count().filter(F.col("count") > leaf_size).select("tree", "leaf", F.ceil(F.col("count") / leaf_size).alias("parts")), "hot-leaves")
     some_hot = not hot.isEmpty()
     cold = keyed
     if some_hot:
         key = F.broadcast(hot) if small(hot, 64) else hot
         cold = keyed.join(key, ["tree", "leaf"], "left_anti")
     cold = cold.groupBy("tree", "leaf").agg(F.collect_list("fp").alias("prints")).filter(F.size("prints") > 1).select("prints")
-    found = cold.mapInArrow(_leaf_links, "a long, b long")
-    if some_hot:
+    compare = lambda batches: _leaf_links(batches, radius)
+    found = cold.mapInArrow(compare, "a long, b long")
+    if some_hot and radius <= 2:
         one_bit = F.array(F.lit(0).cast("long"), *[F.lit(_signed(1 << i)) for i in range(64)])
         crowd = keyed.join(key, ["tree", "leaf"], "left_semi").select("fp").distinct()
         near = crowd.select("fp", F.explode(one_bit).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("centre"))
         met = near.groupBy("centre").agg(F.min("fp").alias("a"), F.collect_list("fp").alias("prints")).filter(F.size("prints") > 1)
         found = found.unionAll(met.select("a", F.explode("prints").alias("b")).filter(F.col("a") != F.col("b")).distinct())
+    elif some_hot:
+        # every two parts of a hot leaf meet in a group of their own
+        dealt = keyed.join(key, ["tree", "leaf"]).withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("parts")))
+        others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda o: o != F.col("mine"))
+        dealt = dealt.select("tree", "leaf", "fp", "mine", F.explode(others).alias("other"))
+        both = dealt.groupBy("tree", "leaf", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+        found = found.unionAll(both.agg(F.collect_list("fp").alias("prints")).select("prints").mapInArrow(compare, "a long, b long"))
     return found
 
 
