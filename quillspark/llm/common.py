@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
+from operator import or_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quillspark.durable import BROADCAST_BYTES, materialize, small, table
 
-__all__ = ["BROADCAST_BYTES", "WORD_GAP", "chunks", "free", "materialize", "modest", "rows", "small", "table", "words_column", "words_of"]
+__all__ = ["BROADCAST_BYTES", "WORD_GAP", "chunks", "free", "holds_any", "materialize", "modest", "rows", "small", "table", "words_column", "words_of"]
 
 #: The contracts' words are maximal runs of characters outside this class (ASCII white space).
 WORD_GAP = "[\\x20\\x09-\\x0D]+"
@@ -36,6 +38,11 @@ def free(df: DataFrame, name: str) -> str:
     return name
 
 
+def holds_any(text: Column, parts: list[str]) -> Column:
+    """Whether ``text`` holds one of ``parts`` (in lower case), whatever its case: cheap, to go before a pattern."""
+    return F.exists(F.array(F.lower(text)), lambda low: reduce(or_, [F.contains(low, F.lit(p)) for p in parts]))
+
+
 def chunks(texts: list, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of ``texts`` of about ``limit`` characters; a longer text is a range of its own."""
     start, size = 0, 0
