@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import WORD_GAP, table, words_column
+from quillspark.llm.common import holds_any, table, words_column
 
 #: Characters of failing lines, as a share of all, that a kept document may lose.
 MAX_LOST = 0.4
@@ -24,11 +24,17 @@ SHORT_LINE = 4
 SYMBOLS = "#*$%&|<>"
 #: The characters of WORD_GAP.
 GAPS = " \t\n\x0b\x0c\r"
+GAP = r"\x20\x09-\x0D"
 CLOSING = r"[.!?;:…。！？]['\"”’»)\]]*$"
 #: Lines that are a menu's word (English, German, French, Spanish) or a chain of them, and phrases of boilerplate.
 NAVIGATION = r"(?i)^(home|menu|next|previous|prev|back|top|login|log in|sign in|sign up|register|search|share|print|read more|more|skip to content|startseite|weiter|zurück|nach oben|anmelden|registrieren|suche|suchen|teilen|drucken|weiterlesen|mehr|mehr lesen|accueil|suivant|précédent|retour|haut de page|connexion|se connecter|inscription|recherche|rechercher|partager|imprimer|lire la suite|plus|inicio|siguiente|anterior|volver|arriba|iniciar sesión|acceder|registrarse|buscar|compartir|imprimir|leer más|más)[^\p{L}\p{N}]*$|(\s[|»›>]\s.*){2,}"
 BOILERPLATE = r"(?i)all rights reserved|\bcookies?\b.{0,40}\b(policy|consent|accept|use)\b|terms of (use|service)|privacy policy|enable javascript|\blorem ipsum\b|click here|subscribe to our|licensed under|copyright (©|\(c\)|[0-9]{4})|alle rechte vorbehalten|datenschutzerklärung|nutzungsbedingungen|klicken sie hier|newsletter abonnieren|tous droits réservés|politique de confidentialité|conditions d'utilisation|cliquez ici|abonnez-vous|todos los derechos reservados|política de privacidad|condiciones de uso|haga clic aquí|suscríbase"
 
+#: One of these (in lower case) stands in every line that BOILERPLATE finds.
+BOILERPLATE_PARTS = ["rights reserved", "cookie", "terms of ", "privacy policy", "enable javascript", "lorem ipsum", "click here", "subscribe to our", "licensed under", "copyright ", "rechte vorbehalten", "datenschutzerkl", "nutzungsbedingungen", "klicken sie hier", "newsletter abonnieren", "droits r", "confidentialit", "conditions d'utilisation", "cliquez ici", "abonnez-vous", "todos los derechos", "tica de privacidad", "condiciones de uso", "haga clic aqu", "suscr"]
+#: As many gaps between words as make SHORT_LINE words.
+LONG_LINE = rf"(?:[{GAP}]++[^{GAP}]++){{{SHORT_LINE - 2}}}[{GAP}]"
+
 
 def repeat_words(words: Column) -> Column:
     """Words inside three-word windows that occur at least twice in the array."""
@@ -71,10 +77,10 @@ def document_rules(docs: DataFrame) -> DataFrame:
 def line_fails(line: Column) -> Column:
     """Whether a line (with a word in it) is not prose."""
     trimmed = F.trim(line)
-    short = F.size(F.split(trimmed, WORD_GAP)) < SHORT_LINE
+    short = ~trimmed.rlike(LONG_LINE)
     letters = F.length(F.regexp_replace(trimmed, r"[^\p{L}\p{N}\s]", ""))
     symbols = F.length(trimmed) - F.length(F.translate(trimmed, SYMBOLS, ""))
-    return (short & ~trimmed.rlike(CLOSING)) | (10 * symbols > F.length(trimmed)) | trimmed.rlike(NAVIGATION) | trimmed.rlike(BOILERPLATE) | (2 * letters < F.length(trimmed))
+    return (short & ~trimmed.rlike(CLOSING)) | (10 * symbols > F.length(trimmed)) | trimmed.rlike(NAVIGATION) | (holds_any(trimmed, BOILERPLATE_PARTS) & trimmed.rlike(BOILERPLATE)) | (2 * letters < F.length(trimmed))
 
 
 def clean(docs: DataFrame, max_lost: float = MAX_LOST) -> DataFrame:
