@@ -4,14 +4,18 @@ Two tools.  ``SuffixAutomaton`` gives matching statistics of a stream against a
 ``remove_known`` broadcasts one automaton per shard to remove maximal spans of known text.  For repeats of the
 corpus in itself (op5) every document is reference and stream at once: the shards would be the whole corpus, an
 automaton of it has no size bound, and every document would meet every shard.  There, equal windows are found
-by shuffles instead, in three exact steps:
+by shuffles instead, in exact steps:
 
 1.  Equal texts are one row with a count.  The row table is bucketed by the text's digest, so later joins by
     digest shuffle only the narrow side.
 2.  Each window's minimizer (smallest hash of its runs of GRAM words) is a function of the window, so equal
     windows share it; minimizers that occur once in the corpus rule their windows out (nearly all of them).
-3.  The remaining windows are counted by a 128-bit hash of their words; starts of those that occur twice go back
-    to their text, which drops every word they cover.
+3.  The remaining windows are taken in segments: neighbours in a text that share their minimizer.  Segments are
+    counted by a 128-bit hash of their words; all windows of a segment that occurs twice recur.  If all segments
+    of a minimizer are equal, nothing else can hold their windows, and they are settled.
+4.  Only where segments of a minimizer differ are single windows counted, by a 128-bit hash: all of a segment that
+    occurs once, those of any other from one of its places.
+5.  What recurs, segments and windows, goes back to its text, which drops every word it covers.
 
 Edge cases: null and empty texts have no words; repeated rows are repeats of each other; texts shorter than the
 window lose nothing; an empty table gives no rows; null doc_ids are carried; other columns are ignored.
@@ -22,6 +26,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -118,18 +123,19 @@ def remove_known(docs: DataFrame, reference: DataFrame, window: int = WINDOW) ->
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows(batches):
-            done = [_without(words_of(t), np.asarray(e, dtype=np.int64) - window + 1, window) for t, e in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            ends = [np.asarray(e, dtype=np.int64) + 1 for e in b.column(2).to_pylist()]
+            done = [_without(words_of(t), e - window, e) for t, e in zip(b.column(1).to_pylist(), ends)]
             yield pa.record_batch([b.column(0), pa.array([n for n, _, _ in done], pa.int64()), pa.array([r for _, r, _ in done], pa.int64()), pa.array([k.decode("utf-8", "replace") for _, _, k in done], pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
 
     return out.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept string")
 
 
-def _without(words: list[bytes], starts: np.ndarray, window: int) -> tuple[int, int, bytes]:
-    """(words, removed words, kept text) when the windows at ``starts`` go."""
+def _without(words: list[bytes], starts: np.ndarray, ends: np.ndarray) -> tuple[int, int, bytes]:
+    """(words, removed words, kept text) when the words from each of ``starts`` to before its end go."""
     n = len(words)
     edge = np.zeros(n + 1, dtype=np.int64)
     np.add.at(edge, starts, 1)
-    np.add.at(edge, starts + window, -1)
+    np.add.at(edge, ends, -1)
     gone = np.cumsum(edge[:n]) > 0
     removed = int(gone.sum())
     return n, removed, b" ".join(words if not removed else [w for w, g in zip(words, gone.tolist()) if not g])
@@ -161,16 +167,16 @@ def _slide(x: np.ndarray, size: int, of) -> np.ndarray:
 
 
 class Windows:
-    """Word hashes, minimizers and window validity of a chunk of texts, as one sequence."""
+    """Word hashes of a chunk of texts, as one sequence; with ``gram`` also minimizers and window validity."""
 
-    def __init__(self, texts: list[str], window: int, gram: int):
+    def __init__(self, texts: list[str], window: int, gram: int | None = None):
         words = [words_of(t) for t in texts]
         n = np.array([len(w) for w in words], dtype=np.int64)
         self.first = np.cumsum(n) - n
         self.hash = _mix(np.frombuffer(b"".join([xxhash.xxh3_64_digest(w) for ws in words for w in ws]), dtype="<u8").astype(np.uint64)) if n.sum() else np.zeros(0, np.uint64)
         self.owner = np.repeat(np.arange(len(texts)), n)
         self.enough = len(self.hash) >= window
-        if self.enough:
+        if self.enough and gram:
             self.valid = self.owner[: len(self.hash) - window + 1] == self.owner[window - 1 :]
             self.grams = _rolled(self.hash, gram, _P1)
             self.least = _slide(self.grams, window - gram + 1, np.minimum)
@@ -202,7 +208,9 @@ def _minimizers(window: int, gram: int):
     return run
 
 
-def _windows(window: int, gram: int):
+def _segments(window: int, gram: int):
+    span = window - gram + 1
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows(batches, 256):
             texts, again = b.column(1).to_pylist(), b.column(3)
@@ -216,9 +224,35 @@ def _windows(window: int, gram: int):
                     hi = w.first[i - a + 1] if i - a + 1 < len(w.first) else len(w.hash)
                     keep[lo:hi] = np.isin(w.least[lo:hi], again[i].values.to_numpy(zero_copy_only=False).view(np.uint64))
                 at = np.flatnonzero(keep & w.valid)
+                least, owner = w.least[at], w.owner[at]
+                new = np.ones(len(at), dtype=bool)
+                new[1:] = (np.diff(at) != 1) | (least[1:] != least[:-1]) | (owner[1:] != owner[:-1])
+                # at most ``span`` windows, so that the first and the last cover all words of a segment
+                place = np.arange(len(at)) - np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
+                head = np.flatnonzero(place % span == 0)
+                many = np.diff(np.append(head, len(at)))
+                start, owner = at[head], owner[head]
+                one, two = (_mix((h[start] * _P1 + h[start + many - 1]) * _P2 + many.astype(np.uint64)) for h in (_rolled(w.hash, window, _P1), _rolled(w.hash, window, _P2)))
+                yield pa.record_batch([b.column(0).take(pa.array(owner + a)), pa.array(least[head].view(np.int64)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array((start - w.first[owner]).astype(np.int32)), pa.array(many.astype(np.int32)), b.column(2).take(pa.array(owner + a))], names=["digest", "h", "one", "two", "start", "many", "copies"])
+
+    return run
+
+
+def _windows(window: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in rows(batches, 256):
+            texts, segments = b.column(1).to_pylist(), b.column(2)
+            for a, z in chunks(texts):
+                w = Windows(texts[a:z], window)
+                found = [segments[i].values for i in range(a, z)]
+                start, many, single = (np.concatenate([f.field(name).to_numpy(zero_copy_only=False) for f in found]) for name in ("start", "many", "single"))
+                owner = np.repeat(np.arange(z - a), [len(f) for f in found])
+                # every start of every segment
+                of = np.repeat(np.arange(len(start)), many)
+                begin = start[of] + np.arange(len(of)) - (np.cumsum(many) - many)[of]
+                at, owner = w.first[owner[of]] + begin, owner[of]
                 one, two = _rolled(w.hash, window, _P1)[at], _rolled(w.hash, window, _P2)[at]
-                owner = w.owner[at]
-                yield pa.record_batch([b.column(0).take(pa.array(owner + a)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array((at - w.first[owner]).astype(np.int32)), b.column(2).take(pa.array(owner + a))], names=["digest", "one", "two", "start", "copies"])
+                yield pa.record_batch([b.column(0).take(pa.array(owner + a)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(begin.astype(np.int32)), pa.array(single[of].astype(bool))], names=["digest", "one", "two", "start", "single"])
 
     return run
 
@@ -227,12 +261,13 @@ def _finish(window: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows(batches):
             out = []
-            for text, copies, starts in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3)):
+            for text, copies, found in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3)):
                 words = words_of(text)
                 if copies > 1 and len(words) >= window:
                     out.append((len(words), len(words), b""))
                 else:
-                    out.append(_without(words, starts.values.to_numpy(zero_copy_only=False).astype(np.int64) if starts.is_valid else np.zeros(0, np.int64), window))
+                    start, many = (found.values.field(name).to_numpy(zero_copy_only=False).astype(np.int64) if found.is_valid else np.zeros(0, np.int64) for name in ("start", "many"))
+                    out.append(_without(words, start, start + many + window - 1))
             yield pa.record_batch([b.column(0), pa.array([n for n, _, _ in out], pa.int64()), pa.array([r for _, r, _ in out], pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for _, _, k in out], pa.string())], names=["digest", "n_words", "n_removed", "kept_sha256"])
 
     return run
@@ -242,10 +277,33 @@ def _digest(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary")))
 
 
+@contextmanager
+def _tidy(spark: SparkSession) -> Iterator[None]:
+    """Within, shuffle files go when their query ends, not when the driver happens to collect its garbage: every
+    step is read from its table, so none is used again."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row (see the module's text)."""
-    spark = docs.sparkSession
     each = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _digest(F.col("text")).alias("digest"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    with _tidy(docs.sparkSession):
+        result = _judged(each, window, gram)
+    return each.select("doc_id", "digest").join(result, "digest").select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def _judged(each: DataFrame, window: int, gram: int) -> DataFrame:
+    """digest, n_words, n_removed, kept_sha256 of every distinct text."""
+    spark = each.sparkSession
     name = f"quillspark_texts_{uuid.uuid4().hex}"
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     unique = each.groupBy("digest").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
@@ -256,13 +314,27 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     again = materialize(grams.groupBy("h").agg(F.sum(F.col("times") * F.col("copies")).alias("n")).filter(F.col("n") > 1).select("h"), "again")
     mine = grams.select("digest", "h").join(again, "h", "left_semi").groupBy("digest").agg(F.collect_list("h").alias("again"))
     found = texts.join(mine, "digest").select("digest", "text", "copies", "again")
-    windows = materialize(found.mapInArrow(_windows(window, gram), "digest binary, one long, two long, start int, copies long"), "windows")
-    repeated = materialize(windows.groupBy("one", "two").agg(F.sum("copies").alias("n")).filter(F.col("n") > 1).select("one", "two"), "repeated")
-    starts = windows.filter(F.col("copies") == 1).select("digest", "one", "two", "start").join(repeated, ["one", "two"], "left_semi").groupBy("digest").agg(F.collect_list("start").alias("starts"))
-    result = texts.join(starts, "digest", "left").select("digest", "text", "copies", "starts").mapInArrow(_finish(window), "digest binary, n_words long, n_removed long, kept_sha256 string")
+    segments = materialize(found.mapInArrow(_segments(window, gram), "digest binary, h long, one long, two long, start int, many int, copies long"), "segments")
+    place = F.xxhash64("digest", "start")
+    contents = materialize(segments.groupBy("h", "one", "two").agg(F.sum("copies").alias("n"), F.min(place).alias("chosen")), "contents")
+    # one content at two places: no other segment can hold its windows; else single windows must be compared
+    mixed = materialize(contents.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("n")).filter("kinds > 1 or n = 1").select("h", F.lit(True).alias("mixed")), "mixed")
+    contents = materialize(contents.join(mixed, "h", "left").select("one", "two", "n", "chosen", F.coalesce("mixed", F.lit(False)).alias("mixed")), "judged")
+    judged = segments.join(contents, ["one", "two"]).select("digest", "start", "many", "copies", (F.col("n") == 1).alias("single"), (F.col("mixed") & ((F.col("n") == 1) | (F.col("chosen") == place))).alias("compare"))
+    judged = materialize(judged.filter(F.col("compare") | (~F.col("single") & (F.col("copies") == 1))), "places")
+    compare = judged.filter("compare").groupBy("digest").agg(F.collect_list(F.struct("start", "many", "single")).alias("segments"))
+    compare = texts.join(compare, "digest").select("digest", "text", "segments")
+    windows = materialize(compare.mapInArrow(_windows(window), "digest binary, one long, two long, start int, single boolean"), "windows")
+    # a window of a segment that recurs has two places at least
+    n = F.sum(F.when(F.col("single"), 1).otherwise(2))
+    repeated = materialize(windows.groupBy("one", "two").agg(n.alias("n"), F.max("single").alias("single")).filter((F.col("n") > 1) & F.col("single")).select("one", "two"), "repeated")
+    found = windows.filter("single").join(repeated, ["one", "two"], "left_semi").select("digest", "start", F.lit(1).alias("many"))
+    found = found.unionAll(judged.filter(~F.col("single") & (F.col("copies") == 1)).select("digest", "start", "many"))
+    found = found.groupBy("digest").agg(F.collect_list(F.struct("start", "many")).alias("found"))
+    result = texts.join(found, "digest", "left").select("digest", "text", "copies", "found").mapInArrow(_finish(window), "digest binary, n_words long, n_removed long, kept_sha256 string")
     result = materialize(result, "kept")
     spark.sql(f"DROP TABLE {name}")
-    return each.select("doc_id", "digest").join(result, "digest").select("doc_id", "n_words", "n_removed", "kept_sha256")
+    return result
 
 
 def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
