@@ -247,8 +247,8 @@ def similar(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     mark = lambda k, n, s: marks.select(F.col("id").alias(k), F.col("n").alias(n), F.col("signature").alias(s))
     near = pairs.join(mark("a", "n", "x"), "a").join(mark("b", "m", "y"), "b").filter(may_be_similar(*map(F.col, "nmxy")))
     near = materialize(near.select("a", "b"), "near-candidates")
-    ends = materialize(near.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "near-ends")
-    ends = F.broadcast(ends) if small(ends, 64) else ends
+    ends = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    ends = F.broadcast(ends) if small(near, 128) else ends
     sets = materialize(texts.join(ends, "id", "left_semi").select("id", _shingle_column("text").alias("set")), "near-sets")
     both = near.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))

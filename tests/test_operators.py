@@ -30,6 +30,27 @@ def test_components_random(spark):
     assert got == {n: r for n, r in root.items() if n in linked}
 
 
+@pytest.mark.parametrize("run,few", [(1 << 18, 32 << 20), (4, 32 << 20), (4, 0)])
+def test_components_of_a_small_table_are_written_once(spark, monkeypatch, run, few):
+    from quillspark.operators import components as module
+
+    written, write = [], module.materialize
+    monkeypatch.setattr(module, "materialize", lambda df, name: written.append(name) or write(df, name))
+    monkeypatch.setattr(module, "BROADCAST_BYTES", few)
+    if run < 1 << 18:  # no task sees more than a few edges of a component
+        stars = module._stars
+        monkeypatch.setattr(module, "_contract", lambda batches: (stars(*(c.to_numpy() for c in b.slice(k, run).columns)) for b in batches for k in range(0, b.num_rows, run)))
+    rng = random.Random(11)
+    links = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 200)] + [(2000 + i, 2400) for i in range(150)] + [(-5, -9), (-9, -7)]
+    rng.shuffle(links)
+    rows = [x if rng.random() < 0.5 else x[::-1] for x in links + links[:50]] + [(7, 7), (None, 3), (3, None)]
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(rows, "a long, b long")).collect()}
+    want = dict.fromkeys(range(201), 0) | dict.fromkeys(range(1000, 1200), 1000) | dict.fromkeys([*range(2000, 2150), 2400], 2000) | dict.fromkeys([-5, -7, -9], -9)
+    assert got == want
+    assert run < 1 << 18 or written == ["edges"]
+    assert few or "star" in written
+
+
 def test_components_empty(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
