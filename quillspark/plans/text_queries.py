@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampType
 
 from quillspark.durable import table
 from quillspark.functions import scrub as S
@@ -196,17 +197,24 @@ def f_newer(spark, d):
     return table(spark, d, "events").select("event_id", (F.col("ts").cast("timestamp") > F.lit(NOW).cast("timestamp") - F.make_interval(hours=(F.col("event_id") % 500).cast("int"))).alias("newer"))
 
 
-def _epoch_ms(ts):
-    """Whole milliseconds since 1970 of a time without zone, whatever the session's zone is."""
+def _epoch_ms(ts, zoned=False):
+    """Milliseconds since 1970, whatever the session's zone is, as DuckDB's epoch_ms has them: rounded, halves away from
+    zero, and none of the infinite times."""
     seconds = F.unix_date(F.to_date(ts)).cast("long") * 86400 + F.hour(ts) * 3600 + F.minute(ts) * 60
-    return seconds * 1000 + F.floor(F.extract(F.lit("SECOND"), ts) * 1000)
+    micros = F.floor(F.extract(F.lit("SECOND"), ts) * 1000000)
+    whole = F.unix_millis(ts) if zoned else seconds * 1000 + F.floor(micros / 1000)
+    rest = F.pmod(F.unix_micros(ts) if zoned else micros, F.lit(1000))
+    infinite = ((whole == 9223372036854775) & (rest == 807)) | ((whole == -9223372036854776) & (rest == 193))
+    return F.when(~infinite, whole + F.when((rest > 500) | ((rest == 500) & (whole >= 0)), 1).otherwise(0))
 
 
 @query("d_age_hours", f"SELECT event_id, coalesce(floor((epoch_ms(TIMESTAMP '{NOW}') - epoch_ms(CASE WHEN event_id % 5 = 0 THEN NULL ELSE ts END)) / 3600000.0), 0)::BIGINT AS hours FROM events")
 def d_age_hours(spark, d):
-    """Both times are wall clock, so the hour that a session's time zone skips or repeats plays no part."""
+    """Times without zone are wall clock and times with one are instants, so the session's time zone plays no part."""
     events = table(spark, d, "events")
-    known = F.when(F.coalesce(F.col("event_id") % 5, F.lit(1)) != 0, _epoch_ms(F.col("ts").cast("timestamp_ntz")))
+    zoned = events.schema["ts"].dataType == TimestampType()
+    ts = F.col("ts") if zoned else F.col("ts").cast("timestamp_ntz")
+    known = F.when(F.coalesce(F.col("event_id") % 5, F.lit(1)) != 0, _epoch_ms(ts, zoned))
     ms = _epoch_ms(F.lit(NOW).cast("timestamp_ntz")) - known
     return events.select("event_id", F.coalesce(F.floor(ms / 3600000), F.lit(0)).cast("long").alias("hours"))
 

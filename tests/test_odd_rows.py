@@ -33,6 +33,21 @@ def test_age_hours(spark, tmp_path, zone):
         spark.conf.set("spark.sql.session.timeZone", before)
 
 
+@pytest.mark.parametrize("stored", [None, "UTC"])
+def test_age_hours_rounds_and_knows_zones(spark, tmp_path, stored):
+    """A time within half a millisecond of a full hour, on both sides of 1970, the infinite times, and times that are instants."""
+    now, hour = 1704844800 * 10**6, 3600 * 10**6
+    near = [at + off for at in (now - 5 * hour, now + 7 * hour, 0, -3 * hour) for off in (-1500, -501, -500, -499, -1, 0, 1, 499, 500, 501, 999, 1500)]
+    ends = [2**63 - 1, 1 - 2**63, 2**62]
+    rows = pa.table({"event_id": pa.array([5 * i + 1 for i in range(len(near + ends))], pa.int64()), "ts": pa.array(near + ends, pa.int64()).cast(pa.timestamp("us", tz=stored))})
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        compare(spark, tmp_path, "d_age_hours", "events", rows)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
 def test_prune_links_of_empty_titles(spark, tmp_path):
     text = ["Alpha beta. More.", "", "!!! ???", "Gamma delta", "  --  ", "Zeta", "Eta theta", "Iota", "Kappa"]
     n = len(text)
