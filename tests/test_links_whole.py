@@ -7,7 +7,7 @@ from quillspark.plans import QUERIES
 from tests.test_odd_rows import compare
 
 
-@pytest.mark.parametrize("name", ["j_related"])
+@pytest.mark.parametrize("name", ["j_related", "j_relink_lexical"])
 def test_every_page_asks(spark, tmp_path, name):
     """None of these numbers is a multiple of 20, yet all but the page that shares no token have links."""
     text = ["Alpha beta gamma", "alpha beta delta", "Gamma delta", "epsilon", "zeta alpha", "", "...", "alpha beta gamma"]
